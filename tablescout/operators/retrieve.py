@@ -39,12 +39,14 @@ def candidates(text_top: DataFrame, vector_top: DataFrame) -> DataFrame:
     )
 
 
-def complete_scores(cands: DataFrame, text_scores: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def complete_scores(
+    cands: DataFrame, text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, most: int | None = None
+) -> DataFrame:
     """True scores of both retrievers for every candidate.
 
-    The text side re-uses the shuffled score relation; the vector side meets a
-    candidate list that is counted before it is broadcast."""
-    few = fits(cands.select("query_id"), BROADCAST_ROWS)
+    The text side re-uses the shuffled score relation. `most` is a bound on the
+    number of candidates (questions * 2 * depth); only a small bound broadcasts them."""
+    few = fits(cands) if most is None else most <= BROADCAST_ROWS
     side = F.broadcast(cands) if few else cands
     text = text_scores.join(side.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     pairs = (
@@ -85,8 +87,9 @@ def rank_documents(scored: DataFrame, k: int, by: list[str] | None = None) -> Da
 
 def hybrid_candidates(text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
     """Normalised scores of both retrievers for the pooled candidates of every question."""
-    cands = candidates(text_topk(text_scores, depth), vector_topk(queries, vectors, depth))
-    return normalise(complete_scores(cands, text_scores, queries, vectors))
+    asked = queries.count()
+    cands = candidates(text_topk(text_scores, depth), vector_topk(queries, vectors, depth, asked=asked))
+    return normalise(complete_scores(cands, text_scores, queries, vectors, asked * 2 * depth))
 
 
 def hybrid_search(

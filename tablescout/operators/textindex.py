@@ -47,12 +47,14 @@ def bm25_weight(tf, dl, df, n_docs, avgdl, k1: float = K1, b: float = B) -> Colu
     return idf * tf / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def weigh(post: DataFrame, terms: DataFrame, stats: DataFrame, doc: str = "doc_id") -> DataFrame:
+def weigh(
+    post: DataFrame, terms: DataFrame, stats: DataFrame, doc: str = "doc_id", few_terms: bool | None = None
+) -> DataFrame:
     """(doc, term, weight): postings joined with document frequencies.
 
-    A vocabulary counted small is broadcast. Beyond that, frequent terms are
-    salted so that no task holds all postings of one term."""
-    if fits(terms):
+    A vocabulary known or counted small is broadcast. Beyond that, frequent terms
+    are salted so that no task holds all postings of one term."""
+    if fits(terms) if few_terms is None else few_terms:
         joined = post.join(F.broadcast(terms), "term")
     else:
         joined = salted_join(post, terms, terms.withColumnRenamed("df", "n"), ["term"], [doc])
@@ -71,15 +73,19 @@ def query_terms(queries: DataFrame, text: str = "query", stem: bool = True) -> D
     )
 
 
-def score(weights: DataFrame, q_terms: DataFrame, terms: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
+def score(
+    weights: DataFrame, q_terms: DataFrame, terms: DataFrame | None = None, doc: str = "doc_id",
+    few_terms: bool | None = None,
+) -> DataFrame:
     """(query_id, doc, score) for every document sharing a term with the query.
 
     A checked small question batch is broadcast against the postings, which then
     do not move before partial sums. A larger batch is joined on salted terms."""
-    if terms is None or fits(q_terms):
-        hits = weights.join(F.broadcast(q_terms) if fits(q_terms) else q_terms, "term")
+    if fits(q_terms) if few_terms is None else few_terms:
+        hits = weights.join(F.broadcast(q_terms), "term")
     else:
-        hits = salted_join(weights, q_terms, terms.withColumnRenamed("df", "n"), ["term"], [doc])
+        counts = (terms if terms is not None else term_stats(weights)).select("term", F.col("df").alias("n"))
+        hits = salted_join(weights, q_terms, counts, ["term"], [doc])
     return hits.groupBy("query_id", doc).agg(F.sum(F.col("weight") * F.col("qtf")).alias("raw")).select(
         "query_id", doc, F.round("raw", 6).alias("score")
     )
@@ -88,19 +94,24 @@ def score(weights: DataFrame, q_terms: DataFrame, terms: DataFrame | None = None
 def score_corpus(analyzed: DataFrame, q_terms: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Scores straight from an analyzed corpus that has no stored index.
 
-    Only postings of asked terms are kept: they are filtered against the question
-    vocabulary before the aggregation, so the shuffle carries those terms alone."""
-    vocabulary = q_terms.select("term").distinct()
-    if fits(vocabulary):
-        vocabulary = F.broadcast(vocabulary)
-    hits = (
-        analyzed.select(doc, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy(doc, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    One aggregation serves document frequencies, corpus statistics and scores: words
+    nobody asks for fall into the empty term, which every document has once, so the
+    shuffle carries asked terms and one length row per document."""
+    few = fits(q_terms)
+    seen = analyzed.select(
+        doc, F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")
+    )
+    if few:
+        asked = F.broadcast(q_terms.select("term", F.col("term").alias("asked")).distinct())
+        seen = seen.join(asked, "term", "left").select(doc, "dl", F.coalesce("asked", F.lit("")).alias("term"))
+    # Every branch below reads all columns of this aggregate, so its shuffle is shared.
+    hits = seen.groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    length_row = (F.col("term") == "") & (F.col("tf") > 0)
+    stats = hits.agg(
+        F.count(F.when(length_row, 1)).alias("n_docs"), F.avg(F.when(length_row, F.col("dl"))).alias("avgdl")
     )
-    weights = weigh(hits, term_stats(hits), corpus_stats(analyzed), doc)
-    return score(weights, q_terms, None, doc)
+    terms = hits.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
+    return score(weigh(hits, terms, stats, doc, few or None), q_terms, None, doc, few)
 
 
 def appended_stats(old: DataFrame, new: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:

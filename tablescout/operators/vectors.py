@@ -106,7 +106,9 @@ def _cogroup_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], k: in
     return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(_block_topk(k), schema)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, shard: int = VECTOR_SHARD) -> DataFrame:
+def vector_topk(
+    queries: DataFrame, vectors: DataFrame, k: int, shard: int = VECTOR_SHARD, asked: int | None = None
+) -> DataFrame:
     """Exact cosine top-k of every question as a blocked matrix product.
 
     queries(query_id, vector) and vectors(doc_id, vector) hold unit vectors. The
@@ -114,7 +116,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, shard: int = VEC
     block and one shard, and hands on k rows per question. No pair of rows is
     ever materialised and neither side is broadcast or collected."""
     shards = max(1, math.ceil(vectors.count() / shard))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    blocks = max(1, math.ceil((queries.count() if asked is None else asked) / QUERY_BLOCK))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.withColumn("_block", part_of("query_id", blocks)).withColumn("_shard", all_of(shards))
