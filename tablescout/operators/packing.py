@@ -72,46 +72,52 @@ def assign_blocks(
 ) -> DataFrame:
     """(group, order, block): block number of every piece, from 0 per group.
 
-    `order` is a unique integer inside the group. Only integers are moved here."""
+    `order` is a unique integer inside the group. Only integers are moved here; one row
+    holds the token counts of at most `chunk` consecutive pieces."""
     fields = [pieces.schema[g] for g in group]
-    ints = pieces.select(
-        *group, F.col(order).cast("long").alias("_ord"), F.col(tokens).cast("long").alias("_n"),
-        F.floor(F.col(order) / F.lit(chunk)).cast("long").alias("_chunk"),
+    cut = F.floor(F.col(order) / F.lit(chunk)).cast("long").alias("_chunk")
+    chunks = (
+        pieces.select(*group, cut, F.struct(F.col(order).cast("long").alias("o"), F.col(tokens).cast("long").alias("n")).alias("_p"))
+        .groupBy(*group, "_chunk")
+        .agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+        .select(*group, "_chunk", F.transform("_p", lambda p: p["o"]).alias("_o"), F.transform("_p", lambda p: p["n"]).alias("_n"))
+    )
+    # Groups of one chunk start with no open block; only longer ones need their chunks chained.
+    long_groups = (
+        pieces.select(*group, cut).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     )
+    longs = T.ArrayType(T.LongType())
+
+    @F.pandas_udf(T.StructType([T.StructField("end", longs), T.StructField("begun", longs)]))
+    def describe(n: pd.Series) -> pd.DataFrame:
+        both = [chunk_function(np.asarray(x), limit, gap) for x in n]
+        return pd.DataFrame({"end": [e for e, _ in both], "begun": [b for _, b in both]})
 
-    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ord")
-        end, begun = chunk_function(pdf["_n"].to_numpy(), limit, gap)
-        head = {g: [pdf[g].iloc[0]] for g in group}
-        return pd.DataFrame({**head, "_chunk": [pdf["_chunk"].iloc[0]], "_end": [end], "_begun": [begun]})
+    @F.pandas_udf(longs)
+    def place(n: pd.Series, state: pd.Series) -> pd.Series:
+        return pd.Series([assign_chunk(np.asarray(x), int(s), limit, gap) for x, s in zip(n, state)])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
         state, offset, states, offsets = 0, 0, [], []
-        for end, begun in zip(pdf["_end"], pdf["_begun"]):
+        for f in pdf["_f"]:
             states.append(state)
             offsets.append(offset)
-            state, offset = int(end[state]), offset + int(begun[state])
+            state, offset = int(f["end"][state]), offset + int(f["begun"][state])
         return pdf[[*group, "_chunk"]].assign(_state=states, _offset=offsets)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ord")
-        block = assign_chunk(pdf["_n"].to_numpy(), int(pdf["_state"].iloc[0]), limit, gap)
-        return pdf[group].assign(**{order: pdf["_ord"].to_numpy(), "block": block + int(pdf["_offset"].iloc[0])})
-
-    long, longs = T.LongType(), T.ArrayType(T.LongType())
-    functions = ints.groupBy(*group, "_chunk").applyInPandas(
-        describe,
-        T.StructType([*fields, T.StructField("_chunk", long), T.StructField("_end", longs), T.StructField("_begun", longs)]),
+    number = [T.StructField(c, T.LongType()) for c in ("_chunk", "_state", "_offset")]
+    entries = (
+        chunks.join(long_groups, group, "left_semi")
+        .select(*group, "_chunk", describe("_n").alias("_f"))
+        .groupBy(*group)
+        .applyInPandas(chain, T.StructType([*fields, *number]))
     )
-    entries = functions.groupBy(*group).applyInPandas(
-        chain,
-        T.StructType([*fields, T.StructField("_chunk", long), T.StructField("_state", long), T.StructField("_offset", long)]),
+    placed = chunks.join(entries, [*group, "_chunk"], "left").select(
+        *group, "_o", F.coalesce("_offset", F.lit(0)).alias("_offset"), place("_n", F.coalesce("_state", F.lit(0))).alias("_b")
     )
-    return (
-        ints.join(entries, [*group, "_chunk"])
-        .groupBy(*group, "_chunk")
-        .applyInPandas(place, T.StructType([*fields, T.StructField(order, long), T.StructField("block", long)]))
+    return placed.select(*group, "_offset", F.explode(F.arrays_zip("_o", "_b")).alias("_z")).select(
+        *group, F.col("_z._o").alias(order), (F.col("_z._b") + F.col("_offset")).alias("block")
     )
 
 

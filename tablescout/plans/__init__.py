@@ -1,4 +1,4 @@
-from tablescout.plans import documents, retrieval  # noqa: F401
+from tablescout.plans import documents, retrieval, sources  # noqa: F401
 from tablescout.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
