@@ -29,14 +29,10 @@ def text_topk(scores: DataFrame, depth: int, doc: str = "doc_id") -> DataFrame:
 
 
 def candidates(text_top: DataFrame, vector_top: DataFrame) -> DataFrame:
-    """Union of both result lists with the list(s) a document came from."""
-    t = text_top.select("query_id", "doc_id", F.lit(True).alias("by_text"))
-    v = vector_top.select("query_id", "doc_id", F.lit(True).alias("by_vector"))
-    return t.join(v, ["query_id", "doc_id"], "full_outer").select(
-        "query_id", "doc_id",
-        F.coalesce("by_text", F.lit(False)).alias("by_text"),
-        F.coalesce("by_vector", F.lit(False)).alias("by_vector"),
-    )
+    """Union of both result lists with the rank a document had in each (null: not in that list)."""
+    t = text_top.select("query_id", "doc_id", F.col("rank").alias("text_rank"))
+    v = vector_top.select("query_id", "doc_id", F.col("rank").alias("vector_rank"))
+    return t.join(v, ["query_id", "doc_id"], "full_outer")
 
 
 def complete_scores(
@@ -55,7 +51,7 @@ def complete_scores(
         .join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
     )
     vec = pairs.select(
-        "query_id", "doc_id", "by_text", "by_vector", F.round(cosine("qv", "dv"), 6).alias("vector_score")
+        "query_id", "doc_id", "text_rank", "vector_rank", F.round(cosine("qv", "dv"), 6).alias("vector_score")
     )
     return vec.join(text.withColumnRenamed("score", "text_score"), ["query_id", "doc_id"], "left").withColumn(
         "text_score", F.coalesce("text_score", F.lit(0.0))
@@ -85,11 +81,16 @@ def rank_documents(scored: DataFrame, k: int, by: list[str] | None = None) -> Da
     return top_per_group(scored, by or ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def hybrid_candidates(text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
-    """Normalised scores of both retrievers for the pooled candidates of every question."""
+def pooled_candidates(text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
+    """Candidates of both retrievers up to `depth` with completed scores."""
     asked = queries.count()
     cands = candidates(text_topk(text_scores, depth), vector_topk(queries, vectors, depth, asked=asked))
-    return normalise(complete_scores(cands, text_scores, queries, vectors, asked * 2 * depth))
+    return complete_scores(cands, text_scores, queries, vectors, asked * 2 * depth)
+
+
+def hybrid_candidates(text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
+    """Normalised scores of both retrievers for the pooled candidates of every question."""
+    return normalise(pooled_candidates(text_scores, queries, vectors, depth))
 
 
 def hybrid_search(
