@@ -52,7 +52,7 @@ def collapse_ws(c) -> Column:
 def cut_at_word(c, limit: int) -> Column:
     """Longest run of leading words within `limit` characters; a too long first word is cut."""
     kept = F.aggregate(
-        split_ws(c),
+        F.slice(split_ws(c), 1, limit),
         F.struct(F.lit("").alias("s"), F.lit(True).alias("open")),
         lambda acc, w: F.when(
             acc["open"] & (F.length(acc["s"]) + F.length(w) + F.when(acc["s"] == "", 0).otherwise(1) <= limit),

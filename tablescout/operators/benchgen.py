@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablescout.functions import text as tx
 from tablescout.functions.hashing import draw, hash_rank
 from tablescout.operators.profile import complete_row, drawn_value
-from tablescout.operators.scaling import top_per_group
+from tablescout.operators.scaling import fits, salted_join, top_per_group
 
 # Operators a question may use and the chances of its parts.
 AGGREGATES = ["max", "min", "avg", "sum"]
@@ -248,7 +248,13 @@ def spread_labels(questions: DataFrame, contexts: DataFrame, share: float = 0.5)
     q = questions.select("question_id", "elicitation", F.array_distinct("terms").alias("_t"))
     asked = q.select("question_id", "elicitation", F.size("_t").alias("_need"), F.explode("_t").alias("term"))
     held = contexts.select("context_id", "table_id", "elicitation", F.explode(F.array_distinct("terms")).alias("term"))
-    shared = asked.join(held, ["elicitation", "term"]).groupBy("question_id", "_need", "context_id", "table_id").agg(
+    # The sampled questions are few, so contexts usually stay where they are; a larger set is salted.
+    if fits(asked):
+        met = held.join(F.broadcast(asked), ["elicitation", "term"])
+    else:
+        counts = held.groupBy("elicitation", "term").agg(F.count(F.lit(1)).alias("n"))
+        met = salted_join(held, asked, counts, ["elicitation", "term"], ["context_id"])
+    shared = met.groupBy("question_id", "_need", "context_id", "table_id").agg(
         F.count(F.lit(1)).alias("_have")
     )
     return shared.where(F.col("_have") >= F.col("_need") * share).select("question_id", "table_id").distinct()

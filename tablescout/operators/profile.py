@@ -52,15 +52,19 @@ def repair_duplicates(columns: DataFrame, name: str = "clean") -> DataFrame:
         )
         return F.concat(base, tail)
 
+    # Only names starting like this one can be in the way of its suffixed forms.
+    stem = F.when(F.length(name) < tx.MAX_COLUMN_NAME - 6, key).otherwise(F.substring(key, F.lit(1), F.length(name) - 3))
+    w = w.withColumn("_names", F.when(F.col("_n") > 1, F.filter("_names", lambda n: n.startswith(stem))))
     free = F.filter(
-        F.sequence(F.lit(2), F.lit(2) + F.col("_of") + F.size("_names")),
+        F.sequence(F.lit(2), F.col("_n").cast("int") + F.size("_names")),
         lambda s: ~F.array_contains("_names", F.lower(suffixed(s))),
     )
+    w = w.withColumn("_s", F.when(F.col("_n") > 1, F.get(free, F.col("_n") - 2)))
     too_many = F.col("_of") >= MAX_REPEATS
-    fixed = F.when(F.col("_n") == 1, F.col(name)).otherwise(suffixed(F.get(free, F.col("_n") - 2)))
+    fixed = F.when(F.col("_n") == 1, F.col(name)).otherwise(suffixed(F.col("_s")))
     return w.withColumns({
         "fixed": F.when(~too_many, fixed), "error": F.when(too_many, F.lit("name repeats too often")),
-    }).drop("_n", "_of", "_names")
+    }).drop("_n", "_of", "_names", "_s")
 
 
 def clip_cells(cells: DataFrame, limit: int = tx.MAX_CELL) -> DataFrame:

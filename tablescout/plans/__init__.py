@@ -1,4 +1,4 @@
-from tablescout.plans import documents, evaluation, retrieval, sources  # noqa: F401
+from tablescout.plans import benchgen, documents, evaluation, profiling, retrieval, sources  # noqa: F401
 from tablescout.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
