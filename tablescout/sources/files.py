@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from tablescout.functions.text import strip
 from tablescout.operators.catalog import normal_id, table_name
 
-# One file of the small-table path is held by one task; larger ones take the typed scans.
+# One Parquet file of the small-table path is held by one task; larger ones take the typed scan.
 LARGE_FILE = 256 * 1024 * 1024
 SUPPORTED = ("csv", "parquet")
 MANY_FILES = 10_000
 
-CELL_SCHEMA = "table_id string, row_idx bigint, col_idx int, col_name string, value string"
+ROW_SCHEMA = "table_id string, row_idx bigint, names array<string>, cells array<string>"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, drop_malformed: bool = True) -> DataFrame:
@@ -66,75 +66,91 @@ def file_outcomes(files: DataFrame) -> DataFrame:
     return files.select(
         "path", "extension", "length", normal_id(F.col("path")).alias("id"), table_name(F.col("path")).alias("table_name"),
         ok.alias("accepted"),
-        F.when(~ok, "rejected").when(F.col("length") > LARGE_FILE, "typed").otherwise("cells").alias("route"),
+        F.when(~ok, "rejected").when((F.col("extension") == "parquet") & (F.col("length") > LARGE_FILE), "typed")
+        .otherwise("rows").alias("route"),
         F.when(~ok, "Invalid file type. Please use 'csv' or 'parquet'.").alias("reason"),
     )
 
 
-def lake_csv_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of every CSV below a folder in one job, whatever columns each file has.
+def lake_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(table_id, row_idx, names, cells) of every CSV below a folder in one job.
 
-    Records arrive as positional variants, so no common schema is needed; a
+    Records arrive as positional variants, so files need no common schema; a
     file streams through one task because quoted fields may hold line breaks. The first
-    record of a file names its columns."""
+    record of a file names its columns; a record of another width is malformed and left out."""
     raw = (
         spark.read.option("singleVariantColumn", "record").option("header", False).option("multiLine", True)
         .option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
     )
-    records = raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("_at"),
-        F.from_json(F.to_json("record"), "map<string,string>").alias("_fields"),
+    fields = F.from_json(F.to_json("record"), "map<string,string>")
+    in_order = F.transform(
+        F.sequence(F.lit(0), F.size("_f") - 1), lambda i: F.try_element_at("_f", F.concat(F.lit("_c"), i.cast("string")))
     )
-    headers = records.groupBy("path").agg(
-        F.min("_at").alias("_first"), F.min_by(F.to_json("_fields"), "_at").alias("_header")
-    ).withColumn("_header", F.from_json("_header", "map<string,string>"))
+    records = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"), fields.alias("_f")
+    ).where(F.size("_f") > 0).select("path", "_at", in_order.alias("cells"))
+    headers = records.groupBy("path").agg(F.min("_at").alias("_first"), F.min_by("cells", "_at").alias("names"))
     if len(raw.inputFiles()) <= MANY_FILES:  # one header row per file
         headers = F.broadcast(headers)
-    rows = records.join(headers, "path").where(F.col("_at") > F.col("_first"))
-    # A record with more or fewer fields than the header is malformed and left out.
-    rows = rows.where(F.size("_fields") == F.size("_header"))
-    return rows.select(
-        normal_id(F.col("path")).alias("table_id"), (F.col("_at") - F.col("_first") - 1).alias("row_idx"), "_header",
-        F.explode("_fields").alias("_key", "value"),
-    ).select(
-        "table_id", "row_idx", F.substring_index("_key", "_c", -1).cast("int").alias("col_idx"),
-        F.try_element_at("_header", F.col("_key")).alias("col_name"), "value",
+    return (
+        records.join(headers, "path")
+        .where((F.col("_at") > F.col("_first")) & (F.size("cells") == F.size("names")))
+        .select(normal_id(F.col("path")).alias("table_id"), (F.col("_at") - F.col("_first") - 1).alias("row_idx"), "names", "cells")
     )
 
 
-def lake_parquet_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of every small Parquet file below a folder; each task decodes whole files batch by batch."""
+def lake_parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every small Parquet file below a folder; a task decodes whole files batch by batch."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
         .load(folder).where(F.col("length") <= LARGE_FILE)
         .select(normal_id(F.col("path")).alias("table_id"), "content")
     )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_text(column):
         import pyarrow as pa
+
+        if pa.types.is_nested(column.type) or pa.types.is_binary(column.type):
+            return [None if v is None else str(v) for v in column.to_pylist()]
+        return column.cast(pa.string()).to_pylist()
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
 
         for pdf in batches:
             for table_id, content in zip(pdf["table_id"], pdf["content"]):
                 at = 0
                 for part in pq.ParquetFile(io.BytesIO(content)).iter_batches(65_536):
-                    for i, name in enumerate(part.schema.names):
-                        column = part.column(i)
-                        text = column.cast(pa.string()) if not pa.types.is_nested(column.type) else pa.array(
-                            [None if v is None else str(v) for v in column.to_pylist()], pa.string()
-                        )
-                        yield pd.DataFrame({
-                            "table_id": table_id, "row_idx": range(at, at + len(text)), "col_idx": i,
-                            "col_name": name, "value": text.to_pylist(),
-                        })
+                    rows = [list(r) for r in zip(*[as_text(part.column(i)) for i in range(part.num_columns)])]
+                    yield pd.DataFrame({
+                        "table_id": table_id, "row_idx": range(at, at + len(rows)),
+                        "names": [part.schema.names] * len(rows), "cells": rows,
+                    })
                     at += part.num_rows
 
-    return files.mapInPandas(decode, CELL_SCHEMA)
+    return files.mapInPandas(decode, ROW_SCHEMA)
+
+
+def typed_rows(df: DataFrame, table_id: str) -> DataFrame:
+    """Rows of one large typed table; positions are unique and ascending, not dense."""
+    return df.select(
+        F.lit(table_id).alias("table_id"), F.monotonically_increasing_id().alias("row_idx"),
+        F.array(*map(F.lit, df.columns)).alias("names"), F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("cells"),
+    )
+
+
+def lake_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return lake_csv_rows(spark, folder).unionByName(lake_parquet_rows(spark, folder))
+
+
+def cells_of_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "table_id", "row_idx", F.posexplode(F.arrays_zip("names", "cells")).alias("col_idx", "_c")
+    ).select("table_id", "row_idx", "col_idx", F.col("_c.names").alias("col_name"), F.col("_c.cells").alias("value"))
 
 
 def lake_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return lake_csv_cells(spark, folder).unionByName(lake_parquet_cells(spark, folder))
+    return cells_of_rows(lake_rows(spark, folder))
 
 
 def read_texts(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
