@@ -66,7 +66,7 @@ class TableScout:
         return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.max("id")).first()[0] or 0
 
     def rows(self, table_ids: DataFrame | None = None) -> DataFrame:
-        """Rows of registered tables, each from the batch that registered it last."""
+        """Rows of registered tables, each from the batch that registered it last; row -1 is the header."""
         folder = f"{self.store.root}/rows"
         if not self.store.exists(folder):
             return self.spark.createDataFrame([], S.ROW_SCHEMA)
@@ -102,7 +102,7 @@ class TableScout:
         for big in files.where("route = 'typed'").select("path", "id").toLocalIterator():
             S.typed_rows(S.read_parquet(self.spark, big["path"]), big["id"]).write.mode("append").parquet(target)
         rows = self.spark.read.schema(S.ROW_SCHEMA).parquet(target)
-        content = F.concat_ws("\u0001", F.to_json("names"), F.to_json(F.struct("cells")))
+        content = F.concat_ws("\u0001", F.to_json("names"), F.to_json(F.struct("cells")))  # the header counts too
         hashes = C.table_fingerprint(rows.select("table_id", content.alias("content")), "table_id", ["content"])
         good = files.where("accepted").select("id", "table_name").join(
             hashes.withColumnRenamed("table_id", "id"), "id", "left"
@@ -169,7 +169,7 @@ class TableScout:
             "table_id", F.posexplode("names").alias("col_idx", "col_name")
         )
         told = D.narrations(D.generate(D.narration_prompts(columns), "prompt", "answer", self.narrator))
-        keyed = rows.withColumn("key", F.col("row_idx").cast("string"))
+        keyed = rows.where("row_idx >= 0").withColumn("key", F.col("row_idx").cast("string"))
         picked = D.sample_rows(keyed.select("table_id", "key"), "table_id", "key")
         cell = F.transform(
             F.arrays_zip("names", "cells"), lambda c: F.concat(c["names"], F.lit(": "), F.coalesce(c["cells"], F.lit("")))

@@ -75,6 +75,8 @@ def file_outcomes(files: DataFrame) -> DataFrame:
 def lake_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(table_id, row_idx, names, cells) of every CSV below a folder in one job.
 
+    Each file also yields a row -1 without cells, so a table of a header alone is known.
+
     Records arrive as positional variants, so files need no common schema; a
     file streams through one task because quoted fields may hold line breaks. The first
     record of a file names its columns; a record of another width is malformed and left out."""
@@ -94,13 +96,16 @@ def lake_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
         headers = F.broadcast(headers)
     return (
         records.join(headers, "path")
-        .where((F.col("_at") > F.col("_first")) & (F.size("cells") == F.size("names")))
-        .select(normal_id(F.col("path")).alias("table_id"), (F.col("_at") - F.col("_first") - 1).alias("row_idx"), "names", "cells")
+        .where(F.size("cells") == F.size("names"))
+        .select(
+            normal_id(F.col("path")).alias("table_id"), (F.col("_at") - F.col("_first") - 1).alias("row_idx"), "names",
+            F.when(F.col("_at") > F.col("_first"), F.col("cells")).alias("cells"),
+        )
     )
 
 
 def lake_parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of every small Parquet file below a folder; a task decodes whole files batch by batch."""
+    """The same rows of every small Parquet file below a folder; a task decodes whole files batch by batch."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
         .load(folder).where(F.col("length") <= LARGE_FILE)
@@ -119,8 +124,11 @@ def lake_parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
 
         for pdf in batches:
             for table_id, content in zip(pdf["table_id"], pdf["content"]):
-                at = 0
-                for part in pq.ParquetFile(io.BytesIO(content)).iter_batches(65_536):
+                at, file = 0, pq.ParquetFile(io.BytesIO(content))
+                yield pd.DataFrame({
+                    "table_id": [table_id], "row_idx": [-1], "names": [file.schema_arrow.names], "cells": [None],
+                })
+                for part in file.iter_batches(65_536):
                     rows = [list(r) for r in zip(*[as_text(part.column(i)) for i in range(part.num_columns)])]
                     yield pd.DataFrame({
                         "table_id": table_id, "row_idx": range(at, at + len(rows)),
@@ -132,7 +140,7 @@ def lake_parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def typed_rows(df: DataFrame, table_id: str) -> DataFrame:
-    """Rows of one large typed table; positions are unique and ascending, not dense."""
+    """Rows of one large, non-empty typed table; positions are unique and ascending, not dense."""
     return df.select(
         F.lit(table_id).alias("table_id"), F.monotonically_increasing_id().alias("row_idx"),
         F.array(*map(F.lit, df.columns)).alias("names"), F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("cells"),
@@ -144,7 +152,7 @@ def lake_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cells_of_rows(rows: DataFrame) -> DataFrame:
-    return rows.select(
+    return rows.where("row_idx >= 0").select(
         "table_id", "row_idx", F.posexplode(F.arrays_zip("names", "cells")).alias("col_idx", "_c")
     ).select("table_id", "row_idx", "col_idx", F.col("_c.names").alias("col_name"), F.col("_c.cells").alias("value"))
 
