@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.text import canonical_float, norm_text
 from tablescout.operators.scaling import fits, ordinal, salted_join, small_side
+from tablescout.session import materialize
 
 
 def referenced_columns(questions: DataFrame, struct: str = "sql_struct") -> DataFrame:
@@ -58,7 +59,8 @@ def verify_cells(questions: DataFrame, conditions: DataFrame, shared: DataFrame,
     keys = F.array_distinct(F.array_compact(F.array(F.col("t"), canonical_float(F.col("t")))))
     opened = named.select("table_id", "row_idx", "name", F.explode(keys).alias("v"))
     probe_side = F.broadcast(probes) if fits(probes) else probes
-    matching = opened.join(probe_side, ["name", "v"], "left_semi").distinct()
+    # Cells equal to some asked value: read for the counts and for the join.
+    matching = materialize(opened.join(probe_side, ["name", "v"], "left_semi").distinct(), "matching-cells")
     counts = matching.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
     met = salted_join(matching, cond, counts, ["name", "v"], ["table_id", "row_idx"])
     others = shared.join(

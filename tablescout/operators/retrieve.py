@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablescout.functions.text import table_of_doc
 from tablescout.operators.scaling import BROADCAST_ROWS, fits, top_per_group
 from tablescout.operators.vectors import cosine, vector_topk
+from tablescout.session import materialize
 
 RERANK_MODES = ("NONE", "COSINE", "LLM", "DIRECT_SCORE")
 
@@ -84,7 +85,8 @@ def rank_documents(scored: DataFrame, k: int, by: list[str] | None = None) -> Da
 def pooled_candidates(text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
     """Candidates of both retrievers up to `depth` with completed scores."""
     asked = queries.count()
-    cands = candidates(text_topk(text_scores, depth), vector_topk(queries, vectors, depth, asked=asked))
+    tops = candidates(text_topk(text_scores, depth), vector_topk(queries, vectors, depth, asked=asked))
+    cands = materialize(tops, "candidates")  # at most 2 * depth rows per question, read twice below
     return complete_scores(cands, text_scores, queries, vectors, asked * 2 * depth)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablescout.functions.stemming import stem_terms
 from tablescout.functions.text import index_terms
 from tablescout.operators.scaling import fits, salted_join
+from tablescout.session import materialize
 
 # Default constants of the ranking function.
 K1 = 1.5
@@ -94,9 +95,9 @@ def score(
 def score_corpus(analyzed: DataFrame, q_terms: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Scores straight from an analyzed corpus that has no stored index.
 
-    One aggregation serves document frequencies, corpus statistics and scores: words
-    nobody asks for fall into the empty term, which every document has once, so the
-    shuffle carries asked terms and one length row per document."""
+    One pass over the texts serves document frequencies, corpus statistics and scores: words
+    nobody asks for fall into the empty term, which every document has once, so the shuffle
+    carries asked terms and one length row per document. That slice is written and re-read."""
     few = fits(q_terms)
     seen = analyzed.select(
         doc, F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")
@@ -104,14 +105,14 @@ def score_corpus(analyzed: DataFrame, q_terms: DataFrame, doc: str = "doc_id") -
     if few:
         asked = F.broadcast(q_terms.select("term", F.col("term").alias("asked")).distinct())
         seen = seen.join(asked, "term", "left").select(doc, "dl", F.coalesce("asked", F.lit("")).alias("term"))
-    # Every branch below reads all columns of this aggregate, so its shuffle is shared.
-    hits = seen.groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length_row = (F.col("term") == "") & (F.col("tf") > 0)
-    stats = hits.agg(
-        F.count(F.when(length_row, 1)).alias("n_docs"), F.avg(F.when(length_row, F.col("dl"))).alias("avgdl")
-    )
-    terms = hits.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
-    return score(weigh(hits, terms, stats, doc, few or None), q_terms, None, doc, few)
+    every = materialize(seen.groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "asked-postings")
+    stats = corpus_lengths(every.where(F.col("term") == ""))
+    hits = every.where(F.col("term") != "")
+    return score(weigh(hits, term_stats(hits), stats, doc, few or None), q_terms, None, doc, few)
+
+
+def corpus_lengths(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def appended_stats(old: DataFrame, new: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
