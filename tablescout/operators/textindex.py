@@ -115,14 +115,16 @@ def corpus_lengths(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def appended_stats(old: DataFrame, new: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Statistics after an append: per-part counts are added up, old postings stay as they are."""
-    parts = [term_stats(postings(part, doc)) for part in (old, new)]
-    df = parts[0].unionByName(parts[1]).groupBy("term").agg(F.sum("df").alias("df"))
-    totals = [
-        part.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("len")) for part in (old, new)
-    ]
-    stats = totals[0].unionByName(totals[1]).agg(
-        F.sum("n").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avgdl")
-    )
-    return df, stats
+def corpus_totals(analyzed: DataFrame) -> DataFrame:
+    return analyzed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("len"))
+
+
+def appended_stats(
+    stored_terms: DataFrame, stored_totals: DataFrame, new: DataFrame, doc: str = "doc_id"
+) -> tuple[DataFrame, DataFrame]:
+    """Document frequencies and corpus statistics after an append.
+
+    Only the new documents are read; their counts are added to the stored ones."""
+    df = stored_terms.unionByName(term_stats(postings(new, doc))).groupBy("term").agg(F.sum("df").alias("df"))
+    totals = stored_totals.unionByName(corpus_totals(new))
+    return df, totals.agg(F.sum("n").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avgdl"))

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from tablescout.operators.scaling import top_per_group
 
-VECTOR_SHARD = 65_536
-QUERY_BLOCK = 2_048
+VECTOR_SHARD = 16_384
+QUERY_BLOCK = 1_024
 
 
 def hashed_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:

@@ -9,11 +9,14 @@ from tablescout.operators import benchgen as BG
 from tablescout.operators import documents as D
 from tablescout.operators import profile as PR
 from tablescout.plans.lake import CELLS_SQL, COLUMNS_SQL, lake_cells, lake_columns
-from tablescout.plans.profiling import RANGES_SQL, TYPES_SQL, draw_sql, drawn_sql, strip_sql
+from tablescout.plans.profiling import RANGES_SQL, draw_sql, drawn_sql, sampled_sql, strip_sql, types_sql
 from tablescout.plans.registry import query, table
 from tablescout.plans.retrieval import terms_sql
 
 
+PROMPT_ROWS = 10
+
+
 # ---- sampled question structures ---------------------------------------------------------------
 
 def u_sql(tag: str, *more: str) -> str:
@@ -45,7 +48,8 @@ _ONE, _LOW, _HIGH = number_sql("c", "v")
 _H1, _HL, _HH = number_sql("a1", "h")
 _OP = f"case when c.numeric then {choice_sql(BG.PREDICATES, 'op', 'c.col_idx')} else '=' end"
 
-STRUCT_SQL = f"""{CELLS_SQL}, cols as (select distinct table_id, col_idx, col_name from cells), {TYPES_SQL}, {RANGES_SQL},
+STRUCT_SQL = f"""{CELLS_SQL}, cols as (select distinct table_id, col_idx, col_name from cells),
+{sampled_sql(10, keys="pk", out="pr")}, {types_sql("pr")}, {RANGES_SQL},
 pc as (select table_id, list({{'col_idx': col_idx, 'col_name': col_name, 'numeric': infer_type in ('INT', 'FLOAT'), 'lo': lo, 'hi': hi, 'all_int': all_int}} order by col_idx) as cols
   from cols join ty using (table_id, col_idx) left join rg using (table_id, col_idx) group by table_id),
 a0 as (select *, list_filter(cols, lambda c: c.numeric) as num, list_filter(cols, lambda c: not c.numeric) as txt
@@ -70,7 +74,7 @@ st as (select *, list_transform(pcols, lambda c: {{'col': c.col_idx, 'col_name':
     'val_2': case when {_OP} = 'between' then {_HIGH} end}}) as wh0 from a6),
 en as (select table_id, attempt, unnest(list_filter(wh0, lambda c: c.op = '=')) as c from st),
 em as (select table_id, attempt, count(*) as need from en group by all),
-er as (select en.table_id, en.attempt, row_idx from en join cells on cells.table_id = en.table_id and cells.col_idx = en.c.col
+er as (select en.table_id, en.attempt, row_idx from en join pr on pr.table_id = en.table_id and pr.col_idx = en.c.col
   join em on em.table_id = en.table_id and em.attempt = en.attempt
   where trim(coalesce(value, '')) <> '' group by en.table_id, en.attempt, row_idx, need having count(*) = need),
 ep as (select * from er qualify row_number() over (partition by table_id, attempt
@@ -85,14 +89,16 @@ gq as (select st.*, ev.row_idx, case when len(list_filter(wh0, lambda c: c.op =
 
 def prompt_columns(spark, sf):
     cells = lake_cells(spark, sf)
-    types = PR.infer_types(cells)
+    types = PR.infer_types(PR.sampled_cells(cells, PROMPT_ROWS))
     return lake_columns(spark, sf).join(types, PR.COLUMN).join(PR.numeric_ranges(cells), PR.COLUMN, "left").select(
         *PR.COLUMN, "col_name", F.col("infer_type").isin("INT", "FLOAT").alias("numeric"), "lo", "hi", "all_int"
     )
 
 
 def structures(spark, sf):
-    return BG.fill_equalities(BG.sample_structures(prompt_columns(spark, sf)), lake_cells(spark, sf))
+    """Types and equality values come from the sampled prompt rows of each table."""
+    prompt_rows = PR.sampled_cells(lake_cells(spark, sf), PROMPT_ROWS)
+    return BG.fill_equalities(BG.sample_structures(prompt_columns(spark, sf)), prompt_rows)
 
 
 @query("gen_12", f"""with {STRUCT_SQL}

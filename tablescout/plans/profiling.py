@@ -106,16 +106,20 @@ def side_car(spark, sf):
     return out.select("stem", "table_id", "title", F.array_join("col_names", ",").alias("names"), "accepted")
 
 
-TYPES_SQL = r"""
+def types_sql(cells: str = "cells") -> str:
+    return rf"""
 ct as (select table_id, col_idx, row_idx, case when lower(trim(value)) in ('true', 'false', 't', 'f') then 'BOOL'
    when regexp_matches(trim(value), '^[+-]?[0-9]+$') then 'INT' when regexp_matches(trim(value), '^-?[0-9]+\.[0-9]+$') then 'FLOAT'
    when regexp_matches(lower(trim(value)), '^multipolygon[0-9(), .]*$') then 'POLYGON' else 'Other' end as t
-   from cells where coalesce(value, '') <> ''),
+   from {cells} where coalesce(value, '') <> ''),
 cc as (select *, count(*) over (partition by table_id, col_idx, t order by row_idx) as running from ct),
 ty as (select table_id, col_idx, coalesce(arg_min(t, row_idx) filter (t <> 'Other' and running >= case t when 'POLYGON' then 1 else 3 end), 'Other') as infer_type
    from cc group by all)"""
 
 
+TYPES_SQL = types_sql()
+
+
 @query("gen_06", f"with {CELLS_SQL}, {TYPES_SQL} select table_id, col_idx, infer_type from ty")
 def type_inference(spark, sf):
     return PR.infer_types(lake_cells(spark, sf))
@@ -152,11 +156,11 @@ def column_sampling(spark, sf):
     return PR.sample_columns(wide)
 
 
-def sampled_sql(rows: int, seed: int = 0) -> str:
+def sampled_sql(rows: int, seed: int = 0, keys: str = "sk", out: str = "sc") -> str:
     return f"""
-sk as (select table_id, row_idx from cells where col_idx = 0
+{keys} as (select table_id, row_idx from cells where col_idx = 0
   qualify row_number() over (partition by table_id order by md5('{seed}|' || table_id || '|' || row_idx), row_idx) <= {rows}),
-sc as (select cells.* from cells join sk using (table_id, row_idx))"""
+{out} as (select cells.* from cells join {keys} using (table_id, row_idx))"""
 
 
 RANGES_SQL = rf"""{sampled_sql(100)},

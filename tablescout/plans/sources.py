@@ -148,7 +148,7 @@ def csv_sink(spark, sf):
     titles = lake_cells(spark, sf).select("table_id").distinct().withColumn(
         "title", F.concat(F.lit("."), F.replace("table_id", F.lit("r"), F.lit("/r")))
     )
-    docs = NT.nest_cells(lake_cells(spark, sf), titles, rows_per_document=1_000_000)
+    docs = NT.nest_cells(lake_cells(spark, sf), titles)
     path = scratch_path(spark, "sink")
     NT.write_csv(docs, path)
     lines = spark.read.option("basePath", path).text(path)

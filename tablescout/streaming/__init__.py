@@ -1,0 +1 @@
+"""Empty on purpose: the work is batch only; new files are found by the pending scan of the catalog."""
