@@ -12,6 +12,7 @@ from tablescout.functions import text as tx
 from tablescout.functions.hashing import draw, hash_rank
 from tablescout.operators.profile import complete_row, drawn_value
 from tablescout.operators.scaling import fits, salted_join, top_per_group
+from tablescout.session import materialize
 
 # Operators a question may use and the chances of its parts.
 AGGREGATES = ["max", "min", "avg", "sum"]
@@ -123,7 +124,7 @@ def fill_equalities(structures: DataFrame, cells: DataFrame, seed=7) -> DataFram
     """Values of `=` conditions from one complete row per question; without such a row the
     question keeps no condition."""
     qid = F.concat_ws("#", "table_id", F.col("attempt").cast("string"))
-    keyed = structures.withColumn("question_id", qid)
+    keyed = materialize(structures.withColumn("question_id", qid), "structures")
     needed = keyed.select("question_id", "table_id", F.explode("sql_struct.where").alias("c")).where("c.op = '='").select(
         "question_id", "table_id", F.col("c.col").alias("col_idx")
     )

@@ -12,6 +12,7 @@ from tablescout.plans.lake import CELLS_SQL, COLUMNS_SQL, lake_cells, lake_colum
 from tablescout.plans.profiling import RANGES_SQL, draw_sql, drawn_sql, sampled_sql, strip_sql, types_sql
 from tablescout.plans.registry import query, table
 from tablescout.plans.retrieval import terms_sql
+from tablescout.session import materialize
 
 
 PROMPT_ROWS = 10
@@ -87,9 +88,9 @@ gq as (select st.*, ev.row_idx, case when len(list_filter(wh0, lambda c: c.op =
   from st left join ev using (table_id, attempt))"""
 
 
-def prompt_columns(spark, sf):
+def prompt_columns(spark, sf, prompt_rows):
     cells = lake_cells(spark, sf)
-    types = PR.infer_types(PR.sampled_cells(cells, PROMPT_ROWS))
+    types = PR.infer_types(prompt_rows)
     return lake_columns(spark, sf).join(types, PR.COLUMN).join(PR.numeric_ranges(cells), PR.COLUMN, "left").select(
         *PR.COLUMN, "col_name", F.col("infer_type").isin("INT", "FLOAT").alias("numeric"), "lo", "hi", "all_int"
     )
@@ -97,8 +98,8 @@ def prompt_columns(spark, sf):
 
 def structures(spark, sf):
     """Types and equality values come from the sampled prompt rows of each table."""
-    prompt_rows = PR.sampled_cells(lake_cells(spark, sf), PROMPT_ROWS)
-    return BG.fill_equalities(BG.sample_structures(prompt_columns(spark, sf)), prompt_rows)
+    prompt_rows = materialize(PR.sampled_cells(lake_cells(spark, sf), PROMPT_ROWS), "prompt-rows")
+    return BG.fill_equalities(BG.sample_structures(prompt_columns(spark, sf, prompt_rows)), prompt_rows)
 
 
 @query("gen_12", f"""with {STRUCT_SQL}

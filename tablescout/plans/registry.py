@@ -24,9 +24,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_frames: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, by: str | None = None) -> DataFrame:
-    """A driver table with only the asked columns, spread over the cores if it is one split."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table with only the asked columns, spread over the cores if it is one split.
+
+    The file listing and schema of a table are looked up once per application; no data is kept."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _frames:
+        _frames[key] = spark.read.parquet(key[1])
+    df = _frames[key]
     if columns:
         df = df.select(*columns)
-    return spread(df, *([by] if by else [])) if by else df
+    return spread(df, by) if by else df
