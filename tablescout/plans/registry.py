@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def cast_oracle(name: str, types: dict[str, str]) -> None:
+    casts = ", ".join(f"{c}::{t} as {c}" for c, t in types.items())
+    ORACLES[name] = f"select * replace ({casts}) from ({ORACLES[name]}\n) casted"
+
+
 _frames: dict[tuple[str, str], DataFrame] = {}
 
 
