@@ -41,11 +41,6 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never re-used path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
