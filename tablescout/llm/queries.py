@@ -38,3 +38,31 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     counted = token_counts(docs, path or vocabulary("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; learns from the rows not held out."""
+    from tablescout.llm.language_id import identify, train
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = train(docs.where(fold != 2))
+    rows = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text")
+    return identify(rows, model).drop("text")
+
+
+@query("op7_sentence_pieces")
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the ids as big-endian 32-bit numbers), round_trip (decoding gives the text
+    back) of every document."""
+    from tablescout.llm.sentence_pieces import decode_pieces, encode_pieces
+
+    path = path or vocabulary("piece_bpe_32k.model")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    decoded = decode_pieces(encode_pieces(docs, path), path)
+    digits = F.concat_ws("", F.transform("piece_ids", lambda i: F.lpad(F.hex(i), 8, "0")))
+    return decoded.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.unhex(digits)).alias("ids_crc32"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
