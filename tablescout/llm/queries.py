@@ -66,3 +66,20 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str, path: str | None = Non
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.unhex(digits)).alias("ids_crc32"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )
+
+
+@query("op9_two_pass_shuffle")
+def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, read back from the
+    written shards."""
+    from tablescout.llm.common import utf8_bytes
+    from tablescout.llm.two_pass_shuffle import two_pass_shuffle, write_shards
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    path = write_shards(two_pass_shuffle(docs, shards, utf8_bytes("text")))
+    back = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+    return back.select(
+        "doc_id", (utf8_bytes("text") + 8).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
