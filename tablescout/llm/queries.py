@@ -83,3 +83,55 @@ def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str, shards: int = 24) ->
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+SEARCH_K = 20
+ASKED_EVERY = 20
+
+_SEARCH_SQL = """
+with usable as (
+    select vec_id, min([{component} for x in embedding]) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 {more}
+    group by vec_id
+),
+scored as (
+    select q.vec_id as query_id, c.vec_id, {score} as score
+    from usable q join usable c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 20
+"""
+
+
+@query("op6_vantage_points", _SEARCH_SQL.format(
+    component="x::double", more="and len(list_filter(embedding, lambda x: x <> 0)) > 0", score="list_inner_product(q.v, c.v)"))
+def op6_vantage_points(spark: SparkSession, sf_dir: str, relax: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: 20 nearest vectors by inner product for every 20th vector."""
+    from tablescout.llm.vantage_points import RELAX, index_trees, vp_topk
+    from tablescout.llm.vector_grid import finite
+
+    v = F.col("embedding")
+    rows = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").where(
+        F.col("vec_id").isNotNull() & finite(v) & F.exists(v, lambda x: x != 0)
+    ).select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("vector"))
+    asked = rows.where(F.col("vec_id") % ASKED_EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    return vp_topk(asked, index_trees(rows), SEARCH_K, RELAX if relax is None else relax)
+
+
+@query("op10_va_file", _SEARCH_SQL.format(
+    component="floor(64 * x::double)::bigint", more="",
+    score="coalesce(list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)]), 0)::bigint"))
+def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the exact 20 largest integer inner products for every 20th vector."""
+    from tablescout.llm.va_file import index_files, va_topk
+    from tablescout.llm.vector_grid import finite
+
+    v = F.col("embedding")
+    rows = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").where(
+        F.col("vec_id").isNotNull() & finite(v)
+    ).select("vec_id", F.transform(v, lambda x: F.floor(F.lit(64) * x.cast("double"))).alias("vector"))
+    asked = rows.where(F.col("vec_id") % ASKED_EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    return va_topk(asked, index_files(rows), SEARCH_K)
