@@ -135,3 +135,36 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vec_id", F.transform(v, lambda x: F.floor(F.lit(64) * x.cast("double"))).alias("vector"))
     asked = rows.where(F.col("vec_id") % ASKED_EVERY == 0).withColumnRenamed("vec_id", "query_id")
     return va_topk(asked, index_files(rows), SEARCH_K)
+
+
+_WARC_SQL = """
+with payloads as (
+    select page_id, sha1(coalesce(html, '')) as h, strlen(coalesce(html, '')) as n from pages
+),
+kept as (select h, max(page_id) as keeper from payloads group by h)
+select page_id, n::bigint as payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::integer >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+        for i in range(32)], '') as payload_digest,
+    case when keeper is null or page_id = keeper then 'response' else 'revisit' end as record_type,
+    case when keeper is null or page_id = keeper then null else keeper end as refers_to
+from payloads join kept using (h)
+"""
+
+
+@query("op4_warc_bundles", _WARC_SQL)
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from the archives."""
+    from tablescout.llm.warc_bundles import read_bundles, write_bundles
+
+    bundles = write_bundles(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    from tablescout.llm.source_mix import mix
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
