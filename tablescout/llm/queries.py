@@ -168,3 +168,41 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_JACCARD_SQL = r"""
+with recursive lowered as (
+    select doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+    from documents
+),
+shingled as materialized (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end) as s
+    from lowered
+),
+sizes as materialized (select doc_id, count(*) as n from shingled group by doc_id),
+shared as (
+    select x.doc_id as a, y.doc_id as b, count(*) as common
+    from shingled x join shingled y on x.s = y.s and x.doc_id <> y.doc_id group by all
+),
+links as materialized (
+    select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+    where 100 * common >= 85 * (p.n + q.n - common)
+),
+reached(doc_id, seen) as (
+    select doc_id, doc_id from documents
+    union select links.b, reached.seen from reached join links on links.a = reached.doc_id
+)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(seen) as component_id
+from documents d left join sizes using (doc_id) join reached using (doc_id) group by d.doc_id
+"""
+
+
+@query("op8_ngram_join", _JACCARD_SQL)
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: 4-word shingles, Jaccard of at least 0.85."""
+    from tablescout.llm.ngram_join import near_groups
+
+    return near_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)
