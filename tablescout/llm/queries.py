@@ -54,16 +54,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_sentence_pieces")
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as big-endian 32-bit numbers), round_trip (decoding gives the text
-    back) of every document."""
+    """doc_id, n_pieces, ids_hash (Spark's xxhash64 of the id array), round_trip (decoding gives the text back)
+    of every document."""
     from tablescout.llm.sentence_pieces import decode_pieces, encode_pieces
 
     path = path or vocabulary("piece_bpe_32k.model")
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     decoded = decode_pieces(encode_pieces(docs, path), path)
-    digits = F.concat_ws("", F.transform("piece_ids", lambda i: F.lpad(F.hex(i), 8, "0")))
     return decoded.select(
-        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.unhex(digits)).alias("ids_crc32"),
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-MEMO_STRETCHES = 500_000
+MEMO_STRETCHES = 300_000
 STEP_TEXTS = 64
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -93,7 +93,7 @@ class PieceModel:
         else:
             lone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
             self.stretch = re.compile(f"{BLANK}*[^{BLANK}{lone}]+|[{lone}]|{BLANK}+" if lone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
 
     def _merged(self, text: str) -> list[str]:
         """Plain merging, best score first, leftmost on ties; for two joined pieces only."""
@@ -107,45 +107,57 @@ class PieceModel:
         return parts
 
     def _can_follow(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self._follows.get(key)
-        if known is None:
-            if len(self._follows) > 2 * MEMO_STRETCHES:
-                self._follows.clear()
-            a, b = self.pieces[left], self.pieces[right]
-            known = self._follows[key] = self._merged(a + b) == [a, b]
-        return known
-
-    def _encode_stretch(self, text: str) -> list[int]:
-        """One pass: automaton matches arrive by end position, so every prefix is settled before it is used."""
-        n, low, unigram = len(text), self.low, self.kind == UNIGRAM
-        best = [0.0] + [-np.inf] * n
-        last = [-1] * (n + 1)  # piece that ends at the position; -1: a character of no piece
-        back = list(range(-1, n))
-        settled = 0
+        a, b = self.pieces[left], self.pieces[right]
+        return self._merged(a + b) == [a, b]
+
+    def _last_pieces(self, text: str) -> list[int]:
+        """bpe: the piece that ends at every position, -1 for a character of no piece. Matches arrive by end
+        position, so every prefix is settled before it is used."""
+        last, follows = [-1] * (len(text) + 1), self._follows
+        for end, (piece, size, _) in self.automaton.iter(text):
+            if last[end + 1] >= 0:
+                continue
+            left = last[end + 1 - size]
+            if left >= 0:
+                pair = left << 32 | piece
+                ok = follows.get(pair)
+                if ok is None:
+                    if len(follows) > MEMO_STRETCHES:
+                        follows.clear()
+                    ok = follows[pair] = self._can_follow(left, piece)
+                if not ok:
+                    continue
+            last[end + 1] = piece
+        return last
+
+    def _best_pieces(self, text: str) -> list[int]:
+        """unigram: the last piece of the best-scored path to every position."""
+        best = [0.0] + [-np.inf] * len(text)
+        last, settled = [-1] * (len(text) + 1), 0
         for end, (piece, size, score) in self.automaton.iter(text):
-            at, start = end + 1, end + 1 - size
-            while settled < at:  # what no piece covers is one unknown character
-                best[settled + 1] = best[settled] + low
+            while settled <= end:  # what no piece covers is one unknown character
+                best[settled + 1] = best[settled] + self.low
                 settled += 1
-            if unigram:
-                if best[start] + score > best[at]:
-                    best[at], last[at], back[at] = best[start] + score, piece, start
-            elif last[at] < 0 and (start == 0 or last[start] < 0 or self._can_follow(last[start], piece)):
-                last[at], back[at] = piece, start
-        path, at = [], n
-        while at > 0:
-            path.append((last[at], back[at], at))
-            at = back[at]
+            if best[end + 1 - size] + score > best[end + 1]:
+                best[end + 1], last[end + 1] = best[end + 1 - size] + score, piece
+        return last
+
+    def _encode_stretch(self, text: str) -> list[int]:
+        last = self._last_pieces(text) if self.kind == BPE else self._best_pieces(text)
         ids: list[int] = []
-        for piece, start, end in reversed(path):
+        at, pieces = len(text), self.pieces
+        while at > 0:
+            piece = last[at]
             if piece >= 0:
                 ids.append(piece)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in text[start:end].encode()]
+                at -= len(pieces[piece])
+                continue
+            at -= 1
+            if self.bytes:
+                ids += [self.bytes[b] for b in reversed(text[at : at + 1].encode())]
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
-        return ids
+        return ids[::-1]
 
     def encode(self, text: str | None, memo: dict[str, bytes] | None = None) -> np.ndarray:
         """Piece ids of a whole text; a stretch that recurs is encoded once."""
