@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-MEMO_STRETCHES = 300_000
+MEMO_STRETCHES = 600_000
 STEP_TEXTS = 64
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -214,24 +214,28 @@ def piece_model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_pieces(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
-    """Adds the piece ids of every whole text as array<int>; other columns pass through, one of the
-    result's name is replaced. Null and empty texts give an empty array, repeated rows are encoded
-    each. No shuffle; `path` names the vocabulary file on every machine."""
-    keep = df.drop(ids)
-    schema = keep.withColumn(ids, F.array(F.lit(0))).schema
+def encode_pieces(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None) -> DataFrame:
+    """Adds the piece ids of every whole text as array<int> and, if `check` names a column, whether decoding
+    them gives the text back. Other columns pass through, those of the results' names are replaced.
+
+    Null and empty texts give an empty array (and true), repeated rows are encoded each. No shuffle;
+    `path` names the vocabulary file on every machine."""
+    keep = df.drop(ids, *([check] if check else []))
+    out = keep.withColumn(ids, F.array(F.lit(0)))
+    schema = (out.withColumn(check, F.lit(True)) if check else out).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = piece_model(path), {}
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for at in range(0, len(texts), STEP_TEXTS):
-                rows = model.encode_many(texts[at : at + STEP_TEXTS], memo)
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            for at in range(0, batch.num_rows, STEP_TEXTS):
                 part = batch.slice(at, STEP_TEXTS)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                rows = model.encode_many(texts, memo)
+                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                added = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows), pa.int32()))]
+                if check:
+                    added.append(pa.array([a == (b or "") for a, b in zip(model.decode_many(rows), texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], schema.names)
 
     return keep.mapInArrow(run, schema)
 
