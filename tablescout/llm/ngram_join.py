@@ -12,7 +12,8 @@ that recur a lot last, so passages that many documents share seldom name a tree.
 2. In every tree's bucket the nodes are compared with its first and last node. Links join components.
 3. Buckets of more than three nodes that still hold several components go through R-trees: nodes
    outside the bucket's largest component search the members of other components. Pairs inside one
-   component need no check, so groups of copies never turn into all their pairs.
+   component need no check, so groups of copies never turn into all their pairs. A first round tries
+   the few best bounded members of each component, a second all that are still apart.
 
 Every candidate is bounded by points first and verified on whole shingle sets. No link is lost."""
 
@@ -29,6 +30,8 @@ from tablescout.llm.common import written
 from tablescout.llm.shingles import set_key, shingle_set
 
 GROUPS = 64
+FINE_GROUPS = 256
+FIRST_TRIES = 3
 COMMON_LIMIT = 100_000
 COUNT_STEP = 2_000_000
 CELL_NODES = 2_048
@@ -47,14 +50,16 @@ def _binary(rows: list[bytes]) -> pa.Array:
 # ---- points, keys and prefixes --------------------------------------------------------------------
 
 
-def group_counts(shingles: np.ndarray) -> np.ndarray:
-    """Shingles by group, the group being the top bits of the hash."""
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def group_counts(shingles: np.ndarray, groups: int = FINE_GROUPS) -> np.ndarray:
+    """Shingles by group, the group being the top bits of the hash; `groups` is a power of two."""
+    shift = np.uint64(64 - (groups.bit_length() - 1))
+    return np.bincount((shingles >> shift).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
 def _describe(words: int):
-    """Per document: id, set size, set key, point. At the end of a partition one row without `point` for
-    the shingles that recur in it, so that the order of shingles costs no pass of its own."""
+    """Per document: id, set size, set key, coarse and fine point. At the end of a partition one row without
+    points for the shingles that recur in it, so that the order of shingles costs no pass of its own."""
+    names = ["doc_id", "n_shingles", "node", "point", "fine", "common", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: dict[int, int] = {}
@@ -76,25 +81,28 @@ def _describe(words: int):
                 size, docs = size + len(s), docs + 1
                 if size >= COUNT_STEP:
                     count()
+            fine = [group_counts(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [_column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) for s in sets], pa.int64()), _binary([group_counts(s).tobytes() for s in sets]),
+                 pa.array([set_key(s) for s in sets], pa.int64()),
+                 _binary([f.reshape(GROUPS, -1).sum(axis=1, dtype=np.uint32).tobytes() for f in fine]),
+                 _binary([f.tobytes() for f in fine]),
                  pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "point", "common", "times"],
+                names,
             )
         count()
         top = sorted(common, key=lambda v: (-common[v], v))[:COMMON_LIMIT]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+            [*[pa.nulls(1, pa.int64())] * 3, *[pa.nulls(1, pa.binary())] * 2,
              pa.array([np.array(top, np.uint64).view(np.int64)], pa.list_(pa.int64())),
              pa.array([[common[v] for v in top]], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "node", "point", "common", "times"],
+            names,
         )
 
     return run
 
 
-_DESCRIBED = "doc_id long, n_shingles long, node long, point binary, common array<long>, times array<long>"
+_DESCRIBED = "doc_id long, n_shingles long, node long, point binary, fine binary, common array<long>, times array<long>"
 
 
 def _most_common(described: DataFrame) -> np.ndarray:
@@ -147,16 +155,15 @@ def needed(n_a, n_b, percent: int):
 
 
 def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), -1).astype(np.int64)
 
 
 def _bounded(percent: int):
     """Keeps the pairs whose points allow the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b for b in batches if b.num_rows):
             a, b = _points(_column(batch, "point_a")), _points(_column(batch, "point_b"))
             least = needed(a.sum(axis=1), b.sum(axis=1), percent)
             ok = np.minimum(a, b).sum(axis=1) >= least
@@ -254,11 +261,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class RTree:
-    """Packed tree over points. Rows are sorted by component, size and point, so that rectangles of copies
-    are small and a branch of one component can be left out whole."""
+    """Packed tree over points. Rows are sorted by component, size and one projection of the point, so that
+    rectangles of copies are small and a branch of one component can be left out whole."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
-        self.order = np.lexsort([*points.T[::-1], sizes, parts])
+        self.order = np.lexsort([points @ np.arange(points.shape[1]), sizes, parts])
         high, low_n, high_n = points[self.order], sizes[self.order], sizes[self.order]
         part = parts[self.order].copy()
         self.levels = [(high, low_n, high_n, part, np.ones(len(part), bool))]
@@ -283,19 +290,27 @@ class RTree:
         return self.order[open_rows]
 
 
-def _tree_pairs(percent: int):
-    """Candidate pairs of sorted cells: rows with `asks` search the tree over the cell's members."""
+def _tree_pairs(percent: int, tries: int | None):
+    """Candidate pairs of sorted cells: rows with `asks` search the tree over the cell's members. With
+    `tries` only the best bounded few of each component are named."""
 
     def cell(rows: pa.Table) -> pa.RecordBatch | None:
-        asks = rows["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        rows = rows.combine_chunks()
+        asks = rows["asks"].to_numpy().astype(bool)
         nodes, parts = rows["node"].to_numpy(), rows["root"].to_numpy()
-        points = _points(rows["point"].combine_chunks() if isinstance(rows["point"], pa.ChunkedArray) else rows["point"])
+        points = _points(rows["fine"])
         sizes = points.sum(axis=1)
         member = np.flatnonzero(~asks)
         tree = RTree(points[member], sizes[member], parts[member])
         a, b = [], []
         for i in np.flatnonzero(asks):
             hits = member[tree.search(points[i], int(sizes[i]), int(parts[i]), percent)]
+            if tries and len(hits):
+                bound = np.minimum(points[hits], points[i]).sum(axis=1)
+                hits = hits[np.lexsort((nodes[hits], -bound, parts[hits]))]
+                first = np.flatnonzero(np.append(True, parts[hits][1:] != parts[hits][:-1]))
+                place = np.arange(len(hits)) - np.repeat(first, np.diff(np.append(first, len(hits))))
+                hits = hits[place < tries]
             a.append(np.full(len(hits), nodes[i]))
             b.append(nodes[hits])
         if not a:
@@ -322,7 +337,9 @@ def _tree_pairs(percent: int):
     return run
 
 
-def _tree_candidates(rows: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _tree_candidates(
+    rows: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, tries: int | None = None
+) -> DataFrame:
     """Pairs of different components for buckets of more than three nodes.
 
     A bucket with more than CELL_NODES nodes is cut into cells, members one way and asking nodes the other;
@@ -344,9 +361,9 @@ def _tree_candidates(rows: DataFrame, nodes: DataFrame, labels: DataFrame, perce
         "h", "node", "root", F.lit(False).alias("asks"), place(1, "row_cells").alias("row_cell"), span("ask_cells").alias("ask_cell"))
     asking = open_rows.where("root <> big").select(
         "h", "node", "root", F.lit(True).alias("asks"), span("row_cells").alias("row_cell"), place(2, "ask_cells").alias("ask_cell"))
-    cells = members.unionByName(asking).join(nodes.select("node", "point"), "node")
+    cells = members.unionByName(asking).join(nodes.select("node", "fine"), "node")
     keys = ["h", "row_cell", "ask_cell"]
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_pairs(percent, tries), "a long, b long").distinct()
 
 
 # ---- the operator ---------------------------------------------------------------------------------
@@ -362,9 +379,10 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "do
     of equal sets if one has an id, else its component_id is null."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     described = written(docs.mapInArrow(_describe(words), _DESCRIBED), "shingle-sets")
-    known = described.where("point is not null").select("doc_id", "n_shingles", "node", "point")
+    known = described.where("point is not null").select("doc_id", "n_shingles", "node", "point", "fine")
     nodes = written(
-        known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "nodes"
+        known.where("n_shingles > 0").groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"), F.first("fine").alias("fine")), "nodes",
     )
     common = docs.sparkSession.sparkContext.broadcast(_most_common(described))
     rows = written(docs.mapInArrow(_prefixes(words, percent, common), "h long, node long"), "prefixes")
@@ -376,9 +394,11 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "do
     )
     links = _links(stars, docs, nodes, words, percent, "star")
     labels = components(links)
-    trees = _tree_candidates(shared.select("h", "node").distinct(), nodes, labels, percent)
-    more = _links(trees.join(links, ["a", "b"], "left_anti"), docs, nodes, words, percent, "tree")
-    labels = components(links.union(more))
+    members = shared.select("h", "node").distinct()
+    for tries in (FIRST_TRIES, None):  # the few best of each component first, then all that are still apart
+        trees = _tree_candidates(members, nodes, labels, percent, tries)
+        links = links.union(_links(trees.join(links, ["a", "b"], "left_anti"), docs, nodes, words, percent, "tree"))
+        labels = components(links)
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
     linked = named.join(labels.select("node"), "node", "left_semi")
     smallest = linked.groupBy("root").agg(F.min("rep").alias("least"))
