@@ -204,3 +204,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescout.llm.ngram_join import near_groups
 
     return near_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    from tablescout.llm.html_extraction import extract, train
+
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return extract(pages, train(pages)).select("page_id", "url", "text", "n_chars")
