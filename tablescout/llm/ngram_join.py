@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from tablescout.llm.common import written
 from tablescout.llm.shingles import set_key, shingle_set
 
-GROUPS = 64
-FINE_GROUPS = 256
+GROUPS = 256
+LONG_GROUPS = 1024
+LONG_SET = 1024
 FIRST_TRIES = 3
 COMMON_LIMIT = 100_000
 COUNT_STEP = 2_000_000
-CELL_NODES = 2_048
+CELL_NODES = 1_024
 FAN_OUT = 16
 FILTER_BITS = 1 << 23
 
@@ -50,16 +51,28 @@ def _binary(rows: list[bytes]) -> pa.Array:
 # ---- points, keys and prefixes --------------------------------------------------------------------
 
 
-def group_counts(shingles: np.ndarray, groups: int = FINE_GROUPS) -> np.ndarray:
-    """Shingles by group, the group being the top bits of the hash; `groups` is a power of two."""
-    shift = np.uint64(64 - (groups.bit_length() - 1))
-    return np.bincount((shingles >> shift).astype(np.int64), minlength=groups).astype(np.uint32)
+def group_counts(shingles: np.ndarray) -> bytes:
+    """The point of a set: its shingles by group, the group being the top bits of the hash. Sets beyond
+    LONG_SET have LONG_GROUPS groups, which fold to GROUPS; counts take one byte if all fit. The first
+    byte says which."""
+    groups = GROUPS if len(shingles) <= LONG_SET else LONG_GROUPS
+    counts = np.bincount((shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+    wide = counts.max(initial=0) > 255
+    return bytes([2 * (groups == LONG_GROUPS) + wide]) + counts.astype(np.uint32 if wide else np.uint8).tobytes()
+
+
+def _point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[1:], np.uint32 if raw[0] & 1 else np.uint8)
+
+
+def _folded(point: np.ndarray) -> np.ndarray:
+    return point.astype(np.int64) if len(point) == GROUPS else point.reshape(GROUPS, -1).sum(axis=1, dtype=np.int64)
 
 
 def _describe(words: int):
-    """Per document: id, set size, set key, coarse and fine point. At the end of a partition one row without
-    points for the shingles that recur in it, so that the order of shingles costs no pass of its own."""
-    names = ["doc_id", "n_shingles", "node", "point", "fine", "common", "times"]
+    """Per document: id, set size, set key, point. At the end of a partition one row without `point` for
+    the shingles that recur in it, so that the order of shingles costs no pass of its own."""
+    names = ["doc_id", "n_shingles", "node", "point", "common", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: dict[int, int] = {}
@@ -81,19 +94,17 @@ def _describe(words: int):
                 size, docs = size + len(s), docs + 1
                 if size >= COUNT_STEP:
                     count()
-            fine = [group_counts(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [_column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) for s in sets], pa.int64()),
-                 _binary([f.reshape(GROUPS, -1).sum(axis=1, dtype=np.uint32).tobytes() for f in fine]),
-                 _binary([f.tobytes() for f in fine]),
+                 _binary([group_counts(s) for s in sets]),
                  pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))],
                 names,
             )
         count()
         top = sorted(common, key=lambda v: (-common[v], v))[:COMMON_LIMIT]
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(1, pa.int64())] * 3, *[pa.nulls(1, pa.binary())] * 2,
+            [*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()),
              pa.array([np.array(top, np.uint64).view(np.int64)], pa.list_(pa.int64())),
              pa.array([[common[v] for v in top]], pa.list_(pa.int64()))],
             names,
@@ -102,7 +113,7 @@ def _describe(words: int):
     return run
 
 
-_DESCRIBED = "doc_id long, n_shingles long, node long, point binary, fine binary, common array<long>, times array<long>"
+_DESCRIBED = "doc_id long, n_shingles long, node long, point binary, common array<long>, times array<long>"
 
 
 def _most_common(described: DataFrame) -> np.ndarray:
@@ -155,19 +166,27 @@ def needed(n_a, n_b, percent: int):
 
 
 def _points(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), -1).astype(np.int64)
+    """Points of equal width as one matrix."""
+    return np.array([_folded(_point(raw)) for raw in column.to_pylist()], np.int64).reshape(-1, GROUPS)
+
+
+def point_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Most shingles two sets can share; folds the wider point."""
+    if len(a) != len(b):
+        a, b = _folded(a), _folded(b)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def _bounded(percent: int):
     """Keeps the pairs whose points allow the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for b in batches if b.num_rows):
-            a, b = _points(_column(batch, "point_a")), _points(_column(batch, "point_b"))
-            least = needed(a.sum(axis=1), b.sum(axis=1), percent)
-            ok = np.minimum(a, b).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([_column(batch, "a"), _column(batch, "b")], ["a", "b"]).filter(pa.array(ok))
+        for batch in batches:
+            ok = []
+            for a, b in zip(_column(batch, "point_a").to_pylist(), _column(batch, "point_b").to_pylist()):
+                a, b = _point(a), _point(b)
+                ok.append(point_bound(a, b) >= needed(int(a.sum(dtype=np.int64)), int(b.sum(dtype=np.int64)), percent))
+            yield pa.RecordBatch.from_arrays([_column(batch, "a"), _column(batch, "b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -298,7 +317,7 @@ def _tree_pairs(percent: int, tries: int | None):
         rows = rows.combine_chunks()
         asks = rows["asks"].to_numpy().astype(bool)
         nodes, parts = rows["node"].to_numpy(), rows["root"].to_numpy()
-        points = _points(rows["fine"])
+        points = _points(rows["point"])
         sizes = points.sum(axis=1)
         member = np.flatnonzero(~asks)
         tree = RTree(points[member], sizes[member], parts[member])
@@ -361,7 +380,7 @@ def _tree_candidates(
         "h", "node", "root", F.lit(False).alias("asks"), place(1, "row_cells").alias("row_cell"), span("ask_cells").alias("ask_cell"))
     asking = open_rows.where("root <> big").select(
         "h", "node", "root", F.lit(True).alias("asks"), span("row_cells").alias("row_cell"), place(2, "ask_cells").alias("ask_cell"))
-    cells = members.unionByName(asking).join(nodes.select("node", "fine"), "node")
+    cells = members.unionByName(asking).join(nodes.select("node", "point"), "node")
     keys = ["h", "row_cell", "ask_cell"]
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_pairs(percent, tries), "a long, b long").distinct()
 
@@ -379,22 +398,24 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "do
     of equal sets if one has an id, else its component_id is null."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     described = written(docs.mapInArrow(_describe(words), _DESCRIBED), "shingle-sets")
-    known = described.where("point is not null").select("doc_id", "n_shingles", "node", "point", "fine")
+    known = described.where("point is not null").select("doc_id", "n_shingles", "node", "point")
     nodes = written(
         known.where("n_shingles > 0").groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"), F.first("fine").alias("fine")), "nodes",
+        .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "nodes",
     )
     common = docs.sparkSession.sparkContext.broadcast(_most_common(described))
     rows = written(docs.mapInArrow(_prefixes(words, percent, common), "h long, node long"), "prefixes")
-    buckets = rows.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    shared = written(rows.join(buckets, "h").where("first <> last"), "buckets")
+    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    met = written(rows.join(again, "h").distinct(), "buckets")  # most shingles occur once and go here
+    ends = met.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    shared = written(met.join(ends, "h"), "bucket-ends")
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     stars = (
         shared.select(*ordered("first", "node")).union(shared.select(*ordered("last", "node"))).where("a <> b").distinct()
     )
     links = _links(stars, docs, nodes, words, percent, "star")
     labels = components(links)
-    members = shared.select("h", "node").distinct()
+    members = shared.select("h", "node")
     for tries in (FIRST_TRIES, None):  # the few best of each component first, then all that are still apart
         trees = _tree_candidates(members, nodes, labels, percent, tries)
         links = links.union(_links(trees.join(links, ["a", "b"], "left_anti"), docs, nodes, words, percent, "tree"))
