@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,7 +35,9 @@ def main() -> None:
     from tablescout.plans import QUERIES
     from tablescout.session import build_session
 
-    spark = build_session(f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"})
+    shared = os.environ.get("BENCH_SHARED") or tempfile.mkdtemp(prefix="bench-shared-")
+
+    spark = build_session(f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.checkpoint.dir": shared})
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or list(HEADLINE)
     best: dict[str, float] = {}

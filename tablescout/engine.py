@@ -98,9 +98,6 @@ class TableScout:
         batch = uuid.uuid4().hex
         target = f"{self.store.root}/rows/batch={batch}"
         S.lake_rows(self.spark, path).write.parquet(target)
-        # Only Parquet files too large for one task are read one by one, each as its own typed scan.
-        for big in files.where("route = 'typed'").select("path", "id").toLocalIterator():
-            S.typed_rows(S.read_parquet(self.spark, big["path"]), big["id"]).write.mode("append").parquet(target)
         rows = self.spark.read.schema(S.ROW_SCHEMA).parquet(target)
         content = F.concat_ws("\u0001", F.to_json("names"), F.to_json(F.struct("cells")))  # the header counts too
         hashes = C.table_fingerprint(rows.select("table_id", content.alias("content")), "table_id", ["content"])

@@ -112,23 +112,23 @@ def cell_type(c) -> Column:
 
 
 def canonical_float(c) -> Column:
-    """`5.00` and `5.0` as one text; null when the text is not a float literal."""
-    return F.when(is_float(c), strip(c).cast("double").cast("string"))
+    """`5.00` and `5.0` as one text, in plain digits at every size; null when the text is not a float literal."""
+    digits = F.regexp_replace(F.regexp_replace(strip(c), r"^(-?)0+(?=[0-9])", "$1"), r"(\.[0-9]+?)0+$", "$1")
+    return F.when(is_float(c), F.when(digits == "-0.0", "0.0").otherwise(digits))
 
 
 def sheet_letters(col_no: Column) -> Column:
-    """1-based column number in spreadsheet letters (up to three letters)."""
-    z = col_no.cast("long") - 1
-    one = F.chr(F.pmod(z, F.lit(26)) + 65)
-    z2 = F.floor(z / 26) - 1
-    two = F.chr(F.pmod(z2, F.lit(26)) + 65)
-    z3 = F.floor(z2 / 26) - 1
-    three = F.chr(F.pmod(z3, F.lit(26)) + 65)
-    return (
-        F.when(z < 26, one)
-        .when(z < 26 + 26 * 26, F.concat(two, one))
-        .otherwise(F.concat(three, two, one))
-    )
+    """1-based column number in spreadsheet letters, of any length a long can need."""
+    start = F.struct(col_no.cast("long").alias("left"), F.lit("").alias("text"))
+
+    def step(at, _):
+        rest = at["left"] - 1
+        letter = F.chr(F.pmod(rest, F.lit(26)) + 65)
+        return F.when(at["left"] <= 0, at).otherwise(
+            F.struct(F.floor(rest / 26).cast("long").alias("left"), F.concat(letter, at["text"]).alias("text"))
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda at: at["text"])  # 26^14 exceeds a long
 
 
 def row_text(columns: list[str], sep: str = " | ", null_text: str = "") -> Column:

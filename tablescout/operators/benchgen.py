@@ -232,9 +232,9 @@ def context_prompt(schema_text: Column, question: Column, n_rows: Column) -> Col
 
 
 def stratified_sample(contexts: DataFrame, by: str, key: str, total: int = 1020, seed=0) -> DataFrame:
-    """total // groups contexts per elicitation question in hash order."""
+    """total // groups contexts per elicitation question, at least one, in hash order."""
     groups = contexts.select(by).distinct().count()
-    size = total // max(1, groups)
+    size = max(1, total // max(1, groups))
     drawn = contexts.withColumn("_d", hash_rank(seed, F.col(by), F.col(key)))
     return top_per_group(drawn, [by], [F.col("_d"), F.col(key)], size, "sample_no").drop("_d")
 

@@ -205,4 +205,5 @@ def joinable(cells: DataFrame, captions: DataFrame, first_columns: int = 6, keys
 
 
 def row_counts(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("table_id").agg((F.max("row_idx") + 1).alias("n_rows"))
+    """Rows that are there, one per first cell; row numbers may have gaps."""
+    return cells.where("col_idx = 0").groupBy("table_id").agg(F.count(F.lit(1)).alias("n_rows"))

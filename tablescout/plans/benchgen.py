@@ -285,7 +285,7 @@ _W = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')
 
 @query("gen_27", f"""
 with w as (select doc_id, {_W} as w from documents),
-n as (select doc_id, array_to_string(w, ' ') as q, [w[3], w[1], 'zz'] as cols, [array_to_string(list_slice(w, 4, 6), ' '), w[8]] as vals, len(w) as n from w where len(w) >= 12)
+n as (select doc_id, array_to_string(w, ' ') as q, list_filter([w[3], w[1], 'zz'], lambda c: c is not null) as cols, list_filter([array_to_string(list_slice(w, 4, 6), ' '), w[8]], lambda c: c is not null) as vals, len(w) as n from w)
 select doc_id,
   array_to_string(list_filter(cols, lambda c: instr(q, c) > 1 and substr(q, instr(q, c) - 1, 1) in (' ', '(') and substr(q, instr(q, c) + length(c), 1) in (' ', ')')), '|') as copied_cols,
   array_to_string(list_filter(vals, lambda c: len(string_split(c, ' ')) >= 3 and instr(q, c) > 1 and substr(q, instr(q, c) - 1, 1) in (' ', '(') and substr(q, instr(q, c) + length(c), 1) in (' ', ')')), '|') as copied_cells from n""")
@@ -294,9 +294,10 @@ def copied_text(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "text", by="doc_id")
     w = tx.split_ws(F.lower("text"))
     at = lambda i: F.get(w, F.lit(i))
-    asked = docs.where(F.size(w) >= 12).select(
-        "doc_id", F.col("text").alias("question"), F.array(at(2), at(0), F.lit("zz")).alias("ref_col_names"),
-        F.array(F.array_join(F.slice(w, 4, 3), " "), at(7)).alias("ref_values"),
+    asked = docs.select(
+        "doc_id", F.col("text").alias("question"),
+        F.array_compact(F.array(at(2), at(0), F.lit("zz"))).alias("ref_col_names"),
+        F.array_compact(F.array(F.array_join(F.slice(w, 4, 3), " "), at(7))).alias("ref_values"),
     )
     out = BG.copied_texts(asked)
     return out.select(

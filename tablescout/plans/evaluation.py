@@ -1,4 +1,4 @@
-"""Evaluation queries (EVA). The label of a document's vector stands for its table."""
+"""Evaluation queries (EVA). A document's source stands for its table; a question's answer is the source of the document with its number."""
 
 from __future__ import annotations
 
@@ -33,20 +33,19 @@ def variant_selection(spark, sf):
 
 
 _LABELS_SQL = f"""{P.fused_sql()},
-aw as (select item_id as query_id, label::varchar as table_id from benchmark join embeddings on item_id = vec_id),
-tb as (select rk.query_id, docs.label::varchar as table_id, min(rk.rank) as doc_rank
+aw as (select item_id as query_id, source as table_id from benchmark join documents on item_id = doc_id),
+tb as (select rk.query_id, docs.source as table_id, min(rk.rank) as doc_rank
        from rk join docs using (doc_id) where rk.rank <= {P.K} group by all),
 ht as (select qs.query_id, max(case when aw.table_id is not null then 1 else 0 end) as hit
        from qs left join tb using (query_id) left join aw using (query_id, table_id) group by 1)"""
 
 
 def hit_rows(spark, sf):
-    labels = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))
-    ranked = P.fused(spark, sf)
-    tables = R.tables_of(ranked.join(labels, ranked.doc_id == labels.vec_id), P.K, F.col("label"))
+    sources = table(spark, sf, "documents", "doc_id", "source")
+    tables = R.tables_of(P.few_ranked(spark, sf).join(sources, "doc_id"), P.K, F.col("source"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    answers = asked.join(labels, asked.query_id == labels.vec_id).select("query_id", F.col("label").alias("table_id"))
-    return E.hits(tables, answers, answers.select("query_id"), P.K)
+    answers = asked.join(sources, asked.query_id == sources.doc_id).select("query_id", F.col("source").alias("table_id"))
+    return E.hits(tables, answers, asked, P.K)
 
 
 @query("eva_02", f"with {_LABELS_SQL} select query_id, hit from ht")
@@ -79,19 +78,19 @@ gn as (select *,
    from gw window w as (partition by k, n, alpha, query_id)),
 gr as (select *, row_number() over (partition by k, n, alpha, query_id order by round(alpha * tn + (1 - alpha) * vn, 6) desc, doc_id) as rank
        from gn qualify rank <= k),
-gh as (select k, n, alpha, gr.query_id, max(case when d.label = q.label then 1 else 0 end) as hit
-       from gr join embeddings d on d.vec_id = gr.doc_id join embeddings q on q.vec_id = gr.query_id group by all)
+gh as (select k, n, alpha, gr.query_id, max(case when d.source = q.source then 1 else 0 end) as hit
+       from gr join documents d on d.doc_id = gr.doc_id left join documents q on q.doc_id = gr.query_id group by all)
 select k, n, alpha, round(avg(hit) * 100, 2) as hitrate, sum(hit) as hits, count(*) as questions from gh group by all""")
 def parameter_grid(spark, sf):
     docs, qs, scores = P.hybrid_inputs(spark, sf)
     pooled = R.pooled_candidates(
         scores, qs.select("query_id", "vector"), docs.select("doc_id", "vector"), E.grid_depth(POINTS)
     )
-    labels = table(spark, sf, "embeddings")
-    labelled = pooled.join(
-        labels.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("d_label")), "doc_id"
-    ).join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
-    return E.hit_rates(E.grid_hits(labelled, POINTS, F.col("d_label") == F.col("q_label")), E.GRID_KEYS)
+    sources = table(spark, sf, "documents", "doc_id", "source")
+    labelled = pooled.join(sources.withColumnRenamed("source", "d_source"), "doc_id").join(
+        sources.select(F.col("doc_id").alias("query_id"), F.col("source").alias("q_source")), "query_id", "left"
+    )
+    return E.hit_rates(E.grid_hits(labelled, POINTS, F.coalesce(F.col("d_source") == F.col("q_source"), F.lit(False))), E.GRID_KEYS)
 
 
 @query("eva_06", f"""with {P._CORPUS}, v as (

@@ -215,11 +215,11 @@ k as (select col_key, text_key from h qualify row_number() over (partition by co
 select col_key, text_key, table_id, 'Table ' || table_id as caption from s join k using (col_key, text_key)""")
 def joinable_tables(spark, sf):
     cells = lake_cells(spark, sf)
-    captions = cells.select("table_id").distinct().withColumn("caption", F.concat(F.lit("Table "), "table_id"))
+    captions = lake_columns(spark, sf).where("col_idx = 0").select("table_id", F.concat(F.lit("Table "), "table_id").alias("caption"))
     return PR.joinable(cells, captions)
 
 
-@query("gen_35", f"with {CELLS_SQL} select table_id, max(row_idx) + 1 as n_rows from cells group by 1")
+@query("gen_35", f"with {CELLS_SQL} select table_id, count(distinct row_idx) as n_rows from cells group by 1")
 def row_counts(spark, sf):
     return PR.row_counts(lake_cells(spark, sf))
 

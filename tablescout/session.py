@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,15 @@ def build_session(master: str | None = None, **extra) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; the cluster names it in spark.checkpoint.dir."""
+    """Folder every executor can reach; the cluster names it in spark.checkpoint.dir. Only a single local
+    process may do without and gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     app = spark.sparkContext.applicationId
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if app not in _fallback_dirs:
             _fallback_dirs[app] = tempfile.mkdtemp(prefix="tablescout-")
         named = _fallback_dirs[app]

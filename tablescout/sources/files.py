@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablescout.functions.text import strip
 from tablescout.operators.catalog import normal_id, table_name
 
-# One Parquet file of the small-table path is held by one task; larger ones take the typed scan.
-LARGE_FILE = 256 * 1024 * 1024
+FOOTER_READERS = 16
 SUPPORTED = ("csv", "parquet")
 MANY_FILES = 10_000
 
@@ -61,13 +60,11 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_outcomes(files: DataFrame) -> DataFrame:
-    """Per file: its id, name, whether it is taken, the scan it takes, and a reason if not."""
+    """Per file: its id, name, whether it is taken, and a reason if not."""
     ok = F.col("extension").isin(*SUPPORTED)
     return files.select(
         "path", "extension", "length", normal_id(F.col("path")).alias("id"), table_name(F.col("path")).alias("table_name"),
         ok.alias("accepted"),
-        F.when(~ok, "rejected").when((F.col("extension") == "parquet") & (F.col("length") > LARGE_FILE), "typed")
-        .otherwise("rows").alias("route"),
         F.when(~ok, "Invalid file type. Please use 'csv' or 'parquet'.").alias("reason"),
     )
 
@@ -104,47 +101,36 @@ def lake_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def lake_parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The same rows of every small Parquet file below a folder; a task decodes whole files batch by batch."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-        .load(folder).where(F.col("length") <= LARGE_FILE)
-        .select(normal_id(F.col("path")).alias("table_id"), "content")
-    )
+def schema_groups(spark: SparkSession, paths: list[str]) -> list[tuple[StructType, list[str]]]:
+    """Files with the same schema, from their footers alone; footers are looked up several at a time."""
+    with ThreadPoolExecutor(FOOTER_READERS) as pool:
+        schemas = list(pool.map(lambda p: spark.read.parquet(p).schema, paths))
+    groups: dict[str, tuple[StructType, list[str]]] = {}
+    for path, schema in zip(paths, schemas):
+        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    return list(groups.values())
 
-    def as_text(column):
-        import pyarrow as pa
-
-        if pa.types.is_nested(column.type) or pa.types.is_binary(column.type):
-            return [None if v is None else str(v) for v in column.to_pylist()]
-        return column.cast(pa.string()).to_pylist()
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
-
-        for pdf in batches:
-            for table_id, content in zip(pdf["table_id"], pdf["content"]):
-                at, file = 0, pq.ParquetFile(io.BytesIO(content))
-                yield pd.DataFrame({
-                    "table_id": [table_id], "row_idx": [-1], "names": [file.schema_arrow.names], "cells": [None],
-                })
-                for part in file.iter_batches(65_536):
-                    rows = [list(r) for r in zip(*[as_text(part.column(i)) for i in range(part.num_columns)])]
-                    yield pd.DataFrame({
-                        "table_id": table_id, "row_idx": range(at, at + len(rows)),
-                        "names": [part.schema.names] * len(rows), "cells": rows,
-                    })
-                    at += part.num_rows
-
-    return files.mapInPandas(decode, ROW_SCHEMA)
-
-
-def typed_rows(df: DataFrame, table_id: str) -> DataFrame:
-    """Rows of one large, non-empty typed table; positions are unique and ascending, not dense."""
-    return df.select(
-        F.lit(table_id).alias("table_id"), F.monotonically_increasing_id().alias("row_idx"),
-        F.array(*map(F.lit, df.columns)).alias("names"), F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("cells"),
-    )
+
+def lake_parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows of every Parquet file below a folder, whatever its size: one typed, splittable scan per
+    schema. Values have the text that Spark's cast gives their type, row numbers are the file's own."""
+    files = list_files(spark, folder).where("extension = 'parquet'").select("path")
+    paths = sorted(r[0] for r in files.collect())  # names only, as every scan's file index holds them
+    parts = [spark.createDataFrame([], ROW_SCHEMA)]
+    for schema, group in schema_groups(spark, paths):
+        names = F.array(*map(F.lit, schema.names)) if schema.names else F.array().cast("array<string>")
+        scan = spark.read.schema(schema).parquet(*group)
+        cells = F.array(*[F.col(f"`{c}`").cast("string") for c in schema.names]) if schema.names else F.array().cast("array<string>")
+        parts.append(scan.select(
+            normal_id(F.col("_metadata.file_path")).alias("table_id"), F.col("_metadata.row_index").alias("row_idx"),
+            names.alias("names"), cells.alias("cells"),
+        ))
+        heads = spark.createDataFrame([(p,) for p in group], "path string")
+        parts.append(heads.select(
+            normal_id(F.regexp_replace("path", "^file:/(?!/)", "file:///")).alias("table_id"), F.lit(-1).cast("long").alias("row_idx"),
+            names.alias("names"), F.lit(None).cast("array<string>").alias("cells"),
+        ))
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def lake_rows(spark: SparkSession, folder: str) -> DataFrame:

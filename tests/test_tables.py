@@ -134,3 +134,28 @@ def test_structures_fill_equalities_from_one_row(spark):
             assert s["group_by"]
     texts = [r["x"] for r in BG.fill_equalities(BG.sample_structures(columns, 40), df).select(BG.struct_text(F.col("sql_struct")).alias("x")).collect()]
     assert all(t.startswith("select ") for t in texts)
+
+
+def test_row_counts_with_gaps(spark):
+    data = [("t", r, c, "n", "v") for r in (0, 2, 8_589_934_592) for c in (0, 1)]
+    assert [tuple(r) for r in PR.row_counts(spark.createDataFrame(data, CELLS)).collect()] == [("t", 3)]
+
+
+def test_every_group_is_sampled(spark):
+    df = spark.range(6000).selectExpr("id as key", "id % 2100 as by")
+    got = BG.stratified_sample(df, "by", "key")
+    assert got.select("by").distinct().count() == got.count() == 2100
+
+
+def test_parquet_lake_of_several_schemas(spark, tmp_path):
+    from tablescout.sources import files as S
+
+    spark.range(7).selectExpr("id", "timestamp_seconds(id) at", "id * 1.50 x").coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.range(3).selectExpr("id", "timestamp_seconds(id) at", "id * 1.50 x").coalesce(1).write.parquet(str(tmp_path / "deep" / "b"))
+    spark.range(0).selectExpr("cast(id as string) only").coalesce(1).write.parquet(str(tmp_path / "c"))
+    rows = S.lake_parquet_rows(spark, str(tmp_path)).withColumn("t", F.regexp_extract("table_id", r"/(\w)/part-[^/]*$", 1))
+    got = sorted((r.t, r.row_idx, r.names, r.cells) for r in rows.where("row_idx < 2").collect())
+    head, first = ["id", "at", "x"], ["1", "1970-01-01 00:00:01", "1.50"]
+    assert [(t, i) for t, i, _, _ in got] == [("a", -1), ("a", 0), ("a", 1), ("b", -1), ("b", 0), ("b", 1), ("c", -1)]
+    assert got[2][2:] == (head, first) and got[5][3] == first and got[0][2:] == (head, None) and got[6][2] == ["only"]
+    assert rows.where("row_idx >= 0").count() == 10

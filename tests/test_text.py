@@ -42,8 +42,8 @@ def test_cell_types(spark):
 
 
 def test_sheet_letters(spark):
-    df = spark.createDataFrame([(1,), (26,), (27,), (52,), (702,), (703,), (18278,)], "n int")
-    assert [r["x"] for r in df.select(tx.sheet_letters(F.col("n")).alias("x")).collect()] == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "ZZZ"]
+    df = spark.createDataFrame([(1,), (26,), (27,), (52,), (702,), (703,), (18278,), (18279,), (475255,)], "n int")
+    assert [r["x"] for r in df.select(tx.sheet_letters(F.col("n")).alias("x")).collect()] == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "ZZZ", "AAAA", "AAAAA"]
 
 
 def test_mentions(spark):
@@ -60,3 +60,10 @@ def test_ids(spark):
     assert one(spark, tx.table_of_doc(F.lit("t_SEP_contents_SEP_row-0"))) == "t"
     assert one(spark, tx.kind_of_doc(F.lit("t_SEP_contents_SEP_row-0"))) == "content"
     assert one(spark, tx.kind_of_doc(F.lit("t_SEP_contexts-1"))) == "context"
+
+
+def test_float_text_has_plain_digits(spark):
+    texts = ["12345678.90", "0.00050", "5.00", "-0.0", "007.10", "5", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["x"] for r in df.select(tx.canonical_float(F.col("t")).alias("x")).collect()]
+    assert got == ["12345678.9", "0.0005", "5.0", "0.0", "7.1", None, None]
