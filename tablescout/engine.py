@@ -38,12 +38,13 @@ class TableScout:
     def __init__(
         self, out_path: str, spark: SparkSession | None = None, narrator: Callable | None = None,
         embed: Callable | None = None, judge: Callable | None = None, block_tokens: int = D.LOCAL_LIMIT,
-        dim: int = 64, stem: bool = True,
+        dim: int = 64, stem: bool = True, rerank_embed: Callable | None = None,
     ):
         self.spark = spark or build_session()
         self.store = Store(self.spark, out_path)
         self.narrator, self.judge = narrator, judge or (lambda: overlap_judge)
         self.embed, self.block_tokens, self.dim, self.stem = embed, block_tokens, dim, stem
+        self.rerank_embed = rerank_embed or embed
 
     # ---- catalog ------------------------------------------------------------------------------
 
@@ -262,9 +263,12 @@ class TableScout:
 
     def search(
         self, index_name: str, queries: str | list[str] | DataFrame, k: int = 1, n: int = 5, alpha: float = 0.5,
-        rerank: bool = True,
+        rerank: bool | str = True,
     ) -> DataFrame:
-        """(query_id, query, retrieved_tables) for a whole batch of questions as one plan."""
+        """(query_id, query, retrieved_tables) for a whole batch of questions as one plan.
+
+        `rerank` is NONE, LLM (the judge hook), COSINE (the second embedding hook) or DIRECT_SCORE (shared
+        terms); True and False stand for LLM and NONE."""
         at = self.location(index_name)
         asked = R.as_queries(self.spark, queries)
         embedded = V.embed_column(asked, "query", self.embed, self.dim).select("query_id", V.unit("vector").alias("vector"))
@@ -272,10 +276,22 @@ class TableScout:
         ranked = R.hybrid_search(scores, embedded, IX.stored(self.spark, at, "vectors"), k, n, alpha)
         docs = IX.stored(self.spark, at, "documents").select("doc_id", "table_id", "kind", "text")
         found = docs.join(ranked, "doc_id").join(asked, "query_id")
-        if rerank:
+        mode = {True: "LLM", False: "NONE"}.get(rerank, rerank)
+        if mode == "LLM":
             kind = F.when(F.col("kind") == "context", "context").otherwise("content")
             prompts = found.withColumn("prompt", R.relevance_prompt(kind, F.col("text"), F.col("query"))).drop("text")
-            found = R.judge_rerank(D.generate(prompts, "prompt", "verdict", self.judge), R.says_yes(F.col("verdict")))
+            judged = D.generate(prompts, "prompt", "verdict", self.judge)
+            found = R.rerank(judged, mode, relevant=R.says_yes(F.col("verdict")))
+        elif mode == "COSINE":
+            texts = V.embed_column(found, "text", self.rerank_embed, self.dim).withColumnRenamed("vector", "text_vector")
+            pairs = V.embed_column(texts, "query", self.rerank_embed, self.dim)
+            found = R.rerank(pairs, mode, score=V.cosine("vector", "text_vector"))
+        elif mode == "DIRECT_SCORE":
+            texts = X.analyze(found, "text", stem=self.stem).withColumnRenamed("terms", "text_terms")
+            pairs = X.analyze(texts, "query", stem=self.stem)
+            found = R.rerank(pairs, mode, score=R.overlap_score(F.col("terms"), F.col("text_terms")))
+        else:
+            found = R.rerank(found, mode)
         return R.nest_results(R.tables_of(found, k, F.col("table_id")), asked)
 
     def query_index(self, index_name: str, queries: str | list[str], k: int = 1, n: int = 5, alpha: float = 0.5) -> str:

@@ -53,14 +53,16 @@ def verify_cells(questions: DataFrame, conditions: DataFrame, shared: DataFrame,
     questions(question_id, table_id) names the source table; conditions(question_id, cond, name,
     value, row_idx) its equality conditions; shared the candidate tables. A cell matches by normalised
     text or by canonical float. The source rows belong to the answer as they are."""
-    cond = conditions.select("question_id", "cond", norm_text(F.col("name")).alias("name"), norm_text(F.col("value")).alias("v"))
+    forms = lambda t: F.array_distinct(F.array_compact(F.array(t, canonical_float(t))))
+    cond = conditions.select(
+        "question_id", "cond", norm_text(F.col("name")).alias("name"), F.explode(forms(norm_text(F.col("value")))).alias("v")
+    )
     probes = cond.select("name", "v").distinct()
     named = cells.select("table_id", "row_idx", norm_text(F.col("col_name")).alias("name"), norm_text(F.col("value")).alias("t"))
     few = fits(probes)
     names = probes.select("name").distinct()
     named = named.join(F.broadcast(names) if few else names, "name", "left_semi")
-    keys = F.array_distinct(F.array_compact(F.array(F.col("t"), canonical_float(F.col("t")))))
-    opened = named.select("table_id", "row_idx", "name", F.explode(keys).alias("v"))
+    opened = named.select("table_id", "row_idx", "name", F.explode(forms(F.col("t"))).alias("v"))
     probe_side = F.broadcast(probes) if few else probes
     # Cells equal to some asked value: read for the counts and for the join.
     matching = materialize(opened.join(probe_side, ["name", "v"], "left_semi").distinct(), "matching-cells")

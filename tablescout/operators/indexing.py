@@ -18,10 +18,16 @@ def _bucket(term="term"):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def write_fulltext(corpus: DataFrame, path: str, stem: bool = True) -> None:
-    """Postings with weights in folders by term bucket, plus the small statistics relations."""
+def write_fulltext(corpus: DataFrame, path: str, stem: bool = True, before: str | None = None) -> None:
+    """Postings with weights in folders by term bucket, plus the small statistics relations.
+
+    Texts are analysed once and their terms stored; `before` names an index whose stored terms are taken over."""
     spark = corpus.sparkSession
-    analyzed = X.analyze(corpus, stem=stem)
+    fresh = X.analyze(corpus, stem=stem).select("doc_id", "terms")
+    if before:
+        fresh = spark.read.parquet(f"{before}/analyzed").unionByName(fresh)
+    fresh.write.parquet(f"{path}/analyzed")
+    analyzed = spark.read.parquet(f"{path}/analyzed")
     X.postings(analyzed).write.parquet(f"{path}/postings")
     X.corpus_stats(analyzed).write.parquet(f"{path}/stats")
     post = spark.read.parquet(f"{path}/postings")
@@ -34,9 +40,12 @@ def write_fulltext(corpus: DataFrame, path: str, stem: bool = True) -> None:
     )
 
 
-def write_vectors(corpus: DataFrame, path: str, embed: Callable | None = None, dim: int = 64) -> None:
+def write_vectors(corpus: DataFrame, path: str, embed: Callable | None = None, dim: int = 64, before: str | None = None) -> None:
     embedded = V.embed_column(corpus.select("doc_id", "text"), "text", embed, dim)
-    embedded.select("doc_id", V.unit("vector").alias("vector")).write.parquet(f"{path}/vectors")
+    vectors = embedded.select("doc_id", V.unit("vector").alias("vector"))
+    if before:
+        vectors = corpus.sparkSession.read.parquet(f"{before}/vectors").unionByName(vectors)
+    vectors.write.parquet(f"{path}/vectors")
 
 
 def build_index(corpus: DataFrame, path: str, embed=None, stem: bool = True, dim: int = 64) -> None:
@@ -48,6 +57,21 @@ def build_index(corpus: DataFrame, path: str, embed=None, stem: bool = True, dim
     write_fulltext(stored, path, stem)
 
 
+def append_index(corpus: DataFrame, before: str, path: str, embed=None, stem: bool = True, dim: int = 64) -> None:
+    """An index at `path` of the documents stored at `before` and those of `corpus`.
+
+    Only new documents are embedded and analysed; statistics and weights are refreshed, as both depend on
+    the whole corpus. The old index stays readable until the caller registers the new one."""
+    spark = corpus.sparkSession
+    old = spark.read.parquet(f"{before}/documents")
+    new = corpus.select(*old.columns).join(old.select("doc_id"), "doc_id", "left_anti").select(*old.columns)
+    new.write.parquet(f"{path}/appended")
+    new = spark.read.parquet(f"{path}/appended")
+    old.unionByName(new).write.parquet(f"{path}/documents")
+    write_vectors(new, path, embed, dim, before)
+    write_fulltext(new, path, stem, before)
+
+
 def stored(spark: SparkSession, path: str, part: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{part}")
 

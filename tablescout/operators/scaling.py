@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-HOT_SHARE = 1_000
+HOT_ROWS = 100_000
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -29,9 +29,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """Keys holding more than 1/HOT_SHARE of all rows: at most HOT_SHARE of them by construction."""
-    cut = F.greatest(F.lit(100_000.0), counts.agg(F.sum(n) / F.lit(HOT_SHARE)).scalar())
-    return counts.where(F.col(n) > cut).select(*keys, F.ceil(F.col(n) / cut).cast("int").alias("_salts"))
+    """Keys with more rows than one task should get, and into how many parts of at most HOT_ROWS they are cut."""
+    return counts.where(F.col(n) > HOT_ROWS).select(*keys, F.ceil(F.col(n) / F.lit(float(HOT_ROWS))).cast("int").alias("_salts"))
 
 
 def salted_join(
@@ -39,9 +38,9 @@ def salted_join(
 ) -> DataFrame:
     """Inner equi-join where a few keys may hold most of `big`.
 
-    The hot keys (at most HOT_SHARE rows) are broadcast; their rows in `big` are
+    The hot keys are broadcast when their count allows it; their rows in `big` are
     spread over salts and only their rows in `small` are replicated."""
-    hot = F.broadcast(hot_keys(counts, keys))
+    hot = small_side(hot_keys(counts, keys))
     left = big.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
     )

@@ -74,6 +74,42 @@ def test_whole_flow(engine, lake, tmp_path):
     assert tables[0][0] == stations and tables[1][0] == table_id(engine, "it's")
     assert json.loads(engine.query_index("main", "votes for public safety"))["data"][0]["retrieved_tables"]
     assert json.loads(engine.query_index("missing", "x"))["message"] == "Index with name missing does not exist."
+    for mode in ("NONE", "LLM", "COSINE", "DIRECT_SCORE"):
+        got = engine.search("main", ["fire stations agency", "price quantity"], k=2, rerank=mode).sort("query_id").collect()
+        assert [r["retrieved_tables"][0] for r in got] == [stations, table_id(engine, "it's")]
+    with pytest.raises(ValueError):
+        engine.search("main", "x", rerank="OTHER")
+
+
+def test_a_failed_fulltext_part_leaves_nothing(engine, monkeypatch):
+    from tablescout import engine as module
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("full disk")
+
+    folder = f"{engine.store.root}/index"
+    count = lambda: len(engine.store._fs(folder)[1].listStatus(engine.store._fs(folder)[0]))
+    before, registered = count(), engine.relation("indexes").count()
+    monkeypatch.setattr(module.IX, "write_fulltext", fail)
+    answer = json.loads(engine.generate_index("broken"))
+    assert answer["status"] == "ERROR" and "full disk" in answer["message"]
+    assert count() == before and engine.relation("indexes").count() == registered
+
+
+def test_an_appended_index_equals_a_new_one(spark, tmp_path):
+    from tablescout.operators import indexing as IX
+
+    docs = spark.createDataFrame(
+        [(f"t{i}_SEP_contents", f"t{i}", "content", f"station number {i} engine {'ladder ' * (i % 3)}") for i in range(9)],
+        "doc_id string, table_id string, kind string, text string",
+    )
+    first, both, whole = (str(tmp_path / n) for n in ("first", "both", "whole"))
+    IX.build_index(docs.where("table_id < 't5'"), first)
+    IX.append_index(docs.where("table_id >= 't3'"), first, both)
+    IX.build_index(docs, whole)
+    for part, columns in {"weights": ("term", "doc_id", "weight"), "terms": ("term", "df"), "stats": None, "vectors": None, "documents": None}.items():
+        rows = [sorted(map(str, IX.stored(spark, at, part).select(*columns or IX.stored(spark, whole, part).columns).collect())) for at in (both, whole)]
+        assert rows[0] == rows[1], part
 
 
 def test_same_path_with_new_content_replaces_the_table(engine, lake):

@@ -31,6 +31,6 @@ def test_salted_join_keeps_every_row_of_a_hot_key(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
 
 
-def test_only_keys_above_the_share_are_hot(spark):
-    counts = spark.createDataFrame([("a", 900_000), ("b", 150_000), ("c", 10)], "k string, n long")
-    assert {r["k"]: r["_salts"] for r in S.hot_keys(counts, ["k"]).collect()} == {"a": 9, "b": 2}
+def test_keys_beyond_one_task_are_cut_at_every_size(spark):
+    counts = spark.createDataFrame([("a", 900_000), ("b", 150_000), ("c", 10), ("rest", 10**12)], "k string, n long")
+    assert {r["k"]: r["_salts"] for r in S.hot_keys(counts, ["k"]).collect()} == {"a": 9, "b": 2, "rest": 10_000_000}

@@ -63,7 +63,7 @@ def test_cells_must_meet_all_conditions_in_one_row(spark):
         split=(["k", "v"], [["a", "x"], ["b", "5.0"]]), other=(["k"], [["a"]]),
     )
     questions = spark.createDataFrame([("q", "src")], "question_id string, table_id string")
-    cond = spark.createDataFrame([("q", 0, "K", " A", 0), ("q", 1, "v", "5.0", 0)], "question_id string, cond int, name string, value string, row_idx long")
+    cond = spark.createDataFrame([("q", 0, "K", " A", 0), ("q", 1, "v", "5.000", 0)], "question_id string, cond int, name string, value string, row_idx long")
     refs = spark.createDataFrame([("q", "k"), ("q", "v")], "question_id string, name string")
     shared = GT.schema_shared_tables(refs, GT.column_index(df.select("table_id", "col_name").distinct(), refs))
     assert {r["table_id"] for r in shared.collect()} == {"src", "hit", "split"}
