@@ -10,12 +10,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-# name -> registered query; phases of the published baseline first.
+# name -> registered query; phases of the published baseline first. Index and question phases read all
+# documents; fulltext_questions analyses them anew, stored_fulltext_questions asks a stored index.
 HEADLINE = {
     "register": "cat_02",
     "pack_blocks": "doc_09",
     "fulltext_index": "idx_03",
-    "hybrid_index_and_ask": "idx_07",
     "fulltext_questions": "qry_03",
     "vector_questions": "qry_04",
     "hybrid_questions": "qry_15",
@@ -29,6 +29,21 @@ HEADLINE = {
 RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
+def stored_index(spark, sf_dir: str) -> tuple[float, float]:
+    """Seconds to build and store the hybrid index, and to answer all questions from its full-text part."""
+    from tablescout.operators import indexing, retrieve, textindex
+    from tablescout.plans import retrieval
+    from tablescout.session import scratch_path
+
+    start, path = time.perf_counter(), scratch_path(spark, "bench-index")
+    indexing.build_index(retrieval.indexed_corpus(spark, sf_dir), path, stem=False)
+    built = time.perf_counter()
+    terms = textindex.query_terms(retrieval.plain_questions(spark, sf_dir), stem=False)
+    found = retrieve.text_topk(indexing.stored_scores(spark, path, terms), retrieval.DEPTH)
+    found.write.format("noop").mode("overwrite").save()
+    return built - start, time.perf_counter() - built
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +63,9 @@ def main() -> None:
             spent = time.perf_counter() - start
             best[name] = min(best.get(name, spent), spent)
         print(f"{name}: {best[name]:.2f}s", file=sys.stderr, flush=True)
+    if len(sys.argv) == 1:
+        runs = [stored_index(spark, sf_dir) for _ in range(RUNS)]
+        best["stored_hybrid_index"], best["stored_fulltext_questions"] = (min(r[i] for r in runs) for i in (0, 1))
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
     questions, documents = read("benchmark"), read("documents")
     per_second = {n: round(questions / best[n], 2) for n in best if n.endswith("_questions")}
