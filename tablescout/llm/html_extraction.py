@@ -9,7 +9,8 @@ other page layouts whose roles are known. After training only the network decide
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from tablescout.llm.html_blocks import WIDTH, Block, features, page_blocks
 
 HIDDEN = 16
 BATCH_BLOCKS = 16_384
+WINDOW = 200
 
 # Words of tag paths that name a role, used to label the sample and to dress new pages.
 OTHER_ROLES = {
@@ -49,21 +51,62 @@ PHRASES = {
     "comments": ["Comments", "Great article, thanks!", "I do not agree with this.", "Reply", "Leave a comment", "3 replies", "posted by guest"],
     "share": ["Share on Facebook", "Tweet", "Share", "Print", "Email this", "Tags"],
 }
-_ROLE_WORDS = {w for ways in OTHER_ROLES.values() for way in ways for w in way.split()} - {"div", "section", "ul", "ol"}
-_ARTICLE_WORDS = {"article", "main", ".article", ".content", ".post", ".entry", ".story"}
+# Words that say nothing without another one: a page, site or body can hold anything.
+GENERIC_WORDS = frozenset((".page", ".site", ".body", ".main", ".text", ".list", ".slot"))
+
+
+def _elements(path: Iterable[str]) -> list[tuple[str, set[str]]]:
+    """(tag, its words) of every element from the root inwards."""
+    out: list[tuple[str, set[str]]] = []
+    for w in path:
+        if not w.startswith("."):
+            out.append((w, set()))
+        elif out:
+            out[-1][1].add(w)
+    return out
+
+
+_OTHER_WAYS = [e for ways in OTHER_ROLES.values() for way in ways for e in _elements(way.split())]
+_ARTICLE_WAYS = [e for way in ARTICLE_ROLES for e in _elements(way.split()) if e[0] in ("article", "main") or e[1] - GENERIC_WORDS]
+
+
+def _fit(ways: list[tuple[str, set[str]]], tag: str, words: set[str]) -> float:
+    """Words of the longest way that is whole on the element, -1 without one. `content` counts half:
+    a sidebar-content is a sidebar."""
+    return max((len(w) - 0.5 * (".content" in w) for t, w in ways if t == tag and w <= words), default=-1.0)
+
+
+@lru_cache(maxsize=16_384)
+def path_label(path: tuple[str, ...]) -> float | None:
+    """Label of a tag path by whole ways, tag and words on one element; the innermost element that names
+    a role decides, and one that names both (post-footer) leaves it open. A form without a name may span
+    a page, so it never makes an article; a header without one belongs to the article around it."""
+    form = header = False
+    for tag, words in reversed(_elements(path)):
+        other, article = _fit(_OTHER_WAYS, tag, words), _fit(_ARTICLE_WAYS, tag, words)
+        if other == article:
+            if other >= 0:
+                return None
+        elif article > other:
+            return None if form else 1.0
+        elif tag == "form" and other == 0:
+            form = True
+        elif tag == "header" and other == 0:
+            header = True
+        else:
+            return 0.0
+    return 0.0 if header else None
 
 
 def role_label(block: Block) -> float | None:
     """1 article, 0 other, None where the path names no role."""
-    if _ROLE_WORDS & set(block.path):
-        return 0.0
-    return 1.0 if _ARTICLE_WORDS & set(block.path) else None
+    return path_label(block.path)
 
 
 def dressed_page(draw: np.random.Generator, article: list[str], others: list[str]) -> tuple[list[Block], list[float]]:
     """A page of known roles: article blocks in a random container, other roles around and between them."""
     pick = lambda xs: xs[int(draw.integers(len(xs)))]
-    root = ["html", "body"] + (pick(["", "div", "div .wrapper", "div .container", "div .page", "div .row"])).split()
+    root = ["html", "body"] + (pick(["", "div", "div .wrapper", "div .container", "div .page", "div .row", "div .site", "div .body", "form"])).split()
     blocks: list[Block] = []
     labels: list[float] = []
 
@@ -207,7 +250,8 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(pages: DataFrame, max_pages: int = 300, max_bytes: int = 100_000, dressed: int = 5, seed: int = 42) -> BiLSTM:
     """Fits the labeller on up to `max_pages` pages of at most `max_bytes`, chosen by hash, each also
-    dressed `dressed` times anew (the page itself weighs three times as much). Only the fit is bounded so; extraction reads every whole page."""
+    dressed `dressed` times anew (the page itself weighs three times as much). All blocks of a sampled page are learned, long pages in windows of WINDOW blocks
+    whose features are those of the whole page. Only the fit is bounded so; extraction reads every whole page."""
     usable = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") <= max_bytes))
     ids = [r[0] for r in usable.select("page_id").orderBy(F.xxhash64(F.lit(seed), "page_id"), "page_id").limit(max_pages).collect()]
     few = pages.sparkSession.createDataFrame([(i,) for i in ids], "page_id long")
@@ -218,9 +262,12 @@ def train(pages: DataFrame, max_pages: int = 300, max_bytes: int = 100_000, dres
     others = [b.text for p in read for b in p if role_label(b) == 0.0] or [w for words in PHRASES.values() for w in words]
     if not article:
         article = others
-    for blocks in (p[:200] for p in read if p):
+    for blocks in (p for p in read if p):
         labels = [role_label(b) for b in blocks]
-        data.append((features(blocks), np.array([y or 0.0 for y in labels], np.float32), 3 * np.array([y is not None for y in labels], np.float32)))
+        x, y = features(blocks), np.array([y or 0.0 for y in labels], np.float32)
+        weight = 3 * np.array([y is not None for y in labels], np.float32)
+        for at in range(0, len(blocks), WINDOW):
+            data.append((x[at : at + WINDOW], y[at : at + WINDOW], weight[at : at + WINDOW]))
     draw = np.random.default_rng(seed)
     for _ in range(dressed * max(len(read), 1) if len(read) else 0):
         blocks, labels = dressed_page(draw, article, others)

@@ -126,6 +126,50 @@ def test_extraction(spark):
     assert html_extraction.extract(df.limit(0), html_extraction.train(df.limit(0))).collect() == []
 
 
+def test_roles_are_named_by_whole_ways():
+    label = lambda path: html_extraction.path_label(tuple(path.split()))
+    for path in ("html body div .page article p", "html body div .site main p", "html body div .article .body p",
+                 "html body div .post .body p", "html body form article p", "html body article header h1",
+                 "html body div .site div .entry .content p"):
+        assert label(path) == 1.0, path
+    for path in ("html body nav ul li", "html body header h1", "html body header .site .header p", "article div .comment .body p",
+                 "article aside p", "html body div .page div .ad p", "html body div .sidebar .content p", "div .footer form p"):
+        assert label(path) == 0.0, path
+    for path in ("html body div .page p", "html body div .site div .body p", "html body form div p", "article form label",
+                 "html body ol .list li", "article div .post .footer p"):
+        assert label(path) is None, path
+
+
+LAYOUTS = ['<div id="page">{top}<article>{head}{text}</article>{end}</div>', '{top}<div class="article-body">{head}{text}</div>{end}',
+           '<form id="aspnetForm">{top}<article>{head}{text}</article>{end}</form>', '{top}<article><header>{head}</header>{text}</article>{end}',
+           '<div class="site">{top}<div class="post-body">{head}{text}</div>{end}</div>']
+
+
+def test_extraction_of_ordinary_layouts(spark):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    say = lambda n: " ".join(draw.choice(words) for _ in range(n)).capitalize() + "."
+    rows, want = [], {}
+    for i in range(60):
+        head, text = say(6), [say(draw.randint(12, 40)) for _ in range(5)]
+        parts = {"head": f"<h1>{head}</h1>", "text": "".join(f"<p>{t}</p>" for t in text), "top": "<nav><ul><li><a href=1>Home</a></li></ul></nav>",
+                 "end": f'<div class="sidebar"><p>{say(3)}</p></div><footer><p>Imprint</p></footer>'}
+        rows.append((i, f"<html><head></head><body>{LAYOUTS[i % 5].format(**parts)}</body></html>"))
+        want[i] = "\n\n".join([head, *text])
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    model = html_extraction.train(df.where("page_id < 40"), max_pages=40)
+    got = {r.page_id: r.text for r in html_extraction.extract(df, model).collect()}
+    assert {i: got[i] for i in range(40, 60)} == {i: want[i] for i in range(40, 60)}
+
+
+def test_all_blocks_of_a_sampled_page_are_learned(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(html_extraction.BiLSTM, "fit", lambda self, pages, **_: learned.extend(len(p[1]) for p in pages))
+    page = "<article>" + "<p>Some text.</p>" * 450 + "</article>"
+    html_extraction.train(spark.createDataFrame([(1, page)], "page_id long, html string"), dressed=0)
+    assert learned == [200, 200, 50]
+
+
 # ---- archives
 
 
