@@ -16,7 +16,11 @@ BLOCK_TAGS = frozenset(
     "pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template title head svg math iframe object canvas".split())
+SILENT_TAGS = frozenset("script style noscript template title head svg foreignobject annotation annotation-xml iframe object canvas".split())
+# Silent elements that may stand inside a line of text and do not cut it.
+INLINE_SILENT = SILENT_TAGS - {"title", "head"}
+# Start tags that may stand in head; any other one ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes title style script noscript template".split())
 # A start tag closes an open element of these kinds before it.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -59,7 +63,7 @@ class BlockParser(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple(w for o in self.open for w in o.words)
+                path = tuple(w for o in self.open if o.tag not in SILENT_TAGS for w in o.words)
                 self.blocks.append(Block(text, path, min(1.0, self.link_chars / len(text))))
         self.parts, self.link_chars, self.in_link = [], 0, False
 
@@ -68,22 +72,30 @@ class BlockParser(HTMLParser):
             self.silent -= o.tag in SILENT_TAGS
         del self.open[count:]
 
+    def _last(self) -> str:
+        return self.open[-1].tag if self.open else ""
+
     def handle_starttag(self, tag, attrs):
-        if tag == "a":
+        if self._last() == "head" and tag not in IN_HEAD:
+            self._pop(len(self.open) - 1)
+        if self._last() == "svg" and tag in BLOCK_TAGS and tag not in SILENT_TAGS:
+            self._pop(len(self.open) - 1)  # page elements end an unclosed drawing
+        if tag == "a" and self.silent <= 0:
             self.in_link = True
         if tag == "br":
             self.parts.append(" ")
         if tag not in BLOCK_TAGS and tag not in SILENT_TAGS:
             return
-        self._leaf()
+        if self.silent <= 0 and tag not in INLINE_SILENT:
+            self._leaf()
         if tag in VOID_TAGS:
             return
         kinds = CLOSES.get(tag, ())
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if tag not in INLINE_SILENT else ():
             if self.open[i].tag in kinds or (self.open[i].tag == "p" and tag in INSIDE_P):
                 self._pop(i)
                 break
-            if self.open[i].tag in LISTS:
+            if self.open[i].tag in LISTS or self.open[i].tag in SILENT_TAGS:
                 break
         words = [tag]
         for name, value in attrs:
@@ -96,21 +108,22 @@ class BlockParser(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS and self.open and self.open[-1].tag == tag and tag in ("svg", "math", "object", "iframe"):
+        if tag not in VOID_TAGS and self.open and self.open[-1].tag == tag and tag in ("svg", "object", "iframe", "foreignobject"):
             self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "a":
+        if tag == "a" and self.silent <= 0:
             self.in_link = False
         if tag not in BLOCK_TAGS and tag not in SILENT_TAGS:
             return
-        self._leaf()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                self._pop(i)
-                return
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag), len(self.open))
+        if tag not in INLINE_SILENT and not any(o.tag in SILENT_TAGS for o in self.open[:at]):
+            self._leaf()
+        self._pop(at)
 
     def handle_data(self, data):
+        if self._last() == "head" and data.strip():
+            self._pop(len(self.open) - 1)
         if self.silent <= 0:
             self.parts.append(data)
             if self.in_link:

@@ -92,6 +92,23 @@ def test_page_blocks():
     assert html_blocks.page_blocks(None) == html_blocks.page_blocks("") == html_blocks.page_blocks("<p> </p>") == []
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<html><head><title>x</title><article><p>Text.</p>", ["Text."]),
+    ("<html><head><meta charset=a><script>no()</script><span>Text</span> on.<p>More.", ["Text on.", "More."]),
+    ("<head><style>p{}</style>Bare text.<p>More.", ["Bare text.", "More."]),
+    ("<head><noscript><p>no</p></noscript><title>x</title></head><body><p>Text.</p>", ["Text."]),
+    ("<p>One <svg><title>t</title><path/><text>no</text></svg> two.</p>", ["One two."]),
+    ("<p>One <script>if (a) { b() }</script>two<style>i{}</style> three.</p><p>Four.</p>", ["One two three.", "Four."]),
+    ("<p>One <noscript><p>no</p></noscript>two.</p><p>Three.</p>", ["One two.", "Three."]),
+    ("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>", ["As x=2 holds."]),
+    ("<p>One<svg><path><p>Two.", ["One", "Two."]),
+    ("<p>One <svg><foreignObject><div>no</div></foreignObject></svg>two.</p>", ["One two."]),
+    ("<div>One<svg></div><div>Two</div>", ["One", "Two"]),
+])
+def test_page_blocks_of_open_heads_and_inline_silence(page, texts):
+    assert [b.text for b in html_blocks.page_blocks(page)] == texts
+
+
 def test_gradients_match_differences():
     draw = np.random.default_rng(3)
     net = html_extraction.BiLSTM(1, width=5, hidden=3)
