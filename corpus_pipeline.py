@@ -5,12 +5,14 @@ back as the next one's documents."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import written
 from tablescout.llm.language_id import UNKNOWN, identify, train
-from tablescout.llm.ngram_join import near_groups
+from tablescout.llm.ngram_join import text_groups
 from tablescout.llm.sentence_pieces import encode_pieces
 from tablescout.llm.source_mix import mix
 
@@ -31,12 +33,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the smallest doc_id: five-word
-    shingles, Jaccard of 0.8 or more. A row that repeats id and text stays once; rows without an id
-    cannot be named by a group and stay."""
-    groups = near_groups(docs, WORDS, PERCENT)
+    shingles, Jaccard of 0.8 or more. A row that repeats id and text stays once. Of a group in which no
+    row has an id the text with the smallest hash stays once; texts without words are groups of their own."""
+    groups = written(text_groups(docs, WORDS, PERCENT), "near-groups")
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id", "_text"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    named = keyed.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text"])
+    nameless = keyed.where("doc_id is null")
+    lone = groups.where("doc_id is null and component_id is null and n_shingles > 0").groupBy("root").agg(F.min("text_key").alias("_text"))
+    blank = groups.where("doc_id is null and n_shingles = 0").select(F.col("text_key").alias("_text")).distinct()
+    kept = [named, nameless.join(lone, "_text", "left_semi").dropDuplicates(["_text"]), nameless.join(blank, "_text", "left_semi")]
+    return reduce(DataFrame.unionByName, [k.select(*docs.columns) for k in kept])
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

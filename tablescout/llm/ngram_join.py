@@ -8,7 +8,7 @@ Which documents have to meet in a tree is decided by shared shingles: documents
 threshold share one of the first (1 - t) n + 1 shingles of any common order. The order puts shingles
 that recur a lot last, so passages that many documents share seldom name a tree. Then:
 
-1. Equal sets are one node from the start.
+1. Equal sets are one node from the start; the nodes of a repeated id are linked.
 2. In every tree's bucket the nodes are compared with its first and last node. Links join components.
 3. Buckets of more than three nodes that still hold several components go through R-trees: nodes
    outside the bucket's largest component search the members of other components. Pairs inside one
@@ -70,9 +70,9 @@ def _folded(point: np.ndarray) -> np.ndarray:
 
 
 def _describe(words: int):
-    """Per document: id, set size, set key, point. At the end of a partition one row without `point` for
+    """Per document: id, text key, set size, set key, point. At the end of a partition one row without `point` for
     the shingles that recur in it, so that the order of shingles costs no pass of its own."""
-    names = ["doc_id", "n_shingles", "node", "point", "common", "times"]
+    names = ["doc_id", "text_key", "n_shingles", "node", "point", "common", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: dict[int, int] = {}
@@ -95,7 +95,7 @@ def _describe(words: int):
                 if size >= COUNT_STEP:
                     count()
             yield pa.RecordBatch.from_arrays(
-                [_column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [_column(batch, "doc_id"), _column(batch, "text_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) for s in sets], pa.int64()),
                  _binary([group_counts(s) for s in sets]),
                  pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))],
@@ -104,7 +104,7 @@ def _describe(words: int):
         count()
         top = sorted(common, key=lambda v: (-common[v], v))[:COMMON_LIMIT]
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()),
+            [*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()),
              pa.array([np.array(top, np.uint64).view(np.int64)], pa.list_(pa.int64())),
              pa.array([[common[v] for v in top]], pa.list_(pa.int64()))],
             names,
@@ -113,7 +113,7 @@ def _describe(words: int):
     return run
 
 
-_DESCRIBED = "doc_id long, n_shingles long, node long, point binary, common array<long>, times array<long>"
+_DESCRIBED = "doc_id long, text_key long, n_shingles long, node long, point binary, common array<long>, times array<long>"
 
 
 def _most_common(described: DataFrame) -> np.ndarray:
@@ -204,9 +204,9 @@ def _verified(percent: int):
     return run
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    """Bit of a node in the fixed-size filter."""
-    return (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """Bit of a text in the fixed-size filter."""
+    return (keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)
 
 
 def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +217,17 @@ def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int, shared):
-    """Sets of the documents whose id is in the filter; a false hit is dropped by the join behind."""
+    """Sets of the texts whose key is in the filter, copies in one partition once; a false hit is dropped
+    by the join behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        bits, seen = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool), set()
         for batch in batches:
-            hit = bits[_slot(_column(batch, "doc_id").to_numpy(zero_copy_only=False))]
+            keys = _column(batch, "text_key").to_numpy()
+            hit = bits[_slot(keys)]
+            for i in np.flatnonzero(hit):
+                hit[i] = keys[i] not in seen
+                seen.add(keys[i])
             batch = batch.filter(pa.array(hit))
             for at in range(0, batch.num_rows, 64):
                 sets = [shingle_set(t.as_py(), words) for t in _column(batch, "text")[at : at + 64]]
@@ -243,14 +248,14 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, perc
         f"{name}-near",
     )
     asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = nodes.select("node", "rep").join(asked, "node", "left_semi")
-    parts = holders.select("rep").coalesce(16).mapInArrow(_filter_bits, "bits binary").collect()  # 1 MB each
+    holders = nodes.select("node", "holder").join(asked, "node", "left_semi")
+    parts = holders.select("holder").coalesce(16).mapInArrow(_filter_bits, "bits binary").collect()  # 1 MB each
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in parts:
         bits |= np.frombuffer(row.bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     sets = written(
-        docs.where("doc_id is not null").mapInArrow(_sets(words, shared), "node long, shingles binary")
+        docs.mapInArrow(_sets(words, shared), "node long, shingles binary")
         .join(asked, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets",
     )
     one = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}"))
@@ -385,6 +390,13 @@ def _tree_candidates(
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_pairs(percent, tries), "a long, b long").distinct()
 
 
+def _repeated_ids(known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of ids that have several texts."""
+    held = known.where("doc_id is not null and n_shingles > 0").select("doc_id", "node")
+    several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    return held.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 # ---- the operator ---------------------------------------------------------------------------------
 
 
@@ -394,14 +406,20 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "do
     Two rows link when 100 |A and B| >= percent |A or B| for their sets of `words`-word shingles of the
     whole text (all words as one shingle if there are fewer). component_id is the smallest id reachable
     over links, itself included. Null, empty and wordless texts have empty sets and are groups of their
-    own. Rows that repeat an id are one node of the graph; a row without an id belongs to the group
-    of equal sets if one has an id, else its component_id is null."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own. Rows that repeat an id are one node of the graph, also with several texts; a row without an id
+    links like any other, and its component_id is null if no id is reachable."""
+    return text_groups(df, words, percent, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def text_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_groups with text_key (xxhash64 of the text) and root, which names a row's component also where
+    no row of it has an id; root is null for empty sets."""
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     described = written(docs.mapInArrow(_describe(words), _DESCRIBED), "shingle-sets")
-    known = described.where("point is not null").select("doc_id", "n_shingles", "node", "point")
+    known = described.where("point is not null").select("doc_id", "text_key", "n_shingles", "node", "point")
     nodes = written(
         known.where("n_shingles > 0").groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "nodes",
+        .agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("holder"), F.first("point").alias("point")), "nodes",
     )
     common = docs.sparkSession.sparkContext.broadcast(_most_common(described))
     rows = written(docs.mapInArrow(_prefixes(words, percent, common), "h long, node long"), "prefixes")
@@ -413,7 +431,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "do
     stars = (
         shared.select(*ordered("first", "node")).union(shared.select(*ordered("last", "node"))).where("a <> b").distinct()
     )
-    links = _links(stars, docs, nodes, words, percent, "star")
+    links = _links(stars, docs, nodes, words, percent, "star").union(_repeated_ids(known))
     labels = components(links)
     members = shared.select("h", "node")
     for tries in (FIRST_TRIES, None):  # the few best of each component first, then all that are still apart
@@ -423,10 +441,14 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "do
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
     linked = named.join(labels.select("node"), "node", "left_semi")
     smallest = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    groups = linked.join(smallest, "root").select("node", "least").unionByName(
-        named.join(labels.select("node"), "node", "left_anti").select("node", F.col("rep").alias("least"))
+    groups = linked.join(smallest, "root").select("node", "root", "least").unionByName(
+        named.join(labels.select("node"), "node", "left_anti").select("node", "root", F.col("rep").alias("least"))
     )
-    full = known.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(groups, "node")
-    return full.select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(
-        known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    full = known.where("n_shingles > 0").join(groups, "node").select("doc_id", "text_key", "n_shingles", F.col("least").alias("component_id"), "root")
+    empty = known.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles")
+    # An empty text of an id that also has another text belongs to that id's component.
+    its = full.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("its"))
+    return full.unionByName(
+        empty.join(its, "doc_id", "left")
+        .select("doc_id", "text_key", "n_shingles", F.coalesce("its", "doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     )

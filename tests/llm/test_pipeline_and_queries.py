@@ -82,3 +82,13 @@ def test_queries_read_whole_tables(spark):
     n = read_table(spark, SF, "documents", "doc_id").count()
     for name in ("op5_source_mix", "op8_ngram_join", "op9_two_pass_shuffle"):
         assert QUERIES[name](spark, SF).count() == n
+
+
+def test_one_of_several_copies_without_an_id_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other, both = " ".join(words + ["end"]), " ".join(words), " ".join(words[::-1])
+    rows = [(None, near), (None, near), (None, other), (None, both), (None, both + " end"), (4, both), (None, None), (8, "of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert len(kept) == 4 and {(4, both), (None, None), (8, "of its own")} < set(kept)
+    assert [t for i, t in kept if i is None and t] in ([near], [other])

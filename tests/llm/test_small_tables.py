@@ -390,6 +390,17 @@ def test_groups_of_odd_tables(spark):
     assert got == sorted([(None, 4), (4, 4), (4, 4), (None, None), (7, 7)], key=str)
 
 
+def test_groups_of_near_copies_without_ids_and_of_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    changed = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    rows = [(5, changed()), (None, changed(0)), (3, changed(0, 59)),  # 5 ~ null ~ 3, 5 and 3 are too far apart
+            (20, "first text of twenty"), (20, "second text of twenty"), (11, "first text of twenty"), (25, "second text of twenty"), (20, None),
+            (None, "lone " + changed(7)[::-1]), (None, "lone " + changed(7)[::-1] + " more")]
+    found = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 84).collect()
+    got = sorted(((r.doc_id, r.component_id) for r in found), key=str)
+    assert got == sorted([(5, 3), (None, 3), (3, 3), (20, 11), (20, 11), (11, 11), (25, 11), (20, 11), (None, None), (None, None)], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 9)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 100) for i in range(100, 161)} | {(5, 5), (9, 5)}
