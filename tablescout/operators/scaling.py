@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescout.session import materialize
+
 BROADCAST_ROWS = 100_000
+RANK_ROWS = 500_000
 HOT_ROWS = 100_000
 
 
@@ -89,3 +92,46 @@ def ordinal(
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_offset", "_chunk")
     )
+
+
+def ranked(
+    df: DataFrame, group: list[str], order: list[Column], name: str = "rank", total: int | None = None,
+    start: str | None = None, size: str | None = None,
+) -> DataFrame:
+    """0-based place of every row inside its group by `order`; null is a group of its own and sorts first.
+
+    Rows are sorted once by range partitions of (group, order), so a hot group is spread over many of them.
+    A row's place is its place in its partition plus the rows of earlier partitions; the driver sums one number per
+    partition and nothing else. Rows equal in group and order get their places in any order. Optional columns:
+    `start`, rows before the group among all rows (an order-preserving number of the group), and `size`, its rows."""
+    spark = df.sparkSession
+    total = df.count() if total is None else total
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // RANK_ROWS))
+    keys = [F.col(g) for g in group] + list(order)
+    at = materialize(
+        df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()),
+        "ranked",
+    ).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    before, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in at.groupBy("_part").agg(F.count(F.lit(1))).collect()):
+        offsets.append((part, before))
+        before += n
+    offsets = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    if not group:
+        extra = [F.lit(v).cast("long").alias(n) for v, n in ((0, start), (before, size)) if n]
+        return at.join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_at")).alias(name), *extra)
+    whole = Window.partitionBy(*group)
+    cells = (
+        at.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).join(offsets, "_part")
+        .select(
+            F.col("_part").alias("_cell"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_before",
+            F.min(F.col("_before") + F.col("_first")).over(whole).alias("_start"), F.sum("_n").over(whole).alias("_size"),
+        )
+    )
+    same = F.col("_part") == F.col("_cell")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    extra = [F.col(c).alias(n) for c, n in (("_start", start), ("_size", size)) if n]
+    return at.join(small_side(cells), same).select(
+        *df.columns, (F.col("_before") + F.col("_at") - F.col("_start")).alias(name), *extra
+    )
