@@ -213,3 +213,77 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     return extract(pages, train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters, bit by bit."""
+    steps = f"flatten([[ord(({text})[i]), -1, -1, -1, -1, -1, -1, -1, -1] for i in range(1, len(({text})) + 1)])"
+    step = "case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {steps}::bigint[]), lambda c, x: {step}), 4294967295)"
+
+
+MERKLE_LEVELS = 16
+
+
+def _merkle_sql() -> str:
+    """Every level written out; 3^16 rows of one source and as many sources."""
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    cut = "replace(text, chr(10), '')"
+    parts = [f"""d as materialized (
+    select doc_id, source, {leaf('text')} as leaf,
+      case when doc_id is not null and {crc32_sql('doc_id::varchar')} % 2 = 0 then {leaf(cut)} else {leaf('text')} end as given
+    from documents),
+r as materialized (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place from d),
+n as (select source, row_number() over (order by source nulls first) - 1 as tree from (select distinct source from d)),
+a0 as materialized (select n.tree, r.place, r.leaf as h from r join n on r.source is not distinct from n.source)"""]
+    for name, first in (("a", ""), ("b", f"b0 as materialized (select 0 as tree, tree as place, h from a{MERKLE_LEVELS})")):
+        if first:
+            parts.append(first)
+        for i in range(MERKLE_LEVELS):
+            low, run = f"{name}{i}", "partition by tree, place // 3 order by place"
+            parts.append(f"""{name}{i + 1} as materialized (
+    select tree, case when n = 1 then place else place // 3 end as place,
+      case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by {low}w.place)) end as h
+    from (select *, count(*) over (partition by tree) as n from {low}) {low}w group by tree, n, 2),
+{name}s{i} as materialized (
+    select tree, place, 
+      case when n = 1 then '' else coalesce(string_agg(h, '') over ({run} rows between unbounded preceding and 1 preceding), '') end as p,
+      case when n = 1 then '' else coalesce(string_agg(h, '') over ({run} rows between 1 following and unbounded following), '') end as q, n
+    from (select *, count(*) over (partition by tree) as n from {low}))""")
+    parts.append("f0 as (select doc_id, leaf, given as folded, '' as proof, n.tree, place, n.tree as t0, r.place as p0 "
+                 "from r join n on r.source is not distinct from n.source)")
+    at = 0
+    for name in ("a", "b"):
+        for i in range(MERKLE_LEVELS):
+            on = "s.tree = f.tree and s.place = f.place" if name == "a" else "s.place = f.place"
+            parts.append(f"""f{at + 1} as (select f.* replace (
+      case when s.n > 1 then sha256(s.p || f.folded || s.q) else f.folded end as folded, f.proof || s.p || s.q as proof,
+      case when s.n > 1 then f.place // 3 else f.place end as place)
+    from f{at} f join {name}s{i} s on {on})""")
+            at += 1
+        if name == "a":
+            parts.append(f"f{at + 1} as (select * replace (tree as place) from f{at})")
+            at += 1
+    return "with " + ",\n".join(parts) + f"""
+select f.doc_id, f.leaf, s.h as subroot, b.h as root, sha256(f.proof) as proof_sha256, f.folded as folded_root,
+  f.folded = b.h as verified
+from f{at} f join a{MERKLE_LEVELS} s on s.tree = f.tree cross join b{MERKLE_LEVELS} b"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document. Texts of every second id
+    (by crc32) lose their line breaks before they are held against the manifest."""
+    from tablescout.llm.merkle_manifest import build_manifest, fold, leaf_digest, path_digest, proofs
+
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read_table(spark, sf_dir, "documents", *columns)
+    leaf, cut = leaf_digest([F.col(c) for c in columns]), F.translate("text", "\n", "")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf_digest([*map(F.col, columns[:-1]), cut]))
+    manifest = build_manifest(docs, columns, "source", "doc_id", {"doc_id": F.col("doc_id"), "given": F.coalesce(tampered, leaf)})
+    told = proofs(manifest).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+        path_digest(F.col("path")).alias("proof_sha256"), fold(F.col("row.given"), F.col("path")).alias("folded_root"),
+    )
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
