@@ -287,3 +287,55 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         path_digest(F.col("path")).alias("proof_sha256"), fold(F.col("row.given"), F.col("path")).alias("folded_root"),
     )
     return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_TRIE_SQL = f"""
+with t as materialized (
+    select *, row_number() over (partition by conv_id order by turn nulls first, dig) as pos
+    from (select conv_id, turn, length(coalesce(text, '')) as cp,
+            md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as dig
+          from conversations where conv_id is not null)
+),
+c as materialized (
+    select conv_id, max(pos) as own, conv_id - conv_id % 100 as base, ({crc32_sql('conv_id::varchar')} % 6)::bigint as h
+    from t group by conv_id
+),
+hd as (select c.*, least(h, coalesce(b.own, 0)) as kept from c left join (select conv_id as id, own from c) b on b.id = c.base),
+rb as (
+    select hd.conv_id, t.pos as d, t.dig, t.cp from hd join t on t.conv_id = hd.base and t.pos <= hd.h
+    union all
+    select hd.conv_id, hd.kept + t.pos - hd.h, t.dig, t.cp from hd join t on t.conv_id = hd.conv_id and t.pos > hd.h
+),
+px as materialized (
+    select conv_id, d, cp, md5(string_agg(dig, '') over (partition by conv_id order by d)) as k from rb
+    union all select conv_id, 0, 0, 'root' from c
+),
+nodes as materialized (
+    select k, any_value(d) as d, any_value(cp) as cp, count(*) as n_convs, min(conv_id) as conv_id from px group by k
+),
+up as (select n.k, p.k as parent from nodes n join px p on p.conv_id = n.conv_id and p.d = n.d - 1),
+kids as (select parent as k, count(*) as n_children from up group by parent),
+below as (
+    select p.k, sum((v.n_convs - 1) * v.cp) as saved, count(*) filter (where kids.k is null) as n_leaves
+    from nodes v join px p on p.conv_id = v.conv_id and p.d <= v.d left join kids on kids.k = v.k group by p.k
+),
+fin as (
+    select k, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends
+    from (select conv_id, k from px qualify d = max(d) over (partition by conv_id)) group by k
+)
+select n.conv_id, n.d::bigint as depth, pn.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n_children, 0)::bigint as n_children,
+    below.n_leaves::bigint as n_leaves, below.saved::bigint as saved_tokens, coalesce(fin.ends, sha256('')) as ends_sha256
+from nodes n join below using (k) left join kids using (k) left join fin using (k)
+left join up on up.k = n.k left join nodes pn on pn.k = up.parent
+"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children,
+    n_leaves, saved_tokens, ends_sha256. Conversation c starts with the first crc32(c) % 6 turns of c - c % 100."""
+    from tablescout.llm.prefix_trie import prefix_nodes, turn_paths, with_shared_heads
+
+    talks = turn_paths(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    conv = F.col("conv_id")
+    return prefix_nodes(with_shared_heads(talks, F.crc32(conv.cast("string")) % 6, conv - conv % 100, 5))
