@@ -339,3 +339,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = turn_paths(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     conv = F.col("conv_id")
     return prefix_nodes(with_shared_heads(talks, F.crc32(conv.cast("string")) % 6, conv - conv % 100, 5))
+
+
+@query("op12_secret_spans")
+def op12_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, comma-joined) of every document."""
+    from tablescout.llm.secret_spans import ADDED, secret_spans, train
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secret_spans(docs, train(docs), ["doc_id"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != ADDED)
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
+    )
