@@ -31,7 +31,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 def stored_index(spark, sf_dir: str) -> tuple[float, float]:
     """Seconds to build and store the hybrid index, and to answer all questions from its full-text part."""
-    from tablescout.operators import indexing, retrieve, textindex
+    from tablescout.operators import indexing, textindex
     from tablescout.plans import retrieval
     from tablescout.session import scratch_path
 
@@ -39,7 +39,7 @@ def stored_index(spark, sf_dir: str) -> tuple[float, float]:
     indexing.build_index(retrieval.indexed_corpus(spark, sf_dir), path, stem=False)
     built = time.perf_counter()
     terms = textindex.query_terms(retrieval.plain_questions(spark, sf_dir), stem=False)
-    found = retrieve.text_topk(indexing.stored_scores(spark, path, terms), retrieval.DEPTH)
+    found = textindex.text_topk(indexing.text_source(spark, path), terms, retrieval.DEPTH)
     found.write.format("noop").mode("overwrite").save()
     return built - start, time.perf_counter() - built
 

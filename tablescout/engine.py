@@ -253,6 +253,48 @@ class TableScout:
             {"table_ids": names, "vector_index_id": ids[0], "fulltext_index_id": ids[1]},
         )
 
+    def _map_tables(self, index_name: str, tables: DataFrame) -> None:
+        ids = [r["id"] for r in self.relation("indexes").where(F.col("name") == index_name).select("id").collect()]  # two parts
+        mappings = self.relation("index_table_mappings")
+        fresh = C.map_tables(tables, ids).join(mappings, ["index_id", "table_id"], "left_anti").select(mappings.columns)
+        self.store.write("catalog/index_table_mappings", mappings.unionByName(fresh))
+
+    def append_index(self, index_name: str, table_ids: list[str] | tuple[str, ...]) -> str:
+        """Adds the documents of more tables, or new documents of tables already there, as a segment of the index."""
+        tables = self.spark.createDataFrame([(t,) for t in table_ids], "table_id string")
+        try:
+            at = self.location(index_name)
+            fresh = self.corpus(tables).join(IX.stored(self.spark, at, "documents").select("doc_id"), "doc_id", "left_anti")
+            IX.append_index(D.require_documents(fresh), at, self.embed, self.stem, self.dim)
+        except KeyError as e:
+            return _envelope("ERROR", e.args[0])
+        except Exception as e:
+            return _envelope("ERROR", str(e))
+        self._map_tables(index_name, tables)
+        return _envelope("SUCCESS", f"Index {index_name} now also covers {len(table_ids)} tables.", {"table_ids": list(table_ids)})
+
+    def remove_from_index(self, index_name: str, table_ids: list[str] | tuple[str, ...]) -> str:
+        """Takes all documents of the tables out of the index; its statistics change as in a new build."""
+        tables = self.spark.createDataFrame([(t,) for t in table_ids], "table_id string")
+        try:
+            at = self.location(index_name)
+        except KeyError as e:
+            return _envelope("ERROR", e.args[0])
+        IX.delete_documents(self.spark, at, IX.stored(self.spark, at, "documents").join(tables, "table_id", "left_semi").select("doc_id"))
+        mappings = self.relation("index_table_mappings")
+        own = self.relation("indexes").where(F.col("name") == index_name).select(F.col("id").alias("index_id"))
+        gone = own.crossJoin(F.broadcast(tables))  # two index parts times the asked tables
+        self.store.write("catalog/index_table_mappings", mappings.join(gone, ["index_id", "table_id"], "left_anti").select(mappings.columns))
+        return _envelope("SUCCESS", f"Index {index_name} no longer covers {len(table_ids)} tables.", {"table_ids": list(table_ids)})
+
+    def merge_index(self, index_name: str) -> str:
+        """Rewrites the index as one segment of its live documents."""
+        try:
+            IX.merge_index(self.spark, self.location(index_name), self.embed, self.stem, self.dim)
+        except KeyError as e:
+            return _envelope("ERROR", e.args[0])
+        return _envelope("SUCCESS", f"Index {index_name} has been merged.")
+
     # ---- search -------------------------------------------------------------------------------
 
     def location(self, index_name: str) -> str:
@@ -263,17 +305,23 @@ class TableScout:
 
     def search(
         self, index_name: str, queries: str | list[str] | DataFrame, k: int = 1, n: int = 5, alpha: float = 0.5,
-        rerank: bool | str = True,
+        rerank: bool | str = True, vector_share: float | None = None,
     ) -> DataFrame:
-        """(query_id, query, retrieved_tables) for a whole batch of questions as one plan.
+        """(query_id, query, retrieved_tables) for a whole batch of questions.
+
+        `vector_share` asks the vector part approximately: only the pivot lists nearest to a question, up to that share
+        of all vectors (None: all of them).
 
         `rerank` is NONE, LLM (the judge hook), COSINE (the second embedding hook) or DIRECT_SCORE (shared
         terms); True and False stand for LLM and NONE."""
         at = self.location(index_name)
         asked = R.as_queries(self.spark, queries)
         embedded = V.embed_column(asked, "query", self.embed, self.dim).select("query_id", V.unit("vector").alias("vector"))
-        scores = IX.stored_scores(self.spark, at, X.query_terms(asked, stem=self.stem))
-        ranked = R.hybrid_search(scores, embedded, IX.stored(self.spark, at, "vectors"), k, n, alpha)
+        vectors = IX.stored(self.spark, at, "vectors")
+        near = None if vector_share is None else IX.near_documents(self.spark, at, embedded, k * n, vector_share)
+        ranked = R.hybrid_search(
+            IX.text_source(self.spark, at), X.query_terms(asked, stem=self.stem), embedded, vectors, k, n, alpha, near
+        )
         docs = IX.stored(self.spark, at, "documents").select("doc_id", "table_id", "kind", "text")
         found = docs.join(ranked, "doc_id").join(asked, "query_id")
         mode = {True: "LLM", False: "NONE"}.get(rerank, rerank)

@@ -1,7 +1,13 @@
-"""Stored hybrid indexes: built below a staging path, visible only once registered."""
+"""Stored hybrid indexes of immutable segments: append, delete and merge without touching what is there.
+
+A segment holds documents, full-text blocks with their term counts, and vectors filed under pivots. The index is the
+newest complete version of a small list of segments and tombstones; a call that fails leaves the list as it was.
+Statistics are sums over segments minus tombstones, looked up for the asked terms only, so answers equal those of a
+new build."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,87 +15,136 @@ from pyspark.sql import functions as F
 
 from tablescout.operators import textindex as X
 from tablescout.operators import vectors as V
-from tablescout.operators.scaling import fits
-
-BUCKETS = 64
+from tablescout.operators.scaling import small_side
+from tablescout.operators.store import Store
+from tablescout.operators.topk import answer_schema, merged
 
+PARTS = "part string, kind string"
+SEGMENT, TOMBSTONES = "segment", "tombstones"
 
-def _bucket(term="term"):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
+def write_fulltext(corpus: DataFrame, path: str, stem: bool = True) -> None:
+    """Blocks, document frequencies and totals of one segment; texts are analysed once."""
+    spark = corpus.sparkSession
+    X.text_blocks(X.analyze(corpus, stem=stem)).write.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    X.block_terms(blocks).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    X.block_totals(blocks).write.parquet(f"{path}/totals")
 
-def write_fulltext(corpus: DataFrame, path: str, stem: bool = True, before: str | None = None) -> None:
-    """Postings with weights in folders by term bucket, plus the small statistics relations.
 
-    Texts are analysed once and their terms stored; `before` names an index whose stored terms are taken over."""
+def write_vectors(corpus: DataFrame, path: str, embed: Callable | None = None, dim: int = 64) -> None:
+    """Unit vectors filed under the segment's own pivots, in the order of their lists; pivots carry the list sizes."""
     spark = corpus.sparkSession
-    fresh = X.analyze(corpus, stem=stem).select("doc_id", "terms")
-    if before:
-        fresh = spark.read.parquet(f"{before}/analyzed").unionByName(fresh)
-    fresh.write.parquet(f"{path}/analyzed")
-    analyzed = spark.read.parquet(f"{path}/analyzed")
-    X.postings(analyzed).write.parquet(f"{path}/postings")
-    X.corpus_stats(analyzed).write.parquet(f"{path}/stats")
-    post = spark.read.parquet(f"{path}/postings")
-    X.term_stats(post).write.parquet(f"{path}/terms")
-    weights = X.weigh(post, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"))
-    # Ranging over the document as well splits a frequent term over several files.
-    (
-        weights.withColumn("bucket", _bucket()).repartitionByRange("bucket", "term", "doc_id")
-        .sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/weights")
-    )
+    embedded = V.embed_column(corpus.select("doc_id", "text"), "text", embed, dim)
+    embedded.select("doc_id", V.unit("vector").alias("vector")).write.parquet(f"{path}/embedded")
+    pivots, filed = V.pivot_lists(spark.read.parquet(f"{path}/embedded"))
+    filed.write.parquet(f"{path}/filed")
+    filed = spark.read.parquet(f"{path}/filed")
+    filed.repartitionByRange("list", "doc_id").sortWithinPartitions("list", "doc_id").write.parquet(f"{path}/vectors")
+    sizes = filed.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
+    pivots.join(sizes, "list", "left").write.parquet(f"{path}/pivots")
 
 
-def write_vectors(corpus: DataFrame, path: str, embed: Callable | None = None, dim: int = 64, before: str | None = None) -> None:
-    embedded = V.embed_column(corpus.select("doc_id", "text"), "text", embed, dim)
-    vectors = embedded.select("doc_id", V.unit("vector").alias("vector"))
-    if before:
-        vectors = corpus.sparkSession.read.parquet(f"{before}/vectors").unionByName(vectors)
-    vectors.write.parquet(f"{path}/vectors")
+def _parts(spark: SparkSession, path: str, kind: str) -> list[str]:
+    rows = Store(spark, path).read("manifest", PARTS).where(F.col("kind") == kind).collect()  # one row per segment
+    return sorted(r["part"] for r in rows)
 
 
-def build_index(corpus: DataFrame, path: str, embed=None, stem: bool = True, dim: int = 64) -> None:
-    """corpus(doc_id, table_id, kind, text). Nothing is registered here."""
-    spark = corpus.sparkSession
-    corpus.write.parquet(f"{path}/documents")
-    stored = spark.read.parquet(f"{path}/documents")
-    write_vectors(stored, path, embed, dim)
-    write_fulltext(stored, path, stem)
+def _publish(spark: SparkSession, path: str, parts: list[tuple[str, str]]) -> None:
+    Store(spark, path).write("manifest", spark.createDataFrame(parts, PARTS).coalesce(1))
+
+
+def _manifest(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    return [(p, k) for k in (SEGMENT, TOMBSTONES) for p in _parts(spark, path, k)]
+
 
+def write_segment(corpus: DataFrame, path: str, embed=None, stem: bool = True, dim: int = 64) -> str:
+    """A new segment below `path`, not yet part of the index. Returns its folder."""
+    part = f"{path}/segments/{uuid.uuid4().hex}"
+    corpus.write.parquet(f"{part}/documents")
+    stored = corpus.sparkSession.read.parquet(f"{part}/documents")
+    write_vectors(stored, part, embed, dim)
+    write_fulltext(stored, part, stem)
+    return part
+
+
+def build_index(corpus: DataFrame, path: str, embed=None, stem: bool = True, dim: int = 64) -> None:
+    """corpus(doc_id, table_id, kind, text) as an index of one segment. Nothing is registered here."""
+    _publish(corpus.sparkSession, path, [(write_segment(corpus, path, embed, stem, dim), SEGMENT)])
 
-def append_index(corpus: DataFrame, before: str, path: str, embed=None, stem: bool = True, dim: int = 64) -> None:
-    """An index at `path` of the documents stored at `before` and those of `corpus`.
 
-    Only new documents are embedded and analysed; statistics and weights are refreshed, as both depend on
-    the whole corpus. The old index stays readable until the caller registers the new one."""
+def append_index(corpus: DataFrame, path: str, embed=None, stem: bool = True, dim: int = 64) -> None:
+    """Adds those documents whose id the index does not have: one new segment, and a new list of segments."""
     spark = corpus.sparkSession
-    old = spark.read.parquet(f"{before}/documents")
+    old = stored(spark, path, "documents")
     new = corpus.select(*old.columns).join(old.select("doc_id"), "doc_id", "left_anti").select(*old.columns)
-    new.write.parquet(f"{path}/appended")
-    new = spark.read.parquet(f"{path}/appended")
-    old.unionByName(new).write.parquet(f"{path}/documents")
-    write_vectors(new, path, embed, dim, before)
-    write_fulltext(new, path, stem, before)
+    _publish(spark, path, [*_manifest(spark, path), (write_segment(new, path, embed, stem, dim), SEGMENT)])
+
+
+def delete_documents(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """Deletes the documents ids(doc_id): their places in the blocks and their share of the statistics become a tombstone.
+    Ids that the index does not have are passed over."""
+    live = stored(spark, path, "documents").select("doc_id").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    part = f"{path}/tombstones/{uuid.uuid4().hex}"
+    live.write.parquet(f"{part}/ids")
+    gone = spark.read.parquet(f"{part}/ids")
+    blocks = _union(spark, path, SEGMENT, "blocks")
+    places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id")).join(small_side(gone), "doc_id", "left_semi")
+    places.groupBy("block").agg(F.sort_array(F.collect_list(F.col("place").cast("int"))).alias("places")).write.parquet(f"{part}/places")
+    hit = blocks.join(spark.read.parquet(f"{part}/places").withColumnRenamed("places", "gone"), "block")
+    X.lost_terms(hit).groupBy("term").agg((-F.sum("df")).alias("df")).write.parquet(f"{part}/terms")
+    lengths = F.aggregate("gone", F.lit(0).cast("long"), lambda s, p: s + F.col("lengths")[p])
+    hit.agg(
+        (-F.coalesce(F.sum(F.size("gone")), F.lit(0))).alias("n"), (-F.coalesce(F.sum(lengths), F.lit(0))).alias("len")
+    ).write.parquet(f"{part}/totals")
+    _publish(spark, path, [*_manifest(spark, path), (part, TOMBSTONES)])
+
+
+def merge_index(spark: SparkSession, path: str, embed=None, stem: bool = True, dim: int = 64) -> None:
+    """One segment of all live documents; earlier versions stay readable until their folders are dropped."""
+    _publish(spark, path, [(write_segment(stored(spark, path, "documents"), path, embed, stem, dim), SEGMENT)])
+
+
+def _union(spark: SparkSession, path: str, kind: str, part: str) -> DataFrame | None:
+    folders = [f"{p}/{part}" for p in _parts(spark, path, kind)]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def _live(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    gone = _union(spark, path, TOMBSTONES, "ids")
+    return df if gone is None else df.join(small_side(gone), "doc_id", "left_anti")
 
 
 def stored(spark: SparkSession, path: str, part: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{part}")
-
-
-def stored_scores(spark: SparkSession, path: str, q_terms: DataFrame) -> DataFrame:
-    """Scores from a stored index. A small question batch is broadcast and also prunes the
-    term buckets that are read."""
-    weights = stored(spark, path, "weights")
-    few = fits(q_terms)
-    asked = q_terms.where(F.col("term") > "").withColumn("bucket", _bucket())
-    if not few:
-        return X.score(weights.drop("bucket"), q_terms, stored(spark, path, "terms"), "doc_id", False)
-    hits = weights.join(F.broadcast(asked), ["bucket", "term"])
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("raw")).select(
-        "query_id", "doc_id", F.round("raw", 6).alias("score")
+    """documents or vectors of all segments, without deleted ones."""
+    df = _union(spark, path, SEGMENT, part)
+    return _live(spark, path, df.select("doc_id", "vector") if part == "vectors" else df).select(
+        *(["doc_id", "vector"] if part == "vectors" else df.columns)
     )
 
 
+def text_source(spark: SparkSession, path: str) -> X.TextSource:
+    """The full-text part of a stored index."""
+    dead = _union(spark, path, TOMBSTONES, "places")
+    add = lambda part: [d for d in (_union(spark, path, k, part) for k in (SEGMENT, TOMBSTONES)) if d is not None]
+    terms, totals = (d[0].unionByName(d[1]) if len(d) > 1 else d[0] for d in (add("terms"), add("totals")))
+    if dead is not None:
+        dead = dead.groupBy("block").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return X.TextSource(_union(spark, path, SEGMENT, "blocks"), terms, totals, dead)
+
+
+def near_documents(spark: SparkSession, path: str, queries: DataFrame, k: int, share: float | None = None) -> DataFrame:
+    """Vector answers of a stored index: exact, or from the lists of every segment when `share` is given."""
+    if share is None:
+        return V.vector_topk(queries, stored(spark, path, "vectors"), k)
+    found = []
+    for part in _parts(spark, path, SEGMENT):
+        filed = _live(spark, path, spark.read.parquet(f"{part}/vectors"))
+        found.append(V.lists_topk(queries, filed, spark.read.parquet(f"{part}/pivots"), k, share).drop("rank"))
+    types = queries.schema["query_id"].dataType, stored(spark, path, "vectors").schema["doc_id"].dataType
+    return merged(found, spark.createDataFrame([], answer_schema(*types)), k)
+
+
 def unknown_indexes(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, message) of requested indexes nobody registered."""
     return requests.select("name").distinct().join(registry.select("name").distinct(), "name", "left_anti").withColumn(
@@ -99,12 +154,10 @@ def unknown_indexes(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 def open_or_build(spark: SparkSession, path: str, corpus: Callable[[], DataFrame], embed=None, stem: bool = True,
                   reindex: bool = False) -> None:
-    """Build unless a complete index is there; `reindex` replaces it. The weights are written last."""
-    from tablescout.operators.store import Store
-
+    """Build unless a complete index is there; `reindex` replaces it. The list of segments is written last."""
     store = Store(spark, path.rsplit("/", 1)[0])
     if store.exists(path):
-        if store.exists(f"{path}/weights/_SUCCESS") and not reindex:
+        if Store(spark, path).has("manifest") and not reindex:
             return
         store.drop(path)
     build_index(corpus(), path, embed, stem)

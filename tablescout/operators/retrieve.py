@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.text import table_of_doc
 from tablescout.operators.scaling import BROADCAST_ROWS, fits, top_per_group
+from tablescout.operators.textindex import TextSource, pair_scores, text_topk
 from tablescout.operators.vectors import cosine, vector_topk
 from tablescout.session import materialize
 
@@ -25,10 +26,6 @@ def candidate_depth(k, n, corpus_size) -> Column:
     return F.least(k * n, corpus_size)
 
 
-def text_topk(scores: DataFrame, depth: int, doc: str = "doc_id") -> DataFrame:
-    return top_per_group(scores, ["query_id"], [F.col("score").desc(), F.col(doc)], depth)
-
-
 def candidates(text_top: DataFrame, vector_top: DataFrame) -> DataFrame:
     """Union of both result lists with the rank a document had in each (null: not in that list)."""
     t = text_top.select("query_id", "doc_id", F.col("rank").alias("text_rank"))
@@ -39,13 +36,11 @@ def candidates(text_top: DataFrame, vector_top: DataFrame) -> DataFrame:
 def complete_scores(
     cands: DataFrame, text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, most: int | None = None
 ) -> DataFrame:
-    """True scores of both retrievers for every candidate.
+    """True scores of both retrievers for every candidate; text_scores hold the candidates that share a term.
 
-    The text side re-uses the shuffled score relation. `most` is a bound on the
-    number of candidates (questions * 2 * depth); only a small bound broadcasts them."""
+    `most` is a bound on the number of candidates (questions * 2 * depth); only a small bound broadcasts them."""
     few = fits(cands) if most is None else most <= BROADCAST_ROWS
     side = F.broadcast(cands) if few else cands
-    text = text_scores.join(side.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     pairs = (
         vectors.select("doc_id", F.col("vector").alias("dv"))
         .join(side, "doc_id")
@@ -54,9 +49,8 @@ def complete_scores(
     vec = pairs.select(
         "query_id", "doc_id", "text_rank", "vector_rank", F.round(cosine("qv", "dv"), 6).alias("vector_score")
     )
-    return vec.join(text.withColumnRenamed("score", "text_score"), ["query_id", "doc_id"], "left").withColumn(
-        "text_score", F.coalesce("text_score", F.lit(0.0))
-    )
+    text = text_scores.select("query_id", "doc_id", F.col("score").alias("text_score"))
+    return vec.join(text, ["query_id", "doc_id"], "left").withColumn("text_score", F.coalesce("text_score", F.lit(0.0)))
 
 
 def min_max(c: str, by: list[str]) -> Column:
@@ -82,24 +76,29 @@ def rank_documents(scored: DataFrame, k: int, by: list[str] | None = None) -> Da
     return top_per_group(scored, by or ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def pooled_candidates(text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
-    """Candidates of both retrievers up to `depth` with completed scores."""
-    asked = queries.count()
-    tops = candidates(text_topk(text_scores, depth), vector_topk(queries, vectors, depth, asked=asked))
-    cands = materialize(tops, "candidates")  # at most 2 * depth rows per question, read twice below
-    return complete_scores(cands, text_scores, queries, vectors, asked * 2 * depth)
+def pooled_candidates(
+    text: TextSource, q_terms: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int, near: DataFrame | None = None
+) -> DataFrame:
+    """Candidates of both retrievers up to `depth` with completed scores. `near` replaces the exact vector answers."""
+    near = vector_topk(queries, vectors, depth) if near is None else near
+    cands = materialize(candidates(text_topk(text, q_terms, depth), near), "candidates")  # at most 2 * depth rows per question
+    scores = pair_scores(text, q_terms, cands)
+    return complete_scores(cands, scores, queries, vectors, queries.count() * 2 * depth)
 
 
-def hybrid_candidates(text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
+def hybrid_candidates(
+    text: TextSource, q_terms: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int, near: DataFrame | None = None
+) -> DataFrame:
     """Normalised scores of both retrievers for the pooled candidates of every question."""
-    return normalise(pooled_candidates(text_scores, queries, vectors, depth))
+    return normalise(pooled_candidates(text, q_terms, queries, vectors, depth, near))
 
 
 def hybrid_search(
-    text_scores: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, n: int, alpha: float
+    text: TextSource, q_terms: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, n: int, alpha: float,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """k*n fused documents per question, best first."""
-    return rank_documents(fuse(hybrid_candidates(text_scores, queries, vectors, k * n), alpha), k * n)
+    return rank_documents(fuse(hybrid_candidates(text, q_terms, queries, vectors, k * n, near), alpha), k * n)
 
 
 def relevance_prompt(kind: Column, doc: Column, query: Column) -> Column:

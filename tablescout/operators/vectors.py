@@ -1,21 +1,28 @@
-"""Vector relation: embedding hook, unit vectors, exact blocked top-k and banded LSH."""
+"""Vector relation: embedding hook, unit vectors, exact top-k and top-k over pivot lists."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tablescout.operators.scaling import top_per_group
+from tablescout.functions.hashing import hash_rank
+from tablescout.operators.topk import Best, answer_schema, as_ids, merged, millionths, question_blocks
 
-VECTOR_SHARD = 16_384
 QUERY_BLOCK = 1_024
+VECTOR_ROWS = 4_096
+PIVOT_FACTOR, MAX_PIVOTS = 6, 32_768
+ASKED_SHARE = 0.27
+LISTED = 1_000
 
 
 def hashed_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -72,116 +79,116 @@ def cosine(a, b) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def _block_topk(k: int):
-    def best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        if queries.empty or vectors.empty:
-            return empty
-        q = np.stack(queries["vector"].to_numpy())
-        v = np.stack(vectors["vector"].to_numpy())
-        sims = np.round(q @ v.T, 6)
-        docs = vectors["doc_id"].to_numpy()
-        out = []
-        for row, qid in zip(sims, queries["query_id"].to_numpy()):
-            if len(row) > k:
-                floor = np.partition(row, len(row) - k)[len(row) - k]
-                keep = np.nonzero(row >= floor)[0]
+@dataclass
+class _Asked:
+    """A block of questions as every task gets it; `lists[question, list]` where only some lists are asked."""
+
+    ids: list
+    matrix: np.ndarray
+    lists: np.ndarray | None = None
+
+
+def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    vectors = batch.column("vector")
+    return as_ids(batch.column("doc_id")), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _topk_map(shared, k: int, query_type: pa.DataType, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: _Asked = shared.value
+        best = Best(len(asked.ids), k)
+        every = np.arange(len(asked.ids))
+        for batch in batches:
+            ids, vectors = _rows_of(batch)
+            if asked.lists is None:
+                spans = [(a, min(a + VECTOR_ROWS, len(ids)), every) for a in range(0, len(ids), VECTOR_ROWS)]
             else:
-                keep = np.arange(len(row))
-            keep = keep[np.lexsort((docs[keep], -row[keep]))][:k]
-            out.append(pd.DataFrame({"query_id": qid, "doc_id": docs[keep], "score": row[keep]}))
-        return pd.concat(out, ignore_index=True)
-
-    return best
-
-
-def _cogroup_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("doc_id", vectors.schema["doc_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(_block_topk(k), schema)
-
-
-def vector_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, shard: int = VECTOR_SHARD, asked: int | None = None
-) -> DataFrame:
-    """Exact cosine top-k of every question as a blocked matrix product.
-
-    queries(query_id, vector) and vectors(doc_id, vector) hold unit vectors. The
-    corpus is cut into shards and the questions into blocks; a task sees one
-    block and one shard, and hands on k rows per question. No pair of rows is
-    ever materialised and neither side is broadcast or collected."""
-    shards = max(1, math.ceil(vectors.count() / shard))
-    blocks = max(1, math.ceil((queries.count() if asked is None else asked) / QUERY_BLOCK))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = queries.withColumn("_block", part_of("query_id", blocks)).withColumn("_shard", all_of(shards))
-    v = vectors.withColumn("_shard", part_of("doc_id", shards)).withColumn("_block", all_of(blocks))
-    local = _cogroup_topk(q, v, ["_block", "_shard"], k)
-    return top_per_group(local, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
-
-
-def plane_signs(bits: int, dim: int, seed: int = 42) -> np.ndarray:
-    """+1/-1 hyperplane components fixed by a hash of (seed, bit, dimension)."""
-    signs = np.empty((bits, dim))
-    for b in range(bits):
-        for d in range(dim):
-            signs[b, d] = 1.0 if hashlib.md5(f"{seed}:{b}:{d}".encode()).hexdigest()[0] < "8" else -1.0
-    return signs
-
-
-def lsh_bands(df: DataFrame, bands: int, rows: int, dim: int, seed: int = 42, vector: str = "vector") -> DataFrame:
-    """One row per band: `band` and the bit pattern `bucket` of its hyperplane signs."""
-    planes = plane_signs(bands * rows, dim, seed)
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def signature(vectors: pd.Series) -> pd.Series:
-        m = np.stack(vectors.to_numpy()).astype(float)
-        on = (np.round(m @ planes.T, 9) >= 0).reshape(len(m), bands, rows)
-        return pd.Series(list((on * (1 << np.arange(rows))).sum(axis=2)))
-
-    return df.select("*", F.posexplode(signature(vector)).alias("band", "bucket"))
-
-
-def lsh_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, bands: int = 8, rows: int = 6, dim: int = 64,
-    seed: int = 42, shard: int = VECTOR_SHARD,
-) -> DataFrame:
-    """Approximate cosine top-k: questions meet only vectors sharing a band bucket.
-
-    A bucket holding many vectors is split into shards and only its questions are
-    repeated per shard, so one hot bucket becomes many bounded tasks; scores inside
-    a bucket are exact and each task hands on k rows per question."""
-    qb = lsh_bands(queries, bands, rows, dim, seed)
-    vb = lsh_bands(vectors, bands, rows, dim, seed)
-    sizes = (
-        vb.groupBy("band", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("band", "bucket", F.ceil(F.col("n") / shard).cast("int").alias("_shards"))
-    )
-    n_max = max(1, math.ceil(vectors.count() / shard))
-    # A bucket never has more shards than the corpus; most have one. The shard number of a
-    # vector uses the corpus-wide modulus folded onto the bucket's own shard count.
-    if n_max == 1:
-        v = vb.withColumn("_shard", F.lit(0))
-        q = qb.withColumn("_shard", F.lit(0))
-    else:
-        hot = F.broadcast(sizes.where("_shards > 1"))  # at most bands * n_max rows
-        spread = F.pmod(F.xxhash64("doc_id"), F.coalesce("_shards", F.lit(1)).cast("long")).cast("int")
-        v = vb.join(hot, ["band", "bucket"], "left").withColumn("_shard", spread).drop("_shards")
-        q = (
-            qb.join(hot, ["band", "bucket"], "left")
-            .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1)))
-            .drop("_shards")
-        )
-    # Questions of one bucket are cut into blocks as well; vectors are repeated per block.
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    v = v.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    local = _cogroup_topk(q, v, ["band", "bucket", "_shard", "_block"], k)
-    once = local.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return top_per_group(once, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+                lists = batch.column("list").to_numpy(zero_copy_only=False)
+                order = np.argsort(lists, kind="stable")
+                ids, vectors, lists = ids[order], vectors[order], lists[order]
+                edges = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+                spans = [(a, b, np.flatnonzero(asked.lists[:, lists[a]])) for a, b in zip(edges, edges[1:]) if b > a]
+            for a, b, rows in spans:
+                if len(rows):
+                    best.add(rows, millionths(asked.matrix[rows] @ vectors[a:b].T), ids[a:b])
+        yield from best.batch(asked.ids, query_type, id_type)
+
+    return run
+
+
+def _matrix(rows: list) -> np.ndarray:
+    return np.array([r["vector"] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+
+
+def _search(queries: DataFrame, vectors: DataFrame, k: int, lists_of: Callable | None = None) -> DataFrame:
+    spark = vectors.sparkSession
+    types = queries.schema["query_id"].dataType, vectors.schema["doc_id"].dataType
+    schema, parts = answer_schema(*types), []
+    vectors = vectors.where(F.size("vector") > 0)
+    for block in question_blocks(queries.select("query_id", "vector").where(F.size("vector") > 0), QUERY_BLOCK):
+        asked = _Asked([r["query_id"] for r in block], _matrix(block))
+        corpus = vectors.select("doc_id", "vector")
+        if lists_of is not None:
+            asked.lists = lists_of(asked.matrix)
+            any_ = np.flatnonzero(asked.lists.any(axis=0)).tolist()
+            corpus = vectors.select("doc_id", "vector", "list")
+            if len(any_) <= LISTED:  # few lists: others are not even read
+                corpus = corpus.where(F.col("list").isin(any_))
+        kernel = _topk_map(spark.sparkContext.broadcast(asked), k, to_arrow_type(types[0]), to_arrow_type(types[1]))
+        parts.append(corpus.mapInArrow(kernel, schema))
+    return merged(parts, spark.createDataFrame([], schema), k)
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Exact cosine top-k of every question: query_id, doc_id, score (six digits), rank.
+
+    queries(query_id, vector) and vectors(doc_id, vector) hold unit vectors. Questions go to all tasks in blocks of
+    QUERY_BLOCK; the corpus is mapped once a block and never moves, and a task hands on k rows per question."""
+    return _search(queries, vectors, k)
+
+
+def pivot_count(n: int) -> int:
+    return max(1, min(MAX_PIVOTS, math.ceil(PIVOT_FACTOR * math.sqrt(n))))
+
+
+def pivot_lists(vectors: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(pivots, filed): about 6 * sqrt(n) vectors drawn by hash rank, at most MAX_PIVOTS, as pivots(list, vector), and all
+    rows with `list`, the number of their nearest pivot (ties to the lower number)."""
+    spark = vectors.sparkSession
+    drawn = vectors.where(F.size("vector") > 0).orderBy(hash_rank(seed, F.col("doc_id")), "doc_id").limit(pivot_count(vectors.count()))
+    rows = drawn.select("vector").collect()
+    shared = spark.sparkContext.broadcast(_matrix(rows))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, vectors = _rows_of(batch)
+            near = [
+                millionths(vectors[a : a + VECTOR_ROWS] @ shared.value.T).argmax(axis=1) for a in range(0, len(vectors), VECTOR_ROWS)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*near, np.zeros(0, int)]).astype(np.int32))], [*batch.schema.names, "list"])
+
+    pivots = spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(rows)], "list int, vector array<double>")
+    kept = vectors.select("doc_id", "vector").where(F.size("vector") > 0)
+    return pivots, kept.mapInArrow(file, T.StructType([*kept.schema.fields, T.StructField("list", T.IntegerType())]))
+
+
+def lists_topk(queries: DataFrame, filed: DataFrame, pivots: DataFrame, k: int, share: float = ASKED_SHARE) -> DataFrame:
+    """Approximate cosine top-k: a question asks the lists of its nearest pivots, nearest first, until they hold `share`
+    of all vectors; rows of other lists are not compared. share = 1 is exact.
+
+    pivots(list, vector, size): sizes may come with the pivots (a stored index) or are counted here."""
+    sized = pivots if "size" in pivots.columns else pivots.join(filed.groupBy("list").agg(F.count(F.lit(1)).alias("size")), "list", "left")
+    rows = sorted(sized.collect(), key=lambda r: r["list"])
+    if not rows:
+        types = queries.schema["query_id"].dataType, filed.schema["doc_id"].dataType
+        return merged([], filed.sparkSession.createDataFrame([], answer_schema(*types)), k)
+    matrix, sizes = _matrix(rows), np.array([r["size"] or 0 for r in rows], float)
+
+    def asked_lists(questions: np.ndarray) -> np.ndarray:
+        order = np.argsort(-millionths(questions @ matrix.T), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        asked = np.zeros(order.shape, bool)
+        np.put_along_axis(asked, order, before < share * sizes.sum(), 1)
+        return asked
+
+    return _search(queries, filed, k, asked_lists)

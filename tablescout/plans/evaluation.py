@@ -82,10 +82,7 @@ gh as (select k, n, alpha, gr.query_id, max(case when d.source = q.source then 1
        from gr join documents d on d.doc_id = gr.doc_id left join documents q on q.doc_id = gr.query_id group by all)
 select k, n, alpha, round(avg(hit) * 100, 2) as hitrate, sum(hit) as hits, count(*) as questions from gh group by all""")
 def parameter_grid(spark, sf):
-    docs, qs, scores = P.hybrid_inputs(spark, sf)
-    pooled = R.pooled_candidates(
-        scores, qs.select("query_id", "vector"), docs.select("doc_id", "vector"), E.grid_depth(POINTS)
-    )
+    pooled = R.pooled_candidates(*P.hybrid_inputs(spark, sf), E.grid_depth(POINTS))
     sources = table(spark, sf, "documents", "doc_id", "source")
     labelled = pooled.join(sources.withColumnRenamed("source", "d_source"), "doc_id").join(
         sources.select(F.col("doc_id").alias("query_id"), F.col("source").alias("q_source")), "query_id", "left"

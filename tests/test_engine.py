@@ -96,20 +96,69 @@ def test_a_failed_fulltext_part_leaves_nothing(engine, monkeypatch):
     assert count() == before and engine.relation("indexes").count() == registered
 
 
-def test_an_appended_index_equals_a_new_one(spark, tmp_path):
+def answers(spark, at, questions):
     from tablescout.operators import indexing as IX
+    from tablescout.operators import textindex as X
+    from tablescout.operators import vectors as V
 
-    docs = spark.createDataFrame(
-        [(f"t{i}_SEP_contents", f"t{i}", "content", f"station number {i} engine {'ladder ' * (i % 3)}") for i in range(9)],
-        "doc_id string, table_id string, kind string, text string",
-    )
-    first, both, whole = (str(tmp_path / n) for n in ("first", "both", "whole"))
-    IX.build_index(docs.where("table_id < 't5'"), first)
-    IX.append_index(docs.where("table_id >= 't3'"), first, both)
-    IX.build_index(docs, whole)
-    for part, columns in {"weights": ("term", "doc_id", "weight"), "terms": ("term", "df"), "stats": None, "vectors": None, "documents": None}.items():
-        rows = [sorted(map(str, IX.stored(spark, at, part).select(*columns or IX.stored(spark, whole, part).columns).collect())) for at in (both, whole)]
-        assert rows[0] == rows[1], part
+    asked = spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
+    vectors = V.embed_column(asked, "query").select("query_id", V.unit("vector").alias("vector"))
+    found = [X.text_topk(IX.text_source(spark, at), X.query_terms(asked), 6), IX.near_documents(spark, at, vectors, 6),
+             IX.near_documents(spark, at, vectors, 6, share=1.0)]
+    return [sorted(map(tuple, f.select("query_id", "doc_id", "score", "rank").collect())) for f in found]
+
+
+def test_a_changed_index_answers_like_a_new_one(spark, tmp_path):
+    """Append (with ids that are already there), delete, delete again, append a deleted id anew, merge."""
+    from tablescout.operators import indexing as IX
+
+    text = lambda i: f"station number {i} engine {'ladder ' * (i % 3)} {'hose' if i % 4 else ''}"
+    rows = [(f"t{i}_SEP_contents", f"t{i % 9}", "content", text(i)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, table_id string, kind string, text string")
+    questions = ["ladder engine 7", "hose", "station ladder ladder", "nothing known"]
+
+    def fresh(some):
+        at = str(tmp_path / f"fresh{len(list(tmp_path.iterdir()))}")
+        IX.build_index(some, at)
+        return answers(spark, at, questions)
+
+    at = str(tmp_path / "index")
+    IX.build_index(docs.where("table_id < 't5'"), at)
+    IX.append_index(docs.where("table_id >= 't3' and table_id < 't8'"), at)
+    gone = docs.where("table_id in ('t1', 't6')")
+    IX.delete_documents(spark, at, gone.select("doc_id").union(spark.createDataFrame([("unknown",)], "doc_id string")))
+    left = docs.where("table_id < 't8' and table_id not in ('t1', 't6')")
+    IX.delete_documents(spark, at, gone.select("doc_id"))
+    IX.append_index(docs.where("table_id = 't8'"), at)
+    whole = left.union(docs.where("table_id = 't8'"))
+    assert answers(spark, at, questions) == fresh(whole)
+    before = answers(spark, at, questions)
+    IX.merge_index(spark, at)
+    assert answers(spark, at, questions) == before
+    assert sorted(r["doc_id"] for r in IX.stored(spark, at, "documents").collect()) == sorted(r["doc_id"] for r in whole.collect())
+    IX.delete_documents(spark, at, whole.select("doc_id"))
+    assert answers(spark, at, questions) == [[], [], []]
+
+
+def test_public_append_remove_and_merge(engine, lake):
+    everything = [r["id"] for r in engine.relation("table_status").collect()]
+    votes, rest = table_id(engine, "votes"), [t for t in everything if "stations" not in t]
+    assert json.loads(engine.generate_index("grown", rest))["status"] == "SUCCESS"
+    ask = lambda **how: [r["retrieved_tables"] for r in engine.search("grown", ["fire stations agency", "votes public safety"], k=2, rerank="NONE", **how).sort("query_id").collect()]
+    stations = table_id(engine, "stations")
+    assert stations not in ask()[0]
+    assert json.loads(engine.append_index("grown", [stations]))["status"] == "SUCCESS"
+    assert ask()[0][0] == stations and ask(vector_share=1.0) == ask()
+    assert json.loads(engine.append_index("grown", [stations]))["status"] == "ERROR"  # nothing new
+    ids = {r["id"] for r in engine.relation("indexes").where("name = 'grown'").collect()}
+    mapped = lambda: {r["table_id"] for r in engine.relation("index_table_mappings").collect() if r["index_id"] in ids}
+    assert mapped() == set(everything)
+    assert json.loads(engine.remove_from_index("grown", [votes]))["status"] == "SUCCESS"
+    assert votes not in ask()[1] and mapped() == set(everything) - {votes}
+    kept = ask()
+    assert json.loads(engine.merge_index("grown"))["status"] == "SUCCESS" and ask() == kept
+    for call in (lambda: engine.append_index("missing", rest), lambda: engine.remove_from_index("missing", rest), lambda: engine.merge_index("missing")):
+        assert json.loads(call())["message"] == "Index with name missing does not exist."
 
 
 def test_same_path_with_new_content_replaces_the_table(engine, lake):

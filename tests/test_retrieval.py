@@ -1,12 +1,15 @@
 import math
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablescout.operators import retrieve as R
 from tablescout.operators import textindex as X
 from tablescout.operators import vectors as V
 
+SF = "/root/testdata/sf0.01"
 DOCS = [(1, "red apple pie apple"), (2, "green apple"), (3, "blue sky blue sky blue"), (4, "nothing here")]
 
 
@@ -30,14 +33,69 @@ def test_scores_follow_the_formula_and_repeated_words_count(spark):
     docs = X.analyze(spark.createDataFrame(DOCS, "doc_id long, text string"), stem=False)
     qs = spark.createDataFrame([(0, "apple apple red"), (1, "unknown words"), (2, "sky")], "query_id long, query string")
     terms = X.query_terms(qs, stem=False)
-    got = {(r["query_id"], r["doc_id"]): r["score"] for r in X.score_corpus(docs, terms).collect()}
     want = {(q, d): s for q, text in [(0, "apple apple red"), (1, "unknown words"), (2, "sky")] for d, s in bm25(text).items()}
-    assert got == want
+    for source in (X.analyzed_source(docs), X.analyzed_source(docs, terms)):
+        got = {(r["query_id"], r["doc_id"]): r["score"] for r in X.text_topk(source, terms, 10).collect()}
+        assert got == want
+        pairs = spark.createDataFrame([(q, d) for q in (0, 1, 2) for d, _ in DOCS], "query_id long, doc_id long")
+        assert {(r["query_id"], r["doc_id"]): r["score"] for r in X.pair_scores(source, terms, pairs).collect()} == want
     post = X.postings(docs)
-    stored = X.weigh(post, X.term_stats(post), X.corpus_stats(docs))
-    assert {(r["query_id"], r["doc_id"]): r["score"] for r in X.score(stored, terms).collect()} == want
-    salted = X.score(stored, terms, X.term_stats(post), few_terms=False)
-    assert {(r["query_id"], r["doc_id"]): r["score"] for r in salted.collect()} == want
+    weights = X.weigh(post, X.term_stats(post), X.posting_stats(post, len(DOCS)))
+    assert {(r["doc_id"], r["term"]): round(r["weight"], 6) for r in weights.collect()}[(1, "apple")] == bm25("apple")[1]
+    salted = X.weigh(post, X.term_stats(post), X.posting_stats(post, len(DOCS)), few_terms=False)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, weights.collect()))
+
+
+WORDS = [f"w{i}" for i in range(30)]
+
+
+def random_docs(n, seed=4, ids=int):
+    draw = np.random.default_rng(seed)
+    return [(ids(i), " ".join(draw.choice(WORDS, draw.integers(0, 12), p=np.arange(1, 31) / 465))) for i in range(n)]
+
+
+def best_texts(docs, queries, k):
+    return {(q, d): s for q, text in queries for d, s in sorted(bm25(text, docs).items(), key=lambda x: (-x[1], x[0]))[:k]}
+
+
+@pytest.mark.parametrize("ids, kind", [(int, "long"), (lambda i: f"t{i:03d}", "string")])
+def test_blocks_with_bounds_equal_the_formula_for_all_documents(spark, monkeypatch, ids, kind):
+    """Small blocks, several blocks of questions, copies and texts without words; every plan without a shuffle of pairs."""
+    docs = random_docs(150, ids=ids) + [(ids(200 + i), "w1 w2 w29") for i in range(60)] + [(ids(300), ""), (ids(301), None)]
+    queries = [(i, " ".join(np.random.default_rng(i).choice(WORDS, 4))) for i in range(9)] + [(9, "w1 w2 w29")]
+    monkeypatch.setattr(X, "BLOCK_DOCS", 7)
+    rows = X.analyze(spark.createDataFrame(docs, f"doc_id {kind}, text string"), stem=False)
+    qs = X.query_terms(spark.createDataFrame(queries, "query_id long, query string"), stem=False)
+    want = best_texts([(d, t or "") for d, t in docs], queries, 5)
+    source = X.analyzed_source(rows)
+    for words in (50_000, 6):
+        monkeypatch.setattr(X, "QUESTION_TERMS", words)
+        found = X.text_topk(source, qs, 5)
+        assert {(r["query_id"], r["doc_id"]): r["score"] for r in found.collect()} == want
+    plan = X.text_topk(source, qs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(query_id") <= 1 and "Exchange hashpartitioning(doc_id" not in plan
+
+
+def test_blocks_are_skipped_only_when_nothing_in_them_can_get_in():
+    """Against scores of every document: the same answers, and hopeless blocks are not scored at all."""
+    import pyarrow as pa
+
+    from tablescout.operators.topk import Best
+
+    strong = [["rare", "common"]] * 20
+    weak = [["common"] + ["filler"] * 40] * 20
+    rows = [X._block(pa.array(range(a, a + 20)), pa.array(t), None).append_column("gone", pa.array([None], pa.list_(pa.int32()))) for a, t in ((0, strong), (20, weak))]
+    asked = X._Questions([1], ["common", "rare"], np.array([0, 1]), np.array([0, 0]), np.ones(2), np.array([0.1, 3.0]), 20.0)
+    best, scored = Best(1, 5), []
+    for row in rows:
+        block = X._Block(row, 0, pa.array(asked.terms))
+        class Watched(Best):
+            pass
+        before = best.score.copy()
+        add, best.add = best.add, lambda *a: scored.append(block) or add(*a)
+        list(X._top_of_block(asked, block, best))
+        best.add = add
+    assert len(scored) == 1 and (best.score == before).all() and best.id[0].tolist() == [0, 1, 2, 3, 4]
 
 
 def unit_rows(rng, n, first=0):
@@ -69,22 +127,53 @@ def test_blocked_topk_equals_brute_force_with_copies_and_many_shards(spark, monk
     v = spark.createDataFrame(vectors, "doc_id long, vector array<double>")
     q = spark.createDataFrame(queries, "query_id long, vector array<double>")
     monkeypatch.setattr(V, "QUERY_BLOCK", 3)
-    assert ranked(V.vector_topk(q, v, 10, shard=50)) == brute(queries, vectors, 10)
-
-
-def test_lsh_finds_most_of_the_exact_neighbours(spark):
+    monkeypatch.setattr(V, "VECTOR_ROWS", 16)
+    found = V.vector_topk(q, v, 10)
+    assert ranked(found) == brute(queries, vectors, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(query_id")  # answers move, the corpus does not
+    named = [(f"t{d}", x) for d, x in vectors]
+    got = V.vector_topk(q, spark.createDataFrame(named, "doc_id string, vector array<double>"), 10)
+    assert ranked(got) == brute(queries, named, 10)
+    assert V.vector_topk(q.where("query_id < 0"), v, 10).count() == V.vector_topk(q, v.where("doc_id < 0"), 10).count() == 0
+
+
+def test_lists_hold_every_vector_and_all_of_them_asked_is_exact(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vectors = unit_rows(rng, 300)
-    queries = [(i, (np.array(v) + rng.normal(scale=0.01, size=8)).tolist()) for i, v in vectors[:20]]
-    queries = [(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in queries]
+    vectors += [(1000 + i, vectors[0][1]) for i in range(150)]
+    queries = unit_rows(rng, 12, 5000)
     v = spark.createDataFrame(vectors, "doc_id long, vector array<double>")
     q = spark.createDataFrame(queries, "query_id long, vector array<double>")
-    near = ranked(V.lsh_topk(q, v, 5, bands=10, rows=4, dim=8))
-    split = ranked(V.lsh_topk(q, v, 5, bands=10, rows=4, dim=8, shard=20))
-    assert near == split
-    exact = brute(queries, vectors, 5)
-    assert all(near[i][0] == i for i, _ in queries)
-    assert sum(len(set(near[i]) & set(exact[i])) for i in exact) / (5 * len(exact)) > 0.8
+    pivots, filed = V.pivot_lists(v)
+    filed = filed.cache()
+    matrix = np.array([r["vector"] for r in pivots.orderBy("list").collect()])
+    at = {r["doc_id"]: r["list"] for r in filed.collect()}
+    assert set(at) == {d for d, _ in vectors}
+    assert all(at[d] == int(np.argmax(np.round(matrix @ np.array(x), 6))) for d, x in vectors)
+    assert ranked(V.lists_topk(q, filed, pivots, 5, share=1.0)) == brute(queries, vectors, 5)
+    monkeypatch.setattr(V, "LISTED", 0)
+    some = ranked(V.lists_topk(q, filed, pivots, 5, share=0.1))
+    monkeypatch.setattr(V, "LISTED", 1000)
+    assert some == ranked(V.lists_topk(q, filed, pivots, 5, share=0.1))
+    assert V.lists_topk(q, *reversed(V.pivot_lists(v.where("doc_id < 0"))), 5).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_registered_lists_reach_recall_with_a_third_of_the_pairs(spark):
+    """idx_06 as registered against qry_04: recall of 0.9 at least, 30 % of all pairs compared at most."""
+    from tablescout.plans import QUERIES, retrieval
+
+    exact, near = (set(map(tuple, QUERIES[n](spark, SF).select("query_id", "doc_id").collect())) for n in ("qry_04", "idx_06"))
+    assert len(exact & near) / len(exact) >= 0.9
+    pivots, filed = V.pivot_lists(retrieval.corpus(spark, SF).select("doc_id", "vector"))
+    sizes = np.array([r["count"] for r in filed.groupBy("list").count().orderBy("list").collect()])
+    lists = [r["list"] for r in filed.groupBy("list").count().orderBy("list").collect()]
+    matrix = np.array([r["vector"] for r in pivots.orderBy("list").collect()])[lists]
+    asked = np.array([r["vector"] for r in retrieval.questions(spark, SF).collect()])
+    order = np.argsort(-np.round(asked @ matrix.T, 6), axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    assert np.where(before < V.ASKED_SHARE * sizes.sum(), sizes[order], 0).sum() <= 0.3 * len(asked) * sizes.sum()
 
 
 def test_fusion_normalises_per_question_and_equal_scores_become_one(spark):
