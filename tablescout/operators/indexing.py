@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tablescout.operators import textindex as X
 from tablescout.operators import vectors as V
 from tablescout.operators.scaling import small_side
 from tablescout.operators.store import Store
-from tablescout.operators.topk import answer_schema, merged
+from tablescout.operators.topk import merged
 
 PARTS = "part string, kind string"
 SEGMENT, TOMBSTONES = "segment", "tombstones"
@@ -45,19 +46,15 @@ def write_vectors(corpus: DataFrame, path: str, embed: Callable | None = None, d
     pivots.join(sizes, "list", "left").write.parquet(f"{path}/pivots")
 
 
-def _parts(spark: SparkSession, path: str, kind: str) -> list[str]:
-    rows = Store(spark, path).read("manifest", PARTS).where(F.col("kind") == kind).collect()  # one row per segment
-    return sorted(r["part"] for r in rows)
+def _manifest(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(folder, kind) of all parts of the newest version: one row per append or deletion."""
+    return sorted((r["part"], r["kind"]) for r in Store(spark, path).read("manifest", PARTS).collect())
 
 
 def _publish(spark: SparkSession, path: str, parts: list[tuple[str, str]]) -> None:
     Store(spark, path).write("manifest", spark.createDataFrame(parts, PARTS).coalesce(1))
 
 
-def _manifest(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    return [(p, k) for k in (SEGMENT, TOMBSTONES) for p in _parts(spark, path, k)]
-
-
 def write_segment(corpus: DataFrame, path: str, embed=None, stem: bool = True, dim: int = 64) -> str:
     """A new segment below `path`, not yet part of the index. Returns its folder."""
     part = f"{path}/segments/{uuid.uuid4().hex}"
@@ -88,7 +85,7 @@ def delete_documents(spark: SparkSession, path: str, ids: DataFrame) -> None:
     part = f"{path}/tombstones/{uuid.uuid4().hex}"
     live.write.parquet(f"{part}/ids")
     gone = spark.read.parquet(f"{part}/ids")
-    blocks = _union(spark, path, SEGMENT, "blocks")
+    blocks = _read(spark, _manifest(spark, path), SEGMENT, "blocks")
     places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id")).join(small_side(gone), "doc_id", "left_semi")
     places.groupBy("block").agg(F.sort_array(F.collect_list(F.col("place").cast("int"))).alias("places")).write.parquet(f"{part}/places")
     hit = blocks.join(spark.read.parquet(f"{part}/places").withColumnRenamed("places", "gone"), "block")
@@ -105,44 +102,48 @@ def merge_index(spark: SparkSession, path: str, embed=None, stem: bool = True, d
     _publish(spark, path, [(write_segment(stored(spark, path, "documents"), path, embed, stem, dim), SEGMENT)])
 
 
-def _union(spark: SparkSession, path: str, kind: str, part: str) -> DataFrame | None:
-    folders = [f"{p}/{part}" for p in _parts(spark, path, kind)]
-    return spark.read.parquet(*folders) if folders else None
+#: Schemas of the parts whose columns do not depend on the corpus.
+FIXED = {"terms": "term string, df long", "totals": "n long, len long", "places": "block string, places array<int>"}
 
 
-def _live(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    gone = _union(spark, path, TOMBSTONES, "ids")
+def _read(spark: SparkSession, parts: list[tuple[str, str]], kind: str, name: str) -> DataFrame | None:
+    folders = [f"{p}/{name}" for p, k in parts if k == kind]
+    reader = spark.read.schema(FIXED[name]) if name in FIXED else spark.read
+    return reader.parquet(*folders) if folders else None
+
+
+def _live(spark: SparkSession, parts: list[tuple[str, str]], df: DataFrame) -> DataFrame:
+    gone = _read(spark, parts, TOMBSTONES, "ids")
     return df if gone is None else df.join(small_side(gone), "doc_id", "left_anti")
 
 
 def stored(spark: SparkSession, path: str, part: str) -> DataFrame:
     """documents or vectors of all segments, without deleted ones."""
-    df = _union(spark, path, SEGMENT, part)
-    return _live(spark, path, df.select("doc_id", "vector") if part == "vectors" else df).select(
-        *(["doc_id", "vector"] if part == "vectors" else df.columns)
-    )
+    parts = _manifest(spark, path)
+    df = _read(spark, parts, SEGMENT, part)
+    columns = ["doc_id", "vector"] if part == "vectors" else df.columns
+    return _live(spark, parts, df.select(columns)).select(columns)
 
 
 def text_source(spark: SparkSession, path: str) -> X.TextSource:
     """The full-text part of a stored index."""
-    dead = _union(spark, path, TOMBSTONES, "places")
-    add = lambda part: [d for d in (_union(spark, path, k, part) for k in (SEGMENT, TOMBSTONES)) if d is not None]
-    terms, totals = (d[0].unionByName(d[1]) if len(d) > 1 else d[0] for d in (add("terms"), add("totals")))
+    parts = _manifest(spark, path)
+    both = lambda name: reduce(DataFrame.unionByName, [d for k in (SEGMENT, TOMBSTONES) if (d := _read(spark, parts, k, name)) is not None])
+    dead = _read(spark, parts, TOMBSTONES, "places")
     if dead is not None:
         dead = dead.groupBy("block").agg(F.flatten(F.collect_list("places")).alias("places"))
-    return X.TextSource(_union(spark, path, SEGMENT, "blocks"), terms, totals, dead)
+    return X.TextSource(_read(spark, parts, SEGMENT, "blocks"), both("terms"), both("totals"), dead)
 
 
 def near_documents(spark: SparkSession, path: str, queries: DataFrame, k: int, share: float | None = None) -> DataFrame:
     """Vector answers of a stored index: exact, or from the lists of every segment when `share` is given."""
     if share is None:
         return V.vector_topk(queries, stored(spark, path, "vectors"), k)
-    found = []
-    for part in _parts(spark, path, SEGMENT):
-        filed = _live(spark, path, spark.read.parquet(f"{part}/vectors"))
+    parts, found = _manifest(spark, path), []
+    for part in (p for p, k in parts if k == SEGMENT):
+        filed = _live(spark, parts, spark.read.parquet(f"{part}/vectors"))
         found.append(V.lists_topk(queries, filed, spark.read.parquet(f"{part}/pivots"), k, share).drop("rank"))
-    types = queries.schema["query_id"].dataType, stored(spark, path, "vectors").schema["doc_id"].dataType
-    return merged(found, spark.createDataFrame([], answer_schema(*types)), k)
+    return merged(found, found[0].schema, spark, k)
 
 
 def unknown_indexes(requests: DataFrame, registry: DataFrame) -> DataFrame:

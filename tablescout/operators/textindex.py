@@ -232,14 +232,13 @@ def _read_questions(source: TextSource, rows: list) -> _Questions | None:
     """Statistics of one block's terms: a lookup of at most QUESTION_TERMS terms."""
     spark = source.blocks.sparkSession
     words = sorted({r["term"] for r in rows})
-    totals = source.totals.agg(F.sum("n"), F.sum("len")).first()
-    n, length = totals[0] or 0, totals[1] or 0
-    known = source.terms
-    if len(words) <= 1_000:
-        known = known.where(F.col("term").isin(words))
-    else:
-        known = known.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "term string")), "term")
-    dfs = {r["term"]: r["df"] for r in known.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").collect()}
+    asked = spark.createDataFrame(pa.table({"term": pa.array(words, pa.string())}))
+    known = source.terms.join(F.broadcast(asked), "term")
+    # terms have a letter at least, so the two totals can come along under names of their own
+    sums = source.totals.select(F.explode(F.create_map(F.lit(" n"), "n", F.lit(" len"), "len")).alias("term", "df"))
+    seen = known.select("term", "df").unionByName(sums).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    dfs = {r["term"]: r["df"] for r in seen.collect()}
+    n, length = dfs.pop(" n", 0), dfs.pop(" len", 0)
     words = [w for w in words if w in dfs]
     if not words or n <= 0 or length <= 0:
         return None
@@ -367,7 +366,7 @@ def text_topk(source: TextSource, q_terms: DataFrame, depth: int) -> DataFrame:
     question when the bounds say that nothing in it can get in, and hands on `depth` rows per question."""
     types = _types(source, q_terms)
     parts = [_asked_map(source, rows, _top_of_block, depth, types) for rows in question_blocks(q_terms, QUESTION_TERMS)]
-    return merged([p for p in parts if p is not None], source.blocks.sparkSession.createDataFrame([], answer_schema(*types)), depth)
+    return merged([p for p in parts if p is not None], answer_schema(*types), source.blocks.sparkSession, depth)
 
 
 def pair_scores(source: TextSource, q_terms: DataFrame, pairs: DataFrame) -> DataFrame:

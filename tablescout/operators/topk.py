@@ -6,10 +6,11 @@ question, and only those leave it."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,9 +98,7 @@ def answer_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("query_id", query_type), T.StructField("doc_id", id_type), T.StructField("score", T.DoubleType())])
 
 
-def merged(parts: list[DataFrame], empty: DataFrame, k: int) -> DataFrame:
+def merged(parts: list[DataFrame], schema: T.StructType, spark: SparkSession, k: int) -> DataFrame:
     """The k best over all tasks and parts, with their rank; at most tasks * k rows per question move."""
-    every = empty
-    for part in parts:
-        every = every.unionByName(part)
+    every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     return top_per_group(every, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)

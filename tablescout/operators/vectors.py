@@ -136,7 +136,7 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int, lists_of: Callable |
                 corpus = corpus.where(F.col("list").isin(any_))
         kernel = _topk_map(spark.sparkContext.broadcast(asked), k, to_arrow_type(types[0]), to_arrow_type(types[1]))
         parts.append(corpus.mapInArrow(kernel, schema))
-    return merged(parts, spark.createDataFrame([], schema), k)
+    return merged(parts, schema, spark, k)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -181,7 +181,7 @@ def lists_topk(queries: DataFrame, filed: DataFrame, pivots: DataFrame, k: int,
     rows = sorted(sized.collect(), key=lambda r: r["list"])
     if not rows:
         types = queries.schema["query_id"].dataType, filed.schema["doc_id"].dataType
-        return merged([], filed.sparkSession.createDataFrame([], answer_schema(*types)), k)
+        return merged([], answer_schema(*types), filed.sparkSession, k)
     matrix, sizes = _matrix(rows), np.array([r["size"] or 0 for r in rows], float)
 
     def asked_lists(questions: np.ndarray) -> np.ndarray:
