@@ -212,20 +212,15 @@ def train(labelled: DataFrame, max_rows: int = 3000, seed: int = 42) -> Model:
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (calibrated probability of the prediction, 0 to 1) to every row.
 
-    A null, empty or letterless text is `und` with score 0. Only the text is read; columns named like a
-    result are replaced, all others pass through, repeated rows are predicted each."""
+    A null, empty or letterless text is `und` with score 0. Only the text goes to Python; columns named like
+    a result are replaced, all others pass through, repeated rows are predicted each."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
-    keep = df.drop("lang_pred", "score")
-    schema = keep.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            said = [fitted.predict(t.as_py()) for t in column]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
-            )
-
-    return keep.mapInArrow(run, schema)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        said = [shared.value.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["lang_pred", "score"])
+
+    # not deterministic by declaration only: the optimizer must not evaluate it once a use
+    told = df.drop("lang_pred", "score").withColumn("_said", predict.asNondeterministic()(F.col(f"`{text}`")))
+    return told.withColumns({"lang_pred": F.col("_said.lang_pred"), "score": F.col("_said.score")}).drop("_said")

@@ -36,6 +36,7 @@ FIRST_TRIES = 3
 COMMON_LIMIT = 100_000
 COUNT_STEP = 2_000_000
 CELL_NODES = 1_024
+DESCRIBE_STEP = 512
 FAN_OUT = 16
 FILTER_BITS = 1 << 23
 
@@ -75,44 +76,53 @@ def _describe(words: int):
     names = ["doc_id", "text_key", "n_shingles", "node", "point", "common", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common: dict[int, int] = {}
+        common = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held, size, docs = [], 0, 0
 
         def count() -> None:
-            nonlocal held, size, docs
+            nonlocal common, held, size, docs
             if held:
                 values, n = np.unique(np.concatenate(held), return_counts=True)
                 often = n >= max(3, docs // 2000)
-                for v, c in zip(values[often].tolist(), n[often].tolist()):
-                    common[v] = common.get(v, 0) + c
+                common = _most(*common, values[often], n[often])
             held, size, docs = [], 0, 0
 
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in _column(batch, "text")]
-            for s in sets:
-                held.append(s)
-                size, docs = size + len(s), docs + 1
-                if size >= COUNT_STEP:
-                    count()
-            yield pa.RecordBatch.from_arrays(
-                [_column(batch, "doc_id"), _column(batch, "text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) for s in sets], pa.int64()),
-                 _binary([group_counts(s) for s in sets]),
-                 pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))],
-                names,
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, DESCRIBE_STEP):
+                batch = whole.slice(at, DESCRIBE_STEP)
+                sets = [shingle_set(t.as_py(), words) for t in _column(batch, "text")]
+                for s in sets:
+                    held.append(s)
+                    size, docs = size + len(s), docs + 1
+                    if size >= COUNT_STEP:
+                        count()
+                yield pa.RecordBatch.from_arrays(
+                    [_column(batch, "doc_id"), _column(batch, "text_key"), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([set_key(s) for s in sets], pa.int64()),
+                     _binary([group_counts(s) for s in sets]),
+                     pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))],
+                    names,
+                )
         count()
-        top = sorted(common, key=lambda v: (-common[v], v))[:COMMON_LIMIT]
         yield pa.RecordBatch.from_arrays(
             [*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()),
-             pa.array([np.array(top, np.uint64).view(np.int64)], pa.list_(pa.int64())),
-             pa.array([[common[v] for v in top]], pa.list_(pa.int64()))],
+             pa.array([common[0].view(np.int64)], pa.list_(pa.int64())), pa.array([common[1]], pa.list_(pa.int64()))],
             names,
         )
 
     return run
 
 
+def _most(values: np.ndarray, times: np.ndarray, more: np.ndarray, more_times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both lists of shingles added up; of more than COMMON_LIMIT those that recur most stay, ties to the smaller."""
+    found, at = np.unique(np.concatenate([values, more]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([times, more_times]), len(found)).astype(np.int64)
+    if len(found) > COMMON_LIMIT:
+        keep = np.sort(np.lexsort((found, -n))[:COMMON_LIMIT])
+        found, n = found[keep], n[keep]
+    return found, n
+
+
 _DESCRIBED = "doc_id long, text_key long, n_shingles long, node long, point binary, common array<long>, times array<long>"
 
 
