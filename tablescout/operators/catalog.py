@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.hashing import fingerprint, row_digest
 from tablescout.functions.text import strip
-from tablescout.operators.scaling import ordinal, salted_join, small_side
+from tablescout.operators.scaling import ranked, salted_join, small_side
 
 REGISTERED, SUMMARIZED, DELETED = "REGISTERED", "SUMMARIZED", "DELETED"
 COLUMN_NARRATION, ROW_SAMPLE = "COLUMN_NARRATION", "ROW_SAMPLE"
@@ -99,7 +99,7 @@ def check_references(metadata: DataFrame, status: DataFrame) -> DataFrame:
 def assign_ids(rows: DataFrame, last_id: int | Column, order: str, name: str = "id") -> DataFrame:
     """Sequence numbers after `last_id` in the order of an integer key; no single-task sort."""
     start = last_id if isinstance(last_id, Column) else F.lit(last_id)
-    return ordinal(rows, "_pos", [], order).withColumn(name, (start + 1 + F.col("_pos")).cast("long")).drop("_pos")
+    return ranked(rows, [], [F.col(order)], "_pos").withColumn(name, (start + 1 + F.col("_pos")).cast("long")).drop("_pos")
 
 
 def free_names(requests: DataFrame, registry: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tablescout.functions.hashing import hash_rank
 from tablescout.functions.text import token_count
 from tablescout.operators.packing import pack_blocks
-from tablescout.operators.scaling import ordinal, top_per_group
+from tablescout.operators.scaling import ordinal, ranked, top_per_group
 
 LOCAL_LIMIT = 512
 HOSTED_LIMIT = 8191
@@ -28,10 +28,6 @@ def schema_of(df: DataFrame, table_id: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "table_id string, col_idx int, col_name string")
 
 
-def schema_of_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("table_id", "col_idx").agg(F.min("col_name").alias("col_name"))
-
-
 def schema_concat(columns: DataFrame, separator: str = " | ", prefix: str = "") -> DataFrame:
     names = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "col_name"))), lambda x: x["col_name"])
     return columns.groupBy("table_id").agg(
@@ -75,7 +71,10 @@ def generate(
             while len(answers) < len(prompts):
                 part = prompts[len(answers) : len(answers) + size]
                 try:
-                    answers.extend(ask(part))
+                    said = ask(part)
+                    if len(said) != len(part):
+                        raise ValueError(f"{len(part)} prompts got {len(said)} answers")
+                    answers.extend(said)
                     failed = 0
                 except Exception:
                     failed += 1
@@ -148,12 +147,12 @@ def resplit_schema(summaries: DataFrame, limit: int = LOCAL_LIMIT, table: str =
 
 def balanced_batches(prompts: DataFrame, key: str, length: str, size: int) -> DataFrame:
     """Adds (batch, place): the longest prompt of each batch with the size-1 shortest left."""
-    ranked = ordinal(prompts, "_r", [], key, [(length, False)])
-    n = prompts.agg(F.count(F.lit(1))).scalar()
+    placed = ranked(prompts, [], [F.col(length).desc(), F.col(key)], "_r", size="_n")
+    n = F.col("_n")
     heads = F.ceil(n / F.lit(size))
     r, rest = F.col("_r"), max(1, size - 1)
     from_end = n - 1 - r
-    return ranked.select(
+    return placed.select(
         *prompts.columns,
         F.when(r < heads, r).otherwise(F.floor(from_end / F.lit(rest))).cast("long").alias("batch"),
         F.when(r < heads, F.lit(0)).otherwise(from_end % rest + 1).cast("long").alias("place"),

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.functions.text import canonical_float, norm_text
-from tablescout.operators.scaling import fits, ordinal, salted_join, small_side
+from tablescout.operators.scaling import ranked, salted_join, small_side
 from tablescout.session import materialize
 
 
@@ -47,61 +53,174 @@ def schema_shared_tables(refs: DataFrame, index: DataFrame) -> DataFrame:
     return salted_join(sets, answers, distinct_sets, ["_set"], ["question_id"]).select("question_id", "table_id")
 
 
+def compared(value: Column) -> Column:
+    """What is compared of a normalised value: its canonical float if it is one, else the text itself."""
+    return F.coalesce(canonical_float(value), value)
+
+
+def condition_sets(conditions: DataFrame) -> DataFrame:
+    """(question_id, set): the distinct equality conditions of a question as one sorted text; questions with the same
+    conditions share it. conditions(question_id, name, value)."""
+    probe = F.concat(norm_text(F.col("name")), F.lit("\u0001"), compared(norm_text(F.col("value"))))
+    return conditions.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set(probe)), "\u0002").alias("set"))
+
+
+def rows_meeting(sets: DataFrame, candidates: DataFrame, cells: DataFrame) -> DataFrame:
+    """(set, table_id, row_idx): rows of candidate tables that meet all conditions of a set, once per distinct set.
+
+    candidates(set, table_id). Cells of other tables or columns are left out before conditions are looked at. The rarest
+    condition of a set gives the first rows, and every further one only keeps some of them."""
+    asked = sets.select("set").distinct().withColumn("probe", F.explode(F.split("set", "\u0002")))
+    probes = asked.select("probe", F.split("probe", "\u0001")[0].alias("name")).distinct()
+    homes = candidates.join(asked.select("set", F.split("probe", "\u0001")[0].alias("name")), "set").select("table_id", "name").distinct()
+    named = cells.select("table_id", "row_idx", norm_text(F.col("col_name")).alias("name"), norm_text(F.col("value")).alias("t"))
+    named = named.join(small_side(homes), ["table_id", "name"], "left_semi")
+    opened = named.select("table_id", "row_idx", F.concat("name", F.lit("\u0001"), compared(F.col("t"))).alias("probe"))
+    hits = materialize(opened.join(small_side(probes.select("probe")), "probe", "left_semi").distinct(), "matching-cells")
+    counts = materialize(hits.groupBy("probe").agg(F.count(F.lit(1)).alias("n")), "matching-counts")
+    # A set with a condition that no cell meets has no rows; the others start from their rarest condition.
+    order = asked.join(counts, "probe").groupBy("set").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "probe"))), lambda c: c["probe"]).alias("rest")
+    ).where(F.size("rest") == F.size(F.split("set", "\u0002")))
+    order = materialize(order, "condition-order")
+    most = order.agg(F.max(F.size("rest"))).first()[0] or 0
+    first = order.select("set", F.col("rest")[0].alias("probe"), F.expr("slice(rest, 2, size(rest))").alias("rest"))
+    rows = salted_join(hits, first, counts, ["probe"], ["table_id", "row_idx"]).select("set", "table_id", "row_idx", "rest")
+    rows = rows.join(candidates.select("set", "table_id").distinct(), ["set", "table_id"], "left_semi")
+    done = []
+    for _ in range(1, most):
+        rows = materialize(rows, "condition-rows")
+        done.append(rows.where(F.size("rest") == 0))
+        going = rows.where(F.size("rest") > 0).select("set", "table_id", "row_idx", F.col("rest")[0].alias("probe"), F.expr("slice(rest, 2, size(rest))").alias("rest"))
+        rows = going.join(hits, ["table_id", "row_idx", "probe"], "left_semi").select("set", "table_id", "row_idx", "rest")
+    return reduce(DataFrame.unionByName, [*done, rows]).select("set", "table_id", "row_idx")
+
+
 def verify_cells(questions: DataFrame, conditions: DataFrame, shared: DataFrame, cells: DataFrame) -> DataFrame:
     """(question_id, table_id, row_idx): rows meeting every equality condition of a question.
 
-    questions(question_id, table_id) names the source table; conditions(question_id, cond, name,
-    value, row_idx) its equality conditions; shared the candidate tables. A cell matches by normalised
-    text or by canonical float. The source rows belong to the answer as they are."""
-    forms = lambda t: F.array_distinct(F.array_compact(F.array(t, canonical_float(t))))
-    cond = conditions.select(
-        "question_id", "cond", norm_text(F.col("name")).alias("name"), F.explode(forms(norm_text(F.col("value")))).alias("v")
-    )
-    probes = cond.select("name", "v").distinct()
-    named = cells.select("table_id", "row_idx", norm_text(F.col("col_name")).alias("name"), norm_text(F.col("value")).alias("t"))
-    few = fits(probes)
-    names = probes.select("name").distinct()
-    named = named.join(F.broadcast(names) if few else names, "name", "left_semi")
-    opened = named.select("table_id", "row_idx", "name", F.explode(forms(F.col("t"))).alias("v"))
-    probe_side = F.broadcast(probes) if few else probes
-    # Cells equal to some asked value: read for the counts and for the join.
-    matching = materialize(opened.join(probe_side, ["name", "v"], "left_semi").distinct(), "matching-cells")
-    counts = matching.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
-    met = salted_join(matching, cond, counts, ["name", "v"], ["table_id", "row_idx"])
+    questions(question_id, table_id) names the source table; conditions(question_id, name, value, row_idx) its equality
+    conditions with the source row of each; shared the candidate tables. Rows are found once per distinct set of
+    conditions. The source rows belong to the answer as they are."""
+    sets = materialize(condition_sets(conditions), "condition-sets")
     others = shared.join(
         questions.select("question_id", F.col("table_id").alias("_src")), "question_id"
-    ).where("table_id <> _src").select("question_id", "table_id")
-    need = cond.groupBy("question_id").agg(F.countDistinct("cond").alias("_need"))
-    found = (
-        met.join(others, ["question_id", "table_id"], "left_semi")
-        .groupBy("question_id", "table_id", "row_idx").agg(F.countDistinct("cond").alias("_have"))
-        .join(need, "question_id").where("_have = _need").select("question_id", "table_id", "row_idx")
-    )
+    ).where("table_id <> _src").join(sets, "question_id").select("question_id", "set", "table_id")
+    others = materialize(others, "condition-tables")
+    found = materialize(rows_meeting(sets, others.select("set", "table_id").distinct(), cells), "set-rows")
+    asking = others.groupBy("set", "table_id").agg(F.count(F.lit(1)).alias("n"))
+    met = salted_join(others, found, asking, ["set", "table_id"], ["question_id"]).select("question_id", "table_id", "row_idx")
     own = conditions.join(questions, "question_id").select("question_id", "table_id", "row_idx").distinct()
-    return found.unionByName(own)
+    return met.unionByName(own)
 
 
-def answer_summary(answers: DataFrame, shared: DataFrame) -> DataFrame:
-    """(question_id, n_tables, filter_by_cell): answer tables and how many the cell check removed."""
-    kept = answers.groupBy("question_id").agg(F.countDistinct("table_id").alias("n_tables"))
+def answer_rows(answers: DataFrame, shared: DataFrame) -> DataFrame:
+    """(question_id, table_id, rows, filter_by_cell): the answer rows of each answer table in ascending order, and how many
+    shared tables of the question the cell check removed."""
+    rows = answers.groupBy("question_id", "table_id").agg(F.sort_array(F.collect_set("row_idx")).alias("rows"))
+    kept = rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("_kept"))
     before = shared.groupBy("question_id").agg(F.count(F.lit(1)).alias("_before"))
-    return kept.join(before, "question_id").select(
-        "question_id", "n_tables", (F.col("_before") - F.col("n_tables")).alias("filter_by_cell")
-    )
+    removed = kept.join(before, "question_id").select("question_id", (F.col("_before") - F.col("_kept")).alias("filter_by_cell"))
+    return rows.join(removed, "question_id", "left")
 
 
-def title_batches(pairs: DataFrame, order: str, size: int = 20) -> DataFrame:
+def title_batches(pairs: DataFrame, order: list[str], size: int = 20) -> DataFrame:
     """Adds `batch`: candidate tables of a question in groups of `size` prompts."""
-    return ordinal(pairs, "_pos", ["question_id"], order).withColumn(
-        "batch", F.floor(F.col("_pos") / F.lit(size)).cast("long")
-    ).drop("_pos")
+    placed = ranked(pairs, ["question_id"], [F.col(c) for c in order], "_pos")
+    return placed.withColumn("batch", F.floor(F.col("_pos") / F.lit(size)).cast("long")).drop("_pos")
+
+
+# Fixed text of the entity question, of its answers and of their separators.
+ENTITY_QUESTION = "Is ` {entity} ` mentioned in the sentence ` {title} ` ? Extract the mentioned entity from the sentence or report NO."
+ANSWER_TAG = "Answer:"
+_LINE = re.compile(r"\s*(\d+)\..*?" + ANSWER_TAG + r"([^;]*)")
+_ASKED = re.compile(r"(\d+)\. " + re.escape(ENTITY_QUESTION).replace(r"\{entity\}", "(.*?)").replace(r"\{title\}", "(.*?)") + "$", re.S)
 
 
 def title_prompt(entity: Column, title: Column) -> Column:
-    # Fixed text of the entity question.
-    return F.concat(
-        F.lit("Is ` "), entity, F.lit(" ` mentioned in the sentence ` "), title,
-        F.lit(" ` ? Extract the mentioned entity from the sentence or report NO."),
+    head, middle, tail = re.split(r"\{entity\}|\{title\}", ENTITY_QUESTION)
+    return F.concat(F.lit(head), entity, F.lit(middle), title, F.lit(tail))
+
+
+def mention_judge(prompts: list[str]) -> list[str]:
+    """Offline default of the title judge: an entity is mentioned when its words stand in the title one after the other."""
+    words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    out = []
+    for prompt in prompts:
+        lines = []
+        for part in re.split(r"\n(?=\d+\. )", prompt):
+            m = _ASKED.fullmatch(part)
+            if m:
+                yes = f" {words(m.group(2))} " in f" {words(m.group(3))} " and words(m.group(2)) != ""
+                lines.append(f"{m.group(1)}. {ANSWER_TAG} {'yes' if yes else 'no'}; {m.group(2) if yes else 'NO'}")
+        out.append("\n".join(lines))
+    return out
+
+
+def read_answers(answer: str) -> dict[int, bool]:
+    """Line number -> yes or no of a judge's answer; lines without both are passed over."""
+    found = {}
+    for line in answer.split("\n"):
+        m = _LINE.match(line)
+        word = m.group(2).strip().lower() if m else ""
+        if word in ("yes", "no"):
+            found[int(m.group(1))] = word == "yes"
+    return found
+
+
+def judge_titles(pairs: DataFrame, judge=None, size: int = 20, attempts: int = 3, head: str = "") -> DataFrame:
+    """(question_id, table_id, batch, yes): the judge's answer for every pair(question_id, table_id, entity, title).
+
+    Pairs of a question are asked `size` to a call, as numbered lines; answers come back by their numbers. Lines
+    without an answer are asked again in a call of their own, up to `attempts` times, and are then null. `judge` is a
+    factory of list[str] -> list[str], called once a task."""
+    load = judge or (lambda: mention_judge)
+    batched = title_batches(pairs, ["table_id"], size)
+    kind = {c: pairs.schema[c].dataType for c in ("question_id", "table_id")}
+    line = F.struct(F.col("table_id").alias("table_id"), title_prompt(F.col("entity"), F.col("title")).alias("line"))
+    calls = batched.groupBy("question_id", "batch").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # `size` lines at most
+    schema = T.StructType([
+        T.StructField("question_id", kind["question_id"]), T.StructField("table_id", kind["table_id"]),
+        T.StructField("batch", T.LongType()), T.StructField("yes", T.BooleanType()),
+    ])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = load()
+        for frame in frames:
+            waiting = [[(i, x["table_id"], x["line"]) for x in lines] for i, lines in enumerate(frame["lines"])]
+            said: dict[tuple, bool] = {}
+            for _ in range(attempts):
+                open_ = [(c, [x for x in call if x[:2] not in said]) for c, call in enumerate(waiting)]
+                open_ = [(c, call) for c, call in open_ if call]
+                if not open_:
+                    break
+                prompts = ["\n".join([*([head] if head else []), *(f"{n}. {x[2]}" for n, x in enumerate(call, 1))]) for _, call in open_]
+                answers = ask(prompts)
+                if len(answers) != len(prompts):
+                    raise ValueError(f"{len(prompts)} calls gave {len(answers)} answers")
+                for (_, call), answer in zip(open_, answers):
+                    for n, yes in read_answers(answer).items():
+                        if 1 <= n <= len(call):
+                            said[call[n - 1][:2]] = yes
+            rows = [(frame["question_id"].iloc[i], t, frame["batch"].iloc[i], said.get((i, t))) for call in waiting for i, t, _ in call]
+            yield pd.DataFrame(rows, columns=["question_id", "table_id", "batch", "yes"])
+
+    return calls.mapInPandas(run, schema)
+
+
+def verify_titles(questions: DataFrame, shared: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(question_id, table_id, filter_by_title): the source table as it is, and other shared tables for which more than half
+    of the answers are yes; how many tables the check removed. questions(question_id, table_id) names the source."""
+    asked = shared.select("question_id", "table_id").join(questions.select("question_id", F.col("table_id").alias("_src")), "question_id")
+    kept = majority(verdicts.where("yes is not null"), F.col("yes")).select("question_id", "table_id")
+    others = asked.where("table_id <> _src").select("question_id", "table_id")
+    good = others.join(kept, ["question_id", "table_id"], "left_semi")
+    count = lambda df, name: df.groupBy("question_id").agg(F.count(F.lit(1)).alias(name))
+    removed = count(others, "_all").join(count(good, "_good"), "question_id", "left").select(
+        "question_id", (F.col("_all") - F.coalesce("_good", F.lit(0))).alias("filter_by_title")
+    )
+    return questions.select("question_id", "table_id").unionByName(good).join(removed, "question_id", "left").withColumn(
+        "filter_by_title", F.coalesce("filter_by_title", F.lit(0)).cast("long")
     )
 
 

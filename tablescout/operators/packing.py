@@ -3,8 +3,8 @@
 The greedy rule is sequential: a piece joins the open block while the token sum stays
 below the limit. A table with very many pieces is cut into chunks. Each chunk is
 summarised as a function from "tokens in the open block" to "tokens in the open block",
-the functions of one table are chained (one short row per chunk), and then every chunk
-assigns its pieces knowing what it was handed. The result is exactly the sequential one."""
+the functions of one table are composed pairwise in rounds, and then every chunk assigns
+its pieces knowing what it was handed. The result is exactly the sequential one."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.operators.scaling import ranked
+from tablescout.session import materialize
+
 CHUNK = 65_536
 
 
@@ -67,6 +70,42 @@ def assign_chunk(n: np.ndarray, state: int, limit: int, gap: int) -> np.ndarray:
     return block
 
 
+def chunk_entries(functions: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _chunk, _state, _offset): the state in which every chunk begins and the blocks begun before it.
+
+    functions(group, _chunk, _f). An associative scan: neighbours are composed pairwise, round by round, up to one
+    function per group, and the way down hands every pair its entry, the right one by way of the left one. No row or
+    group ever holds more than two functions; a group of c chunks takes log2(c) rounds each way."""
+    longs = T.ArrayType(T.LongType())
+
+    @F.pandas_udf(T.StructType([T.StructField("end", longs), T.StructField("begun", longs)]))
+    def composed(left: pd.Series, left_begun: pd.Series, right: pd.Series, right_begun: pd.Series) -> pd.DataFrame:
+        out = [(np.asarray(f)[e], b + np.asarray(g)[e]) for e, b, f, g in zip(left, left_begun, right, right_begun)]
+        return pd.DataFrame({"end": [o[0] for o in out], "begun": [o[1] for o in out]})
+
+    level = materialize(ranked(materialize(functions, "pack-functions"), group, [F.col("_chunk")], "_i", size="_m"), "pack-level")
+    names, most = level.select(*group, "_chunk", "_i"), level.agg(F.max("_m")).first()[0] or 1
+    level, pairs = level.select(*group, "_i", "_f"), []
+    for _ in range(int(most - 1).bit_length()):
+        two = level.groupBy(*group, F.shiftright("_i", 1).alias("_i")).agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("i"), "_f"))).alias("_two"))
+        left, right = F.col("_two")[0]["_f"], F.get("_two", F.lit(1))["_f"]
+        pairs.append(materialize(two.select(*group, "_i", left.alias("_left"), right.alias("_right")), "pack-pairs"))
+        both = pairs[-1].where("_right is not null")
+        joined = both.select(*group, "_i", composed("_left.end", "_left.begun", "_right.end", "_right.begun").alias("_f"))
+        level = joined.unionByName(pairs[-1].where("_right is null").select(*group, "_i", F.col("_left").alias("_f")))
+    zero = F.lit(0).cast("long")
+    entries = names.where("_i = 0").select(*group, "_i", zero.alias("_state"), zero.alias("_offset"))
+    for pair in reversed(pairs):
+        state = F.col("_state").cast("int")
+        same = F.struct((F.col("_i") * 2).alias("_i"), "_state", "_offset")
+        then = F.struct((F.col("_i") * 2 + 1).alias("_i"), F.get("_left.end", state).alias("_state"), (F.col("_offset") + F.get("_left.begun", state)).alias("_offset"))
+        below = pair.join(entries, [*group, "_i"]).select(
+            *group, F.explode(F.array_compact(F.array(same, F.when(F.col("_right").isNotNull(), then)))).alias("_e")
+        )
+        entries = materialize(below.select(*group, "_e.*"), "pack-entries")
+    return names.join(entries, [*group, "_i"]).drop("_i")
+
+
 def assign_blocks(
     pieces: DataFrame, group: list[str], order: str, tokens: str, limit: int, gap: int = 1, chunk: int = CHUNK
 ) -> DataFrame:
@@ -74,7 +113,6 @@ def assign_blocks(
 
     `order` is a unique integer inside the group. Only integers are moved here; one row
     holds the token counts of at most `chunk` consecutive pieces."""
-    fields = [pieces.schema[g] for g in group]
     cut = F.floor(F.col(order) / F.lit(chunk)).cast("long").alias("_chunk")
     chunks = (
         pieces.select(*group, cut, F.struct(F.col(order).cast("long").alias("o"), F.col(tokens).cast("long").alias("n")).alias("_p"))
@@ -97,23 +135,16 @@ def assign_blocks(
     def place(n: pd.Series, state: pd.Series) -> pd.Series:
         return pd.Series([assign_chunk(np.asarray(x), int(s), limit, gap) for x, s in zip(n, state)])
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        state, offset, states, offsets = 0, 0, [], []
-        for f in pdf["_f"]:
-            states.append(state)
-            offsets.append(offset)
-            state, offset = int(f["end"][state]), offset + int(f["begun"][state])
-        return pdf[[*group, "_chunk"]].assign(_state=states, _offset=offsets)
-
-    number = [T.StructField(c, T.LongType()) for c in ("_chunk", "_state", "_offset")]
-    entries = (
-        chunks.join(long_groups, group, "left_semi")
-        .select(*group, "_chunk", describe("_n").alias("_f"))
-        .groupBy(*group)
-        .applyInPandas(chain, T.StructType([*fields, *number]))
+    first, last = pieces.agg(F.min(cut), F.max(cut)).first()
+    if first == last:  # no group has a second chunk
+        entries = None
+    else:
+        functions = chunks.join(long_groups, group, "left_semi").select(*group, "_chunk", describe("_n").alias("_f"))
+        entries = chunk_entries(functions, group)
+    entered = chunks.withColumns({"_state": F.lit(0).cast("long"), "_offset": F.lit(0).cast("long")}) if entries is None else (
+        chunks.join(entries, [*group, "_chunk"], "left")
     )
-    placed = chunks.join(entries, [*group, "_chunk"], "left").select(
+    placed = entered.select(
         *group, "_o", F.coalesce("_offset", F.lit(0)).alias("_offset"), place("_n", F.coalesce("_state", F.lit(0))).alias("_b")
     )
     return placed.select(*group, "_offset", F.explode(F.arrays_zip("_o", "_b")).alias("_z")).select(

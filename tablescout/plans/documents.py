@@ -10,7 +10,7 @@ from tablescout.functions import text as tx
 from tablescout.operators import catalog as C
 from tablescout.operators import documents as D
 from tablescout.operators.packing import pack_blocks
-from tablescout.plans.lake import COLUMNS_SQL, LAKE, lake_cells, lake_columns, plain
+from tablescout.plans.lake import COLUMNS_SQL, LAKE, lake_columns, plain
 from tablescout.plans.registry import query, table
 
 _CONCAT_SQL = "sc as (select table_id, string_agg(col_name, ' | ' order by col_idx) as schema_text from cols group by table_id)"
@@ -38,7 +38,7 @@ bl as (select pc.g as {group}, w.b::bigint as block, string_agg(pc.text, '{separ
 
 @query("doc_01", f"with {COLUMNS_SQL} select table_id, col_idx, col_name from cols")
 def schema_explode(spark, sf):
-    return D.schema_of_cells(lake_cells(spark, sf))
+    return lake_columns(spark, sf)
 
 
 @query("doc_02", f"with {COLUMNS_SQL}, {_CONCAT_SQL} select table_id, schema_text from sc")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablescout.functions import text as tx
+from tablescout.functions.text import norm_text
 from tablescout.operators import groundtruth as GT
 from tablescout.operators import profile as PR
 from tablescout.plans.lake import CELLS_SQL, COLUMNS_SQL, lake_cells, lake_columns
 from tablescout.plans.registry import query, table
+from tablescout.session import materialize
 
 WS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda t: t <> '')"
 
@@ -273,34 +275,70 @@ def shared_by_schema(spark, sf):
     return shared_tables(spark, sf)
 
 
-@query("gen_18", f"""with {CELLS_SQL}, {_Q_SQL},
-cn as (select question_id, 1 as c, 'nationkey' as name, nat as v from qs union all select question_id, 2, 'acctbal', bal from qs where even),
-mt as (select distinct cn.question_id, c, cells.table_id, cells.row_idx from cn join cells on cells.col_name = cn.name and cells.value = cn.v),
+# Balances in half thousands with two decimals in the cells ("1.50") and as plain floats in the conditions ("1.5").
+_HALVES = "round(({} + 1000) / 1000) / 2"
+
+
+def coarse_cells(spark, sf):
+    halves = F.round((F.col("value").cast("double") + 1000) / 1000) / 2
+    return lake_cells(spark, sf).withColumn(
+        "value", F.when(F.col("col_name") == "acctbal", F.format_string("%.2f", halves)).otherwise(F.col("value"))
+    )
+
+
+@query("gen_18", rf"""with {CELLS_SQL}, {_Q_SQL},
+cc as (select table_id, row_idx, col_name, case when col_name = 'acctbal' then printf('%.2f', {_HALVES.format('value::double')}) else value end as value from cells),
+fc as (select distinct table_id, row_idx, col_name, unnest([value, case when regexp_matches(value, '^-?[0-9]+\.[0-9]+$') then value::double::varchar else value end]) as v
+  from cc),
+cn as (select question_id, 1 as c, 'nationkey' as name, nat as v from qs
+  union all select question_id, 2, 'acctbal', ({_HALVES.format('bal::double')})::varchar from qs where even),
+mt as (select distinct cn.question_id, c, fc.table_id, fc.row_idx from cn join fc on fc.col_name = cn.name and fc.v = cn.v),
 cd as (select question_id, count(*) as need from cn group by 1),
 ok as (select question_id, table_id, row_idx from mt join cd using (question_id) where table_id <> 'supplier' and (question_id, table_id) in (select question_id, table_id from sh)
-  group by question_id, table_id, row_idx, need having count(*) = need)
-select question_id, table_id, row_idx from ok union all select question_id, 'supplier', row_idx from qs""")
+  group by question_id, table_id, row_idx, need having count(*) = need),
+an as (select question_id, table_id, row_idx from ok union all select question_id, 'supplier', row_idx from qs),
+ar as (select question_id, table_id, string_agg(row_idx::varchar, ',' order by row_idx) as rows from an group by all)
+select question_id, table_id, rows, (select count(*) from sh where sh.question_id = ar.question_id) - count(*) over (partition by question_id) as filter_by_cell
+from ar""")
 def verified_cells(spark, sf):
     questions = supplier_questions(spark, sf)
-    conditions = questions.select("question_id", F.posexplode("sql_struct.where").alias("cond", "c")).where("c.op = '='").select(
-        "question_id", "cond", F.col("c.col_name").alias("name"), F.col("c.val").alias("value"), F.col("c.row").alias("row_idx")
+    conditions = questions.select("question_id", F.explode("sql_struct.where").alias("c")).where("c.op = '='").select(
+        "question_id", F.col("c.col_name").alias("name"), F.col("c.val").alias("value"), F.col("c.row").alias("row_idx")
     )
-    return GT.verify_cells(questions.select("question_id", "table_id"), conditions, shared_tables(spark, sf), lake_cells(spark, sf))
-
-
-@query("gen_19", """
-with pr as (select distinct lang as question_id, source as table_id, substr(source, 4)::bigint as o from documents),
-bt as (select *, (row_number() over (partition by question_id order by o) - 1) // 20 as batch from pr),
-mj as (select lang as question_id, source as table_id, avg(quality) as share from documents join labels using (doc_id) group by all having share > 0.5)
-select question_id, table_id, batch, round(share, 6) as share from mj join bt using (question_id, table_id)""")
-def title_majority(spark, sf):
-    """Languages ask whether sources belong to them; every quality label is one answer."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("question_id"), F.col("source").alias("table_id"))
-    pairs = docs.select("question_id", "table_id").distinct().withColumn("_o", F.substring("table_id", 4, 9).cast("long"))
-    kept = GT.majority(docs.join(table(spark, sf, "labels"), "doc_id"), F.col("quality") == 1)
-    return kept.join(GT.title_batches(pairs, "_o"), ["question_id", "table_id"]).select(
-        "question_id", "table_id", "batch", F.round("share", 6).alias("share")
+    halves = (F.round((F.col("value").cast("double") + 1000) / 1000) / 2).cast("string")
+    conditions = conditions.withColumn("value", F.when(norm_text(F.col("name")) == "acctbal", halves).otherwise(F.col("value")))
+    shared = materialize(shared_tables(spark, sf), "shared")
+    found = GT.verify_cells(questions.select("question_id", "table_id"), conditions, shared, coarse_cells(spark, sf))
+    return GT.answer_rows(found, shared).withColumn("rows", F.array_join(F.col("rows").cast("array<string>"), ","))
+
+
+_TITLES_SQL = """
+tq as (select item_id as question_id, (item_id * 7) % (select count(*) from documents) as table_id, split_part(text, ' ', 1) as entity from benchmark),
+ti as (select doc_id as table_id, left(text, 200) as title from documents),
+pr as (select tq.question_id, ti.table_id, entity, title, tq.table_id as src from tq join ti on ti.table_id % 40 = tq.question_id % 40)"""
+_PLAIN = r"' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> ''), ' ') || ' '"
+
+
+@query("gen_19", f"""with {_TITLES_SQL},
+jd as (select question_id, table_id, src, contains({_PLAIN.format('title')}, {_PLAIN.format('entity')}) and {_PLAIN.format('entity')} <> '  ' as yes
+  from pr where table_id <> src),
+rm as (select question_id, count(*) filter (not yes) as n from jd group by 1),
+kp as (select question_id, table_id from jd where yes union all select question_id, table_id from tq)
+select question_id, table_id, coalesce(n, 0)::bigint as filter_by_title from kp left join rm using (question_id)""")
+def title_verification(spark, sf):
+    """Questions ask for documents whose beginning mentions their first word; candidates are every 40th document."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    questions = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("question_id"), ((F.col("item_id") * 7) % docs.count()).alias("table_id"),
+        F.split_part("text", F.lit(" "), F.lit(1)).alias("entity"),
     )
+    titles = docs.select(F.col("doc_id").alias("table_id"), F.substring("text", 1, 200).alias("title"))
+    shared = titles.join(
+        F.broadcast(questions.select("question_id", "entity", (F.col("question_id") % 40).alias("_m"))), F.col("table_id") % 40 == F.col("_m")
+    ).drop("_m")
+    shared = materialize(shared, "titles")
+    asked = shared.join(questions.select("question_id", F.col("table_id").alias("_src")), "question_id").where("table_id <> _src").drop("_src")
+    return GT.verify_titles(questions, shared, GT.judge_titles(asked))
 
 
 @query("gen_32", f"""with {COLUMNS_SQL},

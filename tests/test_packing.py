@@ -41,6 +41,17 @@ def test_one_group_over_many_chunks(spark):
         assert got == sequential([n for k, _, n in data if k == g], 20)
 
 
+def test_a_thousand_chunks_equal_the_sequential_rule(spark):
+    """Sparse order numbers, a second group with gaps, and one group of a single chunk."""
+    rng = random.Random(8)
+    orders = {"hot": sorted(rng.sample(range(12_000), 6_000)), "gaps": [i for i in range(900) if (i // 50) % 3], "one": [5]}
+    data = [(g, o, rng.randint(0, 9)) for g, some in orders.items() for o in some]
+    rows = assign_blocks(spark.createDataFrame(data, "g string, o long, n int"), ["g"], "o", "n", 17, 1, chunk=6).collect()
+    for g in orders:
+        got = [r["block"] for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["o"])]
+        assert got == sequential([n for k, _, n in data if k == g], 17)
+
+
 def test_limit_is_strict_and_oversized_pieces_stay_alone(spark):
     def pack(*texts, limit):
         df = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "g string, o long, s string")

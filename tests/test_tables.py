@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,69 @@ def test_cells_must_meet_all_conditions_in_one_row(spark):
     found = GT.verify_cells(questions, cond, shared, df)
     assert sorted(map(tuple, found.collect())) == [("q", "hit", 1), ("q", "src", 0)]
     assert {r["table_id"] for r in GT.final_tables(shared, found, cond).collect()} == {"hit", "src"}
+    rows = GT.answer_rows(found, shared).collect()
+    assert {(r["table_id"], tuple(r["rows"]), r["filter_by_cell"]) for r in rows} == {("hit", (1,), 1), ("src", (0,), 1)}
+
+
+def plain_rows(sets, tables, cells):
+    """Rows that meet every (name, value): by text or as equal floats."""
+    out = set()
+    for q, conds in sets.items():
+        for t in tables[q]:
+            for r in {r for a, r, *_ in cells if a == t}:
+                own = [(n.lower().strip(), v.lower().strip()) for a, b, n, v in cells if (a, b) == (t, r)]
+                plain = lambda v: str(float(v)) if re.fullmatch(r"-?[0-9]+\.[0-9]+", v) else v
+                if all(any(n == cn and plain(cv) == plain(v) for n, v in own) for cn, cv in conds):
+                    out.add((q, t, r))
+    return out
+
+
+def test_conditions_are_intersected_per_distinct_set(spark):
+    """Many questions share a set; floats match in any notation, whole numbers only as text; a condition without a cell; one hot value."""
+    rng = random.Random(9)
+    values = ["1.50", "1.5", " A ", "a", "2.0", "2", "hot", "hot", "hot"]
+    cells = [(f"t{t}", r, n, rng.choice(values)) for t in range(4) for r in range(12) for n in ("K", "v ", "w")]
+    pool = [(("k", "1.5"),), (("k", "hot"), ("v", "a")), (("k", "2.0"), ("v", "hot"), ("w", "hot")), (("v", "2"),), (("k", "1.50"),), (("w", "nowhere"), ("k", "hot"))]
+    sets = {f"q{i}": pool[i % len(pool)] for i in range(20)}
+    tables = {q: [f"t{t}" for t in range(4) if rng.random() < 0.8 and t != i % 4] for i, q in enumerate(sets)}
+    questions = spark.createDataFrame([(q, f"t{i % 4}") for i, q in enumerate(sets)], "question_id string, table_id string")
+    cond = spark.createDataFrame([(q, f" {n.upper()}", v, -1) for q, c in sets.items() for n, v in c], "question_id string, name string, value string, row_idx long")
+    shared = spark.createDataFrame([(q, t) for q, some in tables.items() for t in some] + [(q, f"t{i % 4}") for i, q in enumerate(sets)], "question_id string, table_id string")
+    got = GT.verify_cells(questions, cond, shared, spark.createDataFrame(cells, "table_id string, row_idx long, col_name string, value string"))
+    own = {(q, f"t{i % 4}", -1) for i, q in enumerate(sets)}
+    assert sorted(map(tuple, got.collect())) == sorted(plain_rows(sets, tables, cells) | own)
+
+
+def test_titles_are_judged_in_batches_and_asked_again(spark):
+    """Lines out of order, a line left out at first, a judge that never answers one line, the source table kept."""
+    pairs = [("q", f"t{i:02d}", "Red Fox", f"the red fox {i}" if i % 3 else f"the red foxes {i}") for i in range(45)]
+    df = spark.createDataFrame(pairs, "question_id string, table_id string, entity string, title string")
+
+    def moody():
+        calls = []
+
+        def ask(prompts):
+            calls.append(len(prompts))
+            assert all(len(p.split("\n")) <= 21 and p.startswith("Reply line by line") for p in prompts)
+            plain = GT.mention_judge([p.split("\n", 1)[1] for p in prompts])
+            if len(calls) == 1:
+                plain = ["\n".join(["Well:", *reversed(p.split("\n")[1:])]) for p in plain]
+            return ["\n".join(x for x, line in zip(p.split("\n"), ask_.split("\n")[1:]) if "foxes 3 " not in line) if len(calls) > 1 else p for p, ask_ in zip(plain, prompts)]
+
+        return ask
+
+    got = {r["table_id"]: r["yes"] for r in GT.judge_titles(df, moody, head="Reply line by line").collect()}
+    assert got == {t: "foxes" not in title for _, t, _, title in pairs}
+    silent = GT.judge_titles(df, lambda: lambda prompts: ["" for _ in prompts])
+    assert all(r["yes"] is None for r in silent.collect()) and silent.count() == 45
+    questions = spark.createDataFrame([("q", "t03")], "question_id string, table_id string")
+    kept = GT.verify_titles(questions, df, GT.judge_titles(df.where("table_id <> 't03'"), moody, head="Reply line by line"))
+    want = {t for t, yes in got.items() if yes} | {"t03"}
+    assert {r["table_id"] for r in kept.collect()} == want and {r["filter_by_title"] for r in kept.collect()} == {44 - (len(want) - 1)}
+
+
+def test_answers_are_read_by_their_numbers():
+    assert GT.read_answers("1. x Answer: Yes; Red\n2. Answer: no; NO\nnoise\n4. Answer: maybe;\n3. Answer:yes") == {1: True, 2: False, 3: True}
 
 
 def loop_batches(lengths, size):
