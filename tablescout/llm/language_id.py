@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.llm.common import text_batches
+
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -169,6 +171,7 @@ def train(labelled: DataFrame, max_rows: int = 3000, seed: int = 42) -> Model:
     Rows without language are left out by this function; `max_rows` bounds what the fit and the
     calibration (every fifth sampled row) read. With no usable row the model knows no language."""
     spark = labelled.sparkSession
+    text_batches(spark)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = dict(
         rows.select("text").mapInArrow(_document_frequencies, "bucket long, df long")
@@ -214,6 +217,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null, empty or letterless text is `und` with score 0. Only the text goes to Python; columns named like
     a result are replaced, all others pass through, repeated rows are predicted each."""
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import written
+from tablescout.llm.common import text_batches, written
 from tablescout.llm.shingles import set_key, shingle_set
 
 GROUPS = 256
@@ -424,6 +424,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "do
 def text_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """near_groups with text_key (xxhash64 of the text) and root, which names a row's component also where
     no row of it has an id; root is null for empty sets."""
+    text_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     described = written(docs.mapInArrow(_describe(words), _DESCRIBED), "shingle-sets")
     known = described.where("point is not null").select("doc_id", "text_key", "n_shingles", "node", "point")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.llm.common import text_batches
+
 BLANK = "▁"
 MEMO_STRETCHES = 600_000
 STEP_TEXTS = 64
@@ -220,6 +222,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", ids: str = "piec
 
     Null and empty texts give an empty array (and true), repeated rows are encoded each. No shuffle;
     `path` names the vocabulary file on every machine."""
+    text_batches(df.sparkSession)
     keep = df.drop(ids, *([check] if check else []))
     out = keep.withColumn(ids, F.array(F.lit(0)))
     schema = (out.withColumn(check, F.lit(True)) if check else out).schema
