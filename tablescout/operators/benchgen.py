@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import text as tx
 from tablescout.functions.hashing import draw, hash_rank
-from tablescout.operators.profile import complete_row, drawn_value
+from tablescout.operators.documents import generate
+from tablescout.operators.profile import complete_row, drawn_value, sampled_rows
 from tablescout.operators.scaling import fits, salted_join, top_per_group
 from tablescout.session import materialize
 
@@ -184,16 +185,32 @@ def struct_text(s: Column) -> Column:
     )
 
 
-def table_prompts(cells: DataFrame, columns: DataFrame, captions: DataFrame, rows: int = 10, seed=0) -> DataFrame:
-    """(table_id, prompt): caption, header and sampled rows of a table, ` | ` between cells."""
-    key = hash_rank(seed, F.col("table_id"), F.col("row_idx"))
-    picked = top_per_group(
-        cells.where("col_idx = 0").select("table_id", "row_idx", key.alias("_d")), ["table_id"], [F.col("_d"), F.col("row_idx")], rows, "_no"
-    ).select("table_id", "row_idx", "_no")
-    few = cells.join(picked, ["table_id", "row_idx"])
-    lines = few.groupBy("table_id", "_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"]), " | ").alias("line")
+def struct_references(structures: DataFrame, types: DataFrame) -> DataFrame:
+    """(table_id, attempt, ref_col_names, ref_values): normalised names of all columns a rendered structure mentions, and the
+    values of its conditions on columns of no special type. types(table_id, col_idx, infer_type)."""
+    s = F.col("sql_struct")
+    names = F.concat(
+        F.transform(s["select"], lambda c: c["col_name"]), F.transform(s["where"], lambda c: c["col_name"]),
+        F.array(s["group_by"]["col_name"], s["having"]["col_name"], s["order_by"]["col_name"]),
+    )
+    named = structures.select(
+        "table_id", "attempt", F.array_sort(F.array_distinct(F.transform(F.array_compact(names), tx.norm_text))).alias("ref_col_names"), s["where"].alias("_w")
     )
+    plain = types.where("infer_type = 'Other'").select("table_id", F.col("col_idx").alias("_col"))
+    values = named.select("table_id", "attempt", F.explode("_w").alias("_c")).select(
+        "table_id", "attempt", F.col("_c.col").alias("_col"), tx.norm_text(F.col("_c.val")).alias("_v")
+    ).join(plain, ["table_id", "_col"]).groupBy("table_id", "attempt").agg(F.array_sort(F.collect_set("_v")).alias("ref_values"))
+    return named.drop("_w").join(values, ["table_id", "attempt"], "left").withColumn(
+        "ref_values", F.coalesce("ref_values", F.array().cast("array<string>"))
+    )
+
+
+def table_prompts(table_rows: DataFrame, columns: DataFrame, captions: DataFrame, rows: int = 10, seed=0) -> DataFrame:
+    """(table_id, prompt): caption, header and sampled rows of a table, ` | ` between cells.
+
+    rows(table_id, row_idx, cells) are sampled whole and never opened into cells."""
+    line = F.array_join(F.transform("cells", lambda v: F.coalesce(v, F.lit(""))), " | ")
+    lines = sampled_rows(table_rows, rows, seed, "_no").select("table_id", "_no", line.alias("line"))
     body = lines.groupBy("table_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "line"))), lambda x: x["line"]), "\n").alias("_body")
     )
@@ -261,6 +278,30 @@ def spread_labels(questions: DataFrame, contexts: DataFrame, share: float = 0.5)
     return shared.where(F.col("_have") >= F.col("_need") * share).select("question_id", "table_id").distinct()
 
 
+def labeling_prompt(context: Column, question: Column) -> Column:
+    return F.concat(
+        F.lit("Context:\n"), context, F.lit("\n\nQuestion:\n"), question,
+        F.lit("\n\nCan the question be answered with the context alone? Begin your answer with yes or no."),
+    )
+
+
+def judge_labels(questions: DataFrame, contexts: DataFrame, judge, prompt=labeling_prompt) -> DataFrame:
+    """spread_labels with a judge: every context of a question's elicitation question is shown with the question, and its
+    table is an answer when the judge says yes. questions(question_id, elicitation, question),
+    contexts(context_id, table_id, elicitation, context).
+
+    `judge` is a factory of list[str] -> list[str], called once a task. Questions are a sample of bounded size and go to
+    the contexts, which do not move; without that bound both are joined by salted elicitation questions."""
+    if fits(questions):
+        met = contexts.join(F.broadcast(questions), "elicitation")
+    else:
+        counts = contexts.groupBy("elicitation").agg(F.count(F.lit(1)).alias("n"))
+        met = salted_join(contexts, questions, counts, ["elicitation"], ["context_id"])
+    asked = met.select("question_id", "table_id", prompt(F.col("context"), F.col("question")).alias("prompt"))
+    answered = generate(asked, "prompt", "answer", judge)
+    return answered.where(judged_yes(F.col("answer"))).select("question_id", "table_id").distinct()
+
+
 def judged_yes(answer: Column) -> Column:
     s = F.lower(tx.strip(answer))
     return s.startswith("yes") | s.startswith("**yes")

@@ -34,37 +34,47 @@ def clean_headers(columns: DataFrame) -> DataFrame:
     return numbered.withColumn("clean", tx.clean_header(raw, F.col("_blank"))).withColumn("warnings", notes).drop("_blank")
 
 
+def _used_numbers(columns: DataFrame, key: str) -> DataFrame:
+    """(table_id, stem, used): names of a table that end like a suffixed one, such as `a_7`, as stem and number."""
+    keys = columns.select("table_id", F.col(key)).distinct()
+    form = r"(?s)^(.*)_([2-9]|[1-9][0-9]{1,8})$"
+    return keys.where(F.col(key).rlike(form)).select(
+        "table_id", F.regexp_extract(key, form, 1).alias("stem"), F.regexp_extract(key, form, 2).cast("int").alias("used")
+    )
+
+
 def repair_duplicates(columns: DataFrame, name: str = "clean") -> DataFrame:
-    """Adds `fixed`: later columns of one name (ignoring case) get `_2`, `_3`, ... skipping names
-    in use; `error` where a name repeats too often to be repaired. Groups are one table's header."""
-    key = F.lower(name)
-    same = Window.partitionBy("table_id", key)
-    w = columns.withColumns({
-        "_n": F.row_number().over(same.orderBy("col_idx")),
-        "_of": F.count(F.lit(1)).over(same),
-        "_names": F.collect_set(key).over(Window.partitionBy("table_id")),
+    """Adds `fixed`: later columns of one name (ignoring case) get `_2`, `_3`, ... skipping names in use; `error` where a
+    name repeats too often to be repaired.
+
+    The numbers a name may not take are joined to it and sorted; before the i-th of them (from 0) lie used - 2 - i free
+    ones. A later column therefore moves on by as many places as there are used numbers with fewer free ones before
+    them than it needs. No row carries the names of its table."""
+    same = Window.partitionBy("table_id", "_key")
+    w = columns.withColumn("_key", F.lower(name)).withColumns({
+        "_n": F.row_number().over(same.orderBy("col_idx")), "_of": F.count(F.lit(1)).over(same),
     })
-
-    def suffixed(s: Column) -> Column:
-        tail = F.concat(F.lit("_"), s.cast("string"))
-        base = F.when(F.length(name) + F.length(tail) < tx.MAX_COLUMN_NAME, F.col(name)).otherwise(
-            F.substring(F.col(name), F.lit(1), F.length(name) - 3)
-        )
-        return F.concat(base, tail)
-
-    # Only names starting like this one can be in the way of its suffixed forms.
-    stem = F.when(F.length(name) < tx.MAX_COLUMN_NAME - 6, key).otherwise(F.substring(key, F.lit(1), F.length(name) - 3))
-    w = w.withColumn("_names", F.when(F.col("_n") > 1, F.filter("_names", lambda n: n.startswith(stem))))
-    free = F.filter(
-        F.sequence(F.lit(2), F.col("_n").cast("int") + F.size("_names")),
-        lambda s: ~F.array_contains("_names", F.lower(suffixed(s))),
-    )
-    w = w.withColumn("_s", F.when(F.col("_n") > 1, F.get(free, F.col("_n") - 2)))
+    tail = lambda s: F.concat(F.lit("_"), s.cast("string"))
+    fits_ = lambda s: F.length(name) + F.length(tail(s)) < tx.MAX_COLUMN_NAME
+    short = F.substring(F.col(name), F.lit(1), F.length(name) - 3)
+    late = w.where((F.col("_n") > 1) & (F.col("_of") < MAX_REPEATS)).select("table_id", "col_idx", "_key", F.col(name), (F.col("_n") - 1).alias("_m"))
+    # Columns of one name that differ in length (by odd capitals) form stems of their own.
+    who = ["table_id", "_key", "_len"]
+    late = late.withColumn("_len", F.length(name))
+    forms = late.select(*who, F.col(name), F.explode(F.array(F.lit(True), F.lit(False))).alias("_whole")).dropDuplicates([*who, "_whole"])
+    forms = forms.withColumn("stem", F.lower(F.when(F.col("_whole"), F.col(name)).otherwise(short)))
+    taken = forms.join(_used_numbers(w, "_key"), ["table_id", "stem"]).where(fits_(F.col("used")) == F.col("_whole")).select(*who, "used").distinct()
+    place = F.row_number().over(Window.partitionBy(*who).orderBy("used")) - 1
+    events = taken.select(*who, F.lit(None).cast("int").alias("col_idx"), (F.col("used") - 2 - place).alias("_m"), F.lit(1).alias("_used"))
+    asked = late.select(*who, F.col("col_idx").cast("int").alias("col_idx"), "_m", F.lit(0).alias("_used"))
+    before = Window.partitionBy(*who).orderBy("_m", "_used").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbers = asked.unionByName(events).withColumn("_s", F.col("_m") + 1 + F.sum("_used").over(before)).where("_used = 0").select("table_id", "col_idx", "_s")
+    suffixed = F.concat(F.when(fits_(F.col("_s")), F.col(name)).otherwise(short), tail(F.col("_s")))
     too_many = F.col("_of") >= MAX_REPEATS
-    fixed = F.when(F.col("_n") == 1, F.col(name)).otherwise(suffixed(F.col("_s")))
-    return w.withColumns({
-        "fixed": F.when(~too_many, fixed), "error": F.when(too_many, F.lit("name repeats too often")),
-    }).drop("_n", "_of", "_names", "_s")
+    return w.join(numbers, ["table_id", "col_idx"], "left").select(
+        *columns.columns, F.when(~too_many, F.when(F.col("_n") == 1, F.col(name)).otherwise(suffixed)).alias("fixed"),
+        F.when(too_many, F.lit("name repeats too often")).alias("error"),
+    )
 
 
 def clip_cells(cells: DataFrame, limit: int = tx.MAX_CELL) -> DataFrame:
@@ -113,8 +123,24 @@ def numeric_columns(types: DataFrame) -> DataFrame:
     return types.where(F.col("infer_type").isin("INT", "FLOAT"))
 
 
+def sampled_rows(table_rows: DataFrame, rows: int, seed=0, place: str = "_k") -> DataFrame:
+    """At most `rows` rows per table, picked by hash, with their `place`. Every partition keeps so many of a table before
+    anything moves, and only they are ever opened into cells."""
+    key = hash_rank(seed, F.col("table_id"), F.col("row_idx"))
+    return top_per_group(table_rows.withColumn("_d", key), ["table_id"], [F.col("_d"), F.col("row_idx")], rows, place).drop("_d")
+
+
+def opened(table_rows: DataFrame) -> DataFrame:
+    """The cells of rows(table_id, row_idx, names, cells)."""
+    each = table_rows.select("table_id", "row_idx", F.posexplode(F.arrays_zip("names", "cells")).alias("col_idx", "_c"))
+    return each.select("table_id", "row_idx", "col_idx", F.col("_c.names").alias("col_name"), F.col("_c.cells").alias("value"))
+
+
 def sampled_cells(cells: DataFrame, rows: int, seed=0) -> DataFrame:
-    """Cells of at most `rows` rows per table, picked by hash; few enough to join back by row."""
+    """Cells of at most `rows` rows per table: rows(table_id, row_idx, names, cells) are sampled before they are opened;
+    of a relation of cells the sampled rows are joined back."""
+    if "cells" in cells.columns:
+        return opened(sampled_rows(cells, rows, seed))
     keys = cells.where("col_idx = 0").select("table_id", "row_idx", hash_rank(seed, F.col("table_id"), F.col("row_idx")).alias("_d"))
     picked = top_per_group(keys, ["table_id"], [F.col("_d"), F.col("row_idx")], rows, "_k").select("table_id", "row_idx")
     return cells.join(picked, ["table_id", "row_idx"], "left_semi")

@@ -8,7 +8,7 @@ from tablescout.functions import text as tx
 from tablescout.operators import benchgen as BG
 from tablescout.operators import documents as D
 from tablescout.operators import profile as PR
-from tablescout.plans.lake import CELLS_SQL, COLUMNS_SQL, lake_cells, lake_columns
+from tablescout.plans.lake import CELLS_SQL, COLUMNS_SQL, lake_columns, lake_rows
 from tablescout.plans.profiling import RANGES_SQL, draw_sql, drawn_sql, sampled_sql, strip_sql, types_sql
 from tablescout.plans.registry import query, table
 from tablescout.plans.retrieval import terms_sql
@@ -88,18 +88,23 @@ gq as (select st.*, ev.row_idx, case when len(list_filter(wh0, lambda c: c.op =
   from st left join ev using (table_id, attempt))"""
 
 
-def prompt_columns(spark, sf, prompt_rows):
-    cells = lake_cells(spark, sf)
-    types = PR.infer_types(prompt_rows)
-    return lake_columns(spark, sf).join(types, PR.COLUMN).join(PR.numeric_ranges(cells), PR.COLUMN, "left").select(
+def prompt_columns(spark, sf, types, prompt_rows):
+    """Columns that may stand in a question: not those of very long cells, and of a wide table its first and some others."""
+    named = PR.sample_columns(lake_columns(spark, sf).join(PR.oversized_columns(prompt_rows), PR.COLUMN, "left_anti"))
+    return named.join(types, PR.COLUMN).join(PR.numeric_ranges(lake_rows(spark, sf)), PR.COLUMN, "left").select(
         *PR.COLUMN, "col_name", F.col("infer_type").isin("INT", "FLOAT").alias("numeric"), "lo", "hi", "all_int"
     )
 
 
-def structures(spark, sf):
+def prompt_cells(spark, sf):
+    return materialize(PR.sampled_cells(lake_rows(spark, sf), PROMPT_ROWS), "prompt-rows")
+
+
+def structures(spark, sf, prompt_rows=None):
     """Types and equality values come from the sampled prompt rows of each table."""
-    prompt_rows = materialize(PR.sampled_cells(lake_cells(spark, sf), PROMPT_ROWS), "prompt-rows")
-    return BG.fill_equalities(BG.sample_structures(prompt_columns(spark, sf, prompt_rows)), prompt_rows)
+    prompt_rows = prompt_cells(spark, sf) if prompt_rows is None else prompt_rows
+    columns = prompt_columns(spark, sf, PR.infer_types(prompt_rows), prompt_rows)
+    return BG.fill_equalities(BG.sample_structures(columns), prompt_rows)
 
 
 @query("gen_12", f"""with {STRUCT_SQL}
@@ -138,9 +143,18 @@ select table_id, attempt, concat_ws(' ',
   case when len(wh) > 0 then 'where ' || array_to_string(list_transform(wh, lambda c: {_compare("""'"' || c.col_name || '"'""", 'c.op', 'c.val', 'c.val_2')}), ' and ') end,
   'group by "' || g.col_name || '"', case when has then 'having ' || {_HAVING} end,
   'order by "' || o.col_name || '" ' || case when {u_sql('dir')} < 0.5 then 'desc' else 'asc' end,
-  'limit ' || case when o is not null then {choice_sql(BG.TOPS, 'top')} end) as sql from gq""")
+  'limit ' || case when o is not null then {choice_sql(BG.TOPS, 'top')} end) as sql,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(sel, lambda s: s.col_name), list_transform(wh, lambda c: c.col_name),
+    list_filter([g.col_name, case when has then a1.col_name end, o.col_name], lambda x: x is not null)))), '|') as ref_col_names,
+  coalesce((select string_agg(distinct lower(trim(u.c.val)), '|' order by lower(trim(u.c.val))) from (select unnest(gq.wh) as c) u
+    where exists (select 1 from ty where ty.table_id = gq.table_id and ty.col_idx = u.c.col and ty.infer_type = 'Other')), '') as ref_values from gq""")
 def rendered(spark, sf):
-    return structures(spark, sf).select("table_id", "attempt", BG.struct_text(F.col("sql_struct")).alias("sql"))
+    prompt_rows = prompt_cells(spark, sf)
+    made = materialize(structures(spark, sf, prompt_rows), "structures")
+    refs = BG.struct_references(made, PR.infer_types(prompt_rows)).select(
+        "table_id", "attempt", *[F.array_join(c, "|").alias(c) for c in ("ref_col_names", "ref_values")]
+    )
+    return made.select("table_id", "attempt", BG.struct_text(F.col("sql_struct")).alias("sql")).join(refs, ["table_id", "attempt"])
 
 
 @query("gen_14", f"""with {COLUMNS_SQL},
@@ -153,7 +167,7 @@ select table_id, 'Table Caption:' || chr(10) || 'Table ' || table_id || chr(10)
 from h join b using (table_id)""")
 def table_prompts(spark, sf):
     captions = lake_columns(spark, sf).select("table_id").distinct().withColumn("caption", F.concat(F.lit("Table "), "table_id"))
-    return BG.table_prompts(lake_cells(spark, sf), lake_columns(spark, sf), captions)
+    return BG.table_prompts(lake_rows(spark, sf), lake_columns(spark, sf), captions)
 
 
 # ---- contexts and questions --------------------------------------------------------------------

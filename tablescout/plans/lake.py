@@ -38,6 +38,18 @@ def lake_cells(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def lake_rows(spark, sf):
+    """(table_id, row_idx, names, cells) of all tables; values as lake_cells has them."""
+    parts = []
+    for name, (key, columns) in LAKE.items():
+        df = table(spark, sf, name, *columns, by=key if name == "orders" else None)
+        parts.append(df.select(
+            F.lit(name).alias("table_id"), F.col(key).cast("long").alias("row_idx"), F.array(*[F.lit(plain(c)) for c in columns]).alias("names"),
+            F.array(*[F.col(c).cast("string") for c in columns]).alias("cells"),
+        ))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def lake_columns(spark, sf):
     """Headers of all tables from the schemas of their files; no row is read."""
     parts = [schema_of(table(spark, sf, name, *columns).toDF(*map(plain, columns)), name) for name, (_, columns) in LAKE.items()]

@@ -8,7 +8,7 @@ from tablescout.functions import text as tx
 from tablescout.functions.text import norm_text
 from tablescout.operators import groundtruth as GT
 from tablescout.operators import profile as PR
-from tablescout.plans.lake import CELLS_SQL, COLUMNS_SQL, lake_cells, lake_columns
+from tablescout.plans.lake import CELLS_SQL, COLUMNS_SQL, lake_cells, lake_columns, lake_rows
 from tablescout.plans.registry import query, table
 from tablescout.session import materialize
 
@@ -139,11 +139,11 @@ select table_id, 0 as col_idx, round(avg(length(trim(text, E' \\t\\n\\r\\f\\v'))
 union all select table_id, 1, avg(length(lang)) as m from p group by 1 having m > 2000""")
 def oversized(spark, sf):
     docs = table(spark, sf, "documents", "source", "doc_id", "text", "lang", by="doc_id")
-    cells = docs.select(
-        F.col("source").alias("table_id"), F.col("doc_id").alias("row_idx"),
-        F.posexplode(F.array("text", "lang")).alias("col_idx", "value"),
+    rows = docs.select(
+        F.col("source").alias("table_id"), F.col("doc_id").alias("row_idx"), F.array(F.lit("text"), F.lit("lang")).alias("names"),
+        F.array("text", "lang").alias("cells"),
     )
-    return PR.oversized_columns(cells).withColumn("mean_size", F.round("mean_size", 4))
+    return PR.oversized_columns(rows).withColumn("mean_size", F.round("mean_size", 4))
 
 
 @query("gen_09", """
@@ -188,7 +188,7 @@ _A, _B = draw_sql("'0a'", "table_id", "col_idx"), draw_sql("'0b'", "table_id", "
 select table_id, col_idx, {drawn_sql('lo', 'hi', 'all_int', f'least({_A}, {_B})')} as val,
   {drawn_sql('lo', 'hi', 'all_int', f'greatest({_A}, {_B})')} as val_2 from rg""")
 def range_sampling(spark, sf):
-    ranges = PR.numeric_ranges(lake_cells(spark, sf))
+    ranges = PR.numeric_ranges(lake_rows(spark, sf))
     return PR.value_ranges(ranges).select("table_id", "col_idx", "val", "val_2")
 
 

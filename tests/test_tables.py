@@ -223,3 +223,73 @@ def test_parquet_lake_of_several_schemas(spark, tmp_path):
     assert [(t, i) for t, i, _, _ in got] == [("a", -1), ("a", 0), ("a", 1), ("b", -1), ("b", 0), ("b", 1), ("c", -1)]
     assert got[2][2:] == (head, first) and got[5][3] == first and got[0][2:] == (head, None) and got[6][2] == ["only"]
     assert rows.where("row_idx >= 0").count() == 10
+
+
+def plain_headers(names):
+    """One table's header repaired column by column."""
+    keys, seen, out = {n.lower() for n in names}, {}, []
+    for n in names:
+        k = n.lower()
+        seen[k] = seen.get(k, 0) + 1
+        if seen[k] == 1:
+            out.append(n)
+            continue
+        free, s = 0, 1
+        while free < seen[k] - 1:
+            s += 1
+            form = (n if len(n) + len(f"_{s}") < 64 else n[: len(n) - 3]) + f"_{s}"
+            free += form.lower() not in keys
+        out.append(form)
+    return out
+
+
+def test_header_repair_skips_used_numbers(spark):
+    rng = random.Random(12)
+    pool = ["a", "A", "a_2", "a_3", "A_4", "a_02", "a_2_2", "a_10", "b", "B_2", "x" * 61, "x" * 58 + "_2", "X" * 61, "x" * 58 + "_10", "a_1", "_2", ""]
+    tables = {f"t{i}": [rng.choice(pool) for _ in range(rng.randint(1, 40))] for i in range(30)}
+    rows = [(t, i, n) for t, names in tables.items() for i, n in enumerate(names)]
+    got = {}
+    for r in PR.repair_duplicates(spark.createDataFrame(rows, "table_id string, col_idx int, clean string")).orderBy("table_id", "col_idx").collect():
+        got.setdefault(r["table_id"], []).append(r["fixed"])
+    assert got == {t: plain_headers(names) for t, names in tables.items()}
+
+
+def test_a_header_of_fifty_thousand_names(spark):
+    names = ["a", "A", "a", *[f"a_{i}" for i in range(2, 50_000)], *["often"] * 100]
+    df = spark.createDataFrame(list(enumerate(names)), "col_idx int, clean string").withColumn("table_id", F.lit("t"))
+    out = {r["col_idx"]: (r["fixed"], r["error"]) for r in PR.repair_duplicates(df).where("col_idx < 3 or clean = 'often'").collect()}
+    assert [out[i][0] for i in range(3)] == ["a", "A_50000", "a_50001"]
+    assert all(fixed is None and error for i, (fixed, error) in out.items() if i >= 3)
+
+
+def test_rows_are_sampled_before_they_are_opened(spark):
+    rows = [(t, i, ["k", "v"], [str(i), None if i % 3 else "x" * i]) for t in ("p", "q") for i in range(40)]
+    df = spark.createDataFrame(rows, "table_id string, row_idx long, names array<string>, cells array<string>")
+    by_rows, by_cells = PR.sampled_cells(df, 7), PR.sampled_cells(PR.opened(df), 7)
+    assert sorted(map(str, by_rows.select(by_cells.columns).collect())) == sorted(map(str, by_cells.collect()))
+    plan = by_rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("WindowGroupLimit")  # the explode stands above the sample
+    assert PR.sampled_cells(df.where("row_idx < 0"), 7).count() == 0
+
+
+def test_labels_by_a_judge(spark):
+    questions = spark.createDataFrame([(1, "e1", "who?"), (2, "e2", "when?")], "question_id long, elicitation string, question string")
+    contexts = spark.createDataFrame(
+        [(i, f"t{i}", "e1" if i < 4 else "e2", f"context {i}") for i in range(8)] + [(9, "t1", "e1", "context 2")],
+        "context_id long, table_id string, elicitation string, context string",
+    )
+
+    def judge():
+        return lambda prompts: ["**Yes**, it can" if ("context 2" in p and "who?" in p) or ("context 5" in p and "when?" in p) else "No" for p in prompts]
+
+    got = BG.judge_labels(questions, contexts, judge)
+    assert sorted(map(tuple, got.collect())) == [(1, "t1"), (1, "t2"), (2, "t5")]
+
+
+def test_a_call_that_leaves_answers_out_is_repeated(spark):
+    df = spark.createDataFrame([(f"p{i}",) for i in range(30)], "prompt string").coalesce(1)
+
+    def model():
+        return lambda prompts: [p.upper() for p in prompts] if len(prompts) <= 10 else ["too few"]
+
+    assert sorted(r["out"] for r in D.generate(df, "prompt", "out", model).collect()) == sorted(f"P{i}" for i in range(30))
