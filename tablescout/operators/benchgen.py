@@ -371,7 +371,9 @@ def compare_structures(df: DataFrame, mine: str = "sql_struct", back: str = "bac
     consistent = F.lit(True)
     for p in parts:
         consistent = consistent & F.col(p)
-    return checked.withColumn("consistent", consistent)
+    # part names without "same_" of the parts that differ, in the order of a rendered structure
+    different = F.array_compact(F.array(*[F.when(~F.col(p), F.lit(p[len("same_"):])) for p in parts]))
+    return checked.withColumn("consistent", consistent).withColumn("differences", different)
 
 
 def copied_texts(questions: DataFrame, strict: bool = True) -> DataFrame:

@@ -257,40 +257,68 @@ def rephrase_pass(spark, sf):
     return answered.select("item_id", BG.rephrased(F.col("answer")).alias("question"))
 
 
-@query("gen_26", """select s_suppkey, s_suppkey % 5 <> 4 as same_select, s_suppkey % 5 <> 1 as same_where, true as same_group_by,
-  s_suppkey % 5 <> 3 as same_limit, s_suppkey % 5 in (0, 2) as consistent, case when s_suppkey % 5 = 2 then 'zone' end as more_cols from supplier""")
+_NORM = lambda c: f"lower(trim(coalesce({c}, '')))"
+_HVAL = f"case when ({_HOP}) = 'between' then {_HL} else {_H1} end"
+_HTEXT = f"a1.col_name || '#' || op1 || '#' || ({_HOP}) || '#' || ({_HVAL}) || {{}} || '#' || coalesce(case when ({_HOP}) = 'between' then {_HH} end, '')"
+
+
+def _cond_text(c: str, more: str = "''") -> str:
+    return f"{_NORM(c + '.col_name')} || '#' || {_NORM(c + '.op')} || '#' || {_NORM(f'{c}.val || {more}')} || '#' || {_NORM(c + '.val_2')}"
+
+
+@query("gen_26", f"""with {STRUCT_SQL},
+kd as (select *, attempt % 5 as kind, attempt >= 5 and attempt % 5 = 0 as titled, {u_sql('dir')} < 0.5 as down, {choice_sql(BG.TOPS, 'top')} as tops from gq),
+tx as (select table_id, attempt, titled,
+  list_sort(list_transform(sel, lambda s: {_NORM('s.col_name')} || '#' || {_NORM('s.aggr')})) as ms,
+  list_sort(list_transform(generate_series(1, len(sel)), lambda i: {_NORM("upper(sel[i].col_name) || ' '")} || '#'
+    || {_NORM("coalesce(sel[i].aggr, '') || case when kind = 4 and o is null and i = 1 then 'x' else '' end")})) as bs,
+  list_sort(list_transform(wh, lambda c: {_cond_text('c')})) as mw,
+  list_sort(list_concat(list_transform(generate_series(1, len(wh)), lambda i: {_cond_text('wh[i]', "case when kind = 1 and i = 1 then 'x' else '' end")}),
+    case when titled then ['zone#=#x#'] else [] end)) as bw,
+  list_transform(wh, lambda c: {_NORM('c.col_name')}) as mn,
+  g.col_name as mg, lower(trim(upper(g.col_name) || ' ')) as bg,
+  case when has then {_HTEXT.format("''")} end as mh, case when has then {_HTEXT.format("case when kind = 2 then '9' else '' end")} end as bh,
+  case when o is not null then o.col_name || '#' || down end as mo, case when o is not null then o.col_name || '#' || (case when kind = 3 then not down else down end) end as bo,
+  case when o is not null then tops end as ml, case when o is not null then case when kind = 4 then tops + 1 else tops end end as bl from kd),
+cp as (select table_id, attempt, ms = bs as same_select,
+  case when titled then len(mw) < len(bw) and mw = list_filter(bw, lambda c: list_contains(mn, split_part(c, '#', 1))) else mw = bw end as same_where,
+  mg is not distinct from bg as same_group_by, mh is not distinct from bh as same_having, mo is not distinct from bo as same_order_by, ml is not distinct from bl as same_limit,
+  case when titled and len(mw) < len(bw) and mw = list_filter(bw, lambda c: list_contains(mn, split_part(c, '#', 1)))
+    then array_to_string(list_transform(list_filter(bw, lambda c: not list_contains(mn, split_part(c, '#', 1))), lambda c: split_part(c, '#', 1)), ',') end as more_cols from tx)
+select *, same_select and same_where and same_group_by and same_having and same_order_by and same_limit as consistent,
+  array_to_string(list_filter([case when not same_select then 'select' end, case when not same_where then 'where' end, case when not same_group_by then 'group_by' end,
+    case when not same_having then 'having' end, case when not same_order_by then 'order_by' end, case when not same_limit then 'limit' end], lambda x: x is not null), ',') as differences from cp""")
 def structure_consistency(spark, sf):
-    """Read-back structures: rewritten, another value, one more condition, another limit, another aggregate."""
-    s = table(spark, sf, "supplier")
-    kind = F.col("s_suppkey") % 5
-    text = lambda v: F.lit(v).cast("string")
-
-    def cond(name, op, val):
-        return F.struct(text(name).alias("col_name"), text(op).alias("op"), val.cast("string").alias("val"), text(None).alias("val_2"))
-
-    def struct(names, aggr, where, top, title):
-        return F.struct(
-            F.array(*[F.struct(text(n).alias("col_name"), a.alias("aggr")) for n, a in zip(names, aggr)]).alias("select"),
-            where.alias("where"), F.struct(text("Nation" if title is None else "nation ").alias("col_name")).alias("group_by"),
-            F.lit(None).cast("struct<col_name:string,aggr:string,pred_op:string,val:string,val_2:string>").alias("having"),
-            F.lit(None).cast("struct<col_name:string,direction:string>").alias("order_by"),
-            F.struct(top.alias("top")).alias("limit"), (F.lit(0) if title is None else title).alias("use_title"),
-        )
-
-    name, nation = cond("name", "=", F.col("s_name")), cond("nationkey", ">", F.col("s_nationkey"))
-    up = [cond(" NAME", "=", F.upper("s_name")), cond("NationKey", ">", F.col("s_nationkey"))]
-    mine = struct(["name", "acctbal"], [text(None), text("max")], F.array(name, nation), F.lit(3), (kind == 2).cast("int"))
-    where = (
-        F.when(kind == 1, F.array(up[1], cond("name", "=", F.lit("other"))))
-        .when(kind == 2, F.array(cond("Zone", "=", F.lit("x")), up[1], up[0])).otherwise(F.array(up[1], up[0]))
+    """Sampled structures read back in another order and notation, with another value, having value, direction, limit or
+    aggregate, or with the condition that a title adds."""
+    s, kind = F.col("sql_struct"), F.col("attempt") % 5
+    told = structures(spark, sf).withColumn("sql_struct", s.withField("use_title", ((kind == 0) & (F.col("attempt") >= 5)).cast("int")))
+    name = lambda c: F.concat(F.upper(c["col_name"]), F.lit(" "))
+    ordered = s["order_by"].isNotNull()
+    conds = F.transform(s["where"], lambda c, i: c.withField("col_name", name(c)).withField(
+        "val", F.when((kind == 1) & (i == 0), F.concat(c["val"], F.lit("x"))).otherwise(c["val"])
+    ))
+    zone = F.struct(*[v.alias(f) for f, v in (
+        ("col", F.lit(-1)), ("col_name", F.lit("Zone")), ("op", F.lit("=")), ("val", F.lit("x")), ("val_2", F.lit(None).cast("string")), ("row", F.lit(None).cast("bigint"))
+    )])
+    back = (
+        s.withField("select", F.reverse(F.transform(s["select"], lambda c, i: c.withField("col_name", name(c)).withField(
+            "aggr", F.when((kind == 4) & ~ordered & (i == 0), F.concat(F.coalesce(c["aggr"], F.lit("")), F.lit("x"))).otherwise(c["aggr"])
+        ))))
+        .withField("where", F.when(s["use_title"] == 1, F.concat(F.array(zone), F.reverse(conds))).otherwise(F.reverse(conds)))
+        .withField("group_by", F.when(s["group_by"].isNotNull(), s["group_by"].withField("col_name", name(s["group_by"]))))
+        .withField("having", F.when(s["having"].isNotNull(), s["having"].withField(
+            "val", F.when(kind == 2, F.concat(s["having"]["val"], F.lit("9"))).otherwise(s["having"]["val"])
+        )))
+        .withField("order_by", F.when(ordered, s["order_by"].withField("direction", F.when(
+            kind == 3, F.when(s["order_by"]["direction"] == "desc", "asc").otherwise("desc")
+        ).otherwise(s["order_by"]["direction"]))))
+        .withField("limit", F.when(ordered, s["limit"].withField("top", F.when(kind == 4, s["limit"]["top"] + 1).otherwise(s["limit"]["top"]))))
     )
-    back = struct(
-        ["AcctBal ", "NAME"], [F.when(kind == 4, "min").otherwise("MAX"), text("")], where, F.when(kind == 3, 5).otherwise(3), None
-    )
-    checked = BG.compare_structures(s.select("s_suppkey", mine.alias("sql_struct"), back.alias("back_struct")))
+    checked = BG.compare_structures(told.withColumn("back_struct", back))
     return checked.select(
-        "s_suppkey", "same_select", "same_where", "same_group_by", "same_limit", "consistent",
-        F.array_join("more_cols", ",").alias("more_cols"),
+        "table_id", "attempt", "same_select", "same_where", "same_group_by", "same_having", "same_order_by", "same_limit", "consistent",
+        F.array_join("more_cols", ",").alias("more_cols"), F.array_join("differences", ",").alias("differences"),
     )
 
 
