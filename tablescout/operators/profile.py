@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import text as tx
 from tablescout.functions.hashing import draw, hash_rank
-from tablescout.operators.scaling import salted_join, top_per_group
+from tablescout.operators.scaling import fits, salted_join, small_side, top_per_group
 
 # Hits a type needs before it is taken, and its order of preference.
 TYPE_HITS = {"BOOL": 3, "INT": 3, "FLOAT": 3, "POLYGON": 1}
@@ -189,18 +189,25 @@ def value_ranges(ranges: DataFrame, seed=0) -> DataFrame:
 
 
 def complete_row(cells: DataFrame, needed: DataFrame, seed=0) -> DataFrame:
-    """(question_id, table_id, row_idx): one row per question whose needed cells are all filled.
-
-    needed(question_id, table_id, col_idx). Rows are counted per distinct column set, not per
-    question pair: a row qualifies when its filled needed cells are as many as asked for."""
-    filled = cells.where(tx.strip(F.coalesce("value", F.lit(""))) != "").select("table_id", "row_idx", "col_idx")
-    asked = needed.groupBy("question_id").agg(F.count(F.lit(1)).alias("_need"))
-    good = (
-        filled.join(needed, ["table_id", "col_idx"]).groupBy("question_id", "table_id", "row_idx")
-        .agg(F.count(F.lit(1)).alias("_have")).join(asked, "question_id").where("_have = _need")
-        .withColumn("_d", hash_rank(seed, F.col("question_id"), F.col("row_idx")))
+    """(question_id, table_id, row_idx): one row per question whose needed cells are all filled, drawn by hash.
+
+    needed(question_id, table_id, col_idx), one table per question. Which rows are complete is found once per distinct set of
+    columns of a table. Questions then meet those rows where they lie, and a partition hands on one row per question; a
+    batch too large to send to the rows is joined on salted sets."""
+    filled = (
+        cells.where(tx.strip(F.coalesce("value", F.lit(""))) != "").groupBy("table_id", "row_idx").agg(F.collect_set("col_idx").alias("_have"))
     )
-    return top_per_group(good, ["question_id"], [F.col("_d"), F.col("row_idx")], 1, "_k").select(
+    asked = needed.groupBy("question_id", "table_id").agg(F.sort_array(F.collect_set("col_idx")).alias("_set"))
+    kinds = asked.groupBy("table_id", "_set").agg(F.count(F.lit(1)).alias("_asking"))
+    whole = filled.join(small_side(kinds.select("table_id", "_set")), "table_id").where(F.size(F.array_except("_set", "_have")) == 0)
+    whole = whole.select("table_id", "_set", "row_idx")
+    if fits(asked):
+        met = whole.join(F.broadcast(asked), ["table_id", "_set"])
+    else:
+        counts = whole.groupBy("table_id", "_set").agg(F.count(F.lit(1)).alias("n"))
+        met = salted_join(whole, asked, counts, ["table_id", "_set"], ["row_idx"])
+    drawn = met.withColumn("_d", hash_rank(seed, F.col("question_id"), F.col("row_idx")))
+    return top_per_group(drawn, ["question_id"], [F.col("_d"), F.col("row_idx")], 1, "_k").select(
         "question_id", "table_id", "row_idx"
     )
 
