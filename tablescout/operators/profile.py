@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablescout.functions import text as tx
 from tablescout.functions.hashing import draw, hash_rank
 from tablescout.operators.scaling import fits, salted_join, small_side, top_per_group
+from tablescout.session import materialize
 
 # Hits a type needs before it is taken, and its order of preference.
 TYPE_HITS = {"BOOL": 3, "INT": 3, "FLOAT": 3, "POLYGON": 1}
@@ -221,10 +222,11 @@ def joinable(cells: DataFrame, captions: DataFrame, first_columns: int = 6, keys
     for part in UNJOINABLE:
         blocked = blocked | F.contains("col_name", F.lit(part))
     text = tx.strip(F.col("value"))
-    seen = (
+    # Every value of a table once; read for the counts and for the tables of the chosen values.
+    seen = materialize(
         cells.where((F.col("col_idx") < first_columns) & ~blocked & (text != "") & ~tx.is_float(text))
         .groupBy(name.alias("col_key"), F.lower(text).alias("text_key"), "table_id")
-        .agg(F.min("row_idx").alias("_row"))
+        .agg(F.min("row_idx").alias("_row")), "table-values",
     )
     shared = seen.groupBy("col_key", "text_key").agg(
         F.count(F.lit(1)).alias("_tables"), F.min(F.struct("table_id", "_row")).alias("_first")

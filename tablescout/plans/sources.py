@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescout.plans.lake import CELLS_SQL, LAKE, lake_cells, plain
+from tablescout.plans.lake import CELLS_SQL, LAKE, lake_columns, lake_rows, plain
 from tablescout.plans.registry import query, table
 from tablescout.session import scratch_path
 from tablescout.sources import files as S
@@ -117,7 +117,7 @@ def jsonl(spark, sf):
 
 
 def nested_lake(spark, sf, rows_per_document=1000):
-    return NT.nest_cells(lake_cells(spark, sf), rows_per_document=rows_per_document)
+    return NT.nest_rows(lake_rows(spark, sf), rows_per_document=rows_per_document)
 
 
 @query("src_09", f"with {CELLS_SQL} select table_id, row_idx, col_idx, col_name, value from cells")
@@ -145,10 +145,10 @@ select '_' || replace(table_id, 'r', ' r') || '_SEP_' || table_id as file_name,
 from ln group by all""")
 def csv_sink(spark, sf):
     """Captions start with a period and hold slashes, which the file name may not."""
-    titles = lake_cells(spark, sf).select("table_id").distinct().withColumn(
+    titles = lake_columns(spark, sf).select("table_id").distinct().withColumn(
         "title", F.concat(F.lit("."), F.replace("table_id", F.lit("r"), F.lit("/r")))
     )
-    docs = NT.nest_cells(lake_cells(spark, sf), titles)
+    docs = NT.nest_rows(lake_rows(spark, sf), titles)
     path = scratch_path(spark, "sink")
     NT.write_csv(docs, path)
     lines = spark.read.option("basePath", path).text(path)

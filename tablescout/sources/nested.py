@@ -43,16 +43,16 @@ def cells_of_nested(nested: DataFrame) -> DataFrame:
     )
 
 
-def nest_cells(cells: DataFrame, titles: DataFrame | None = None, rows_per_document: int = ROWS_PER_DOCUMENT) -> DataFrame:
-    """Nested documents from cells. A table longer than `rows_per_document` becomes several
-    documents with consecutive `firstRow`, so no document or task holds a whole large table."""
-    row = cells.groupBy("table_id", "row_idx").agg(
-        F.array_sort(F.collect_list(F.struct("col_idx", "col_name", F.coalesce("value", F.lit("")).alias("text")))).alias("_cells")
+def nest_rows(rows: DataFrame, titles: DataFrame | None = None, rows_per_document: int = ROWS_PER_DOCUMENT) -> DataFrame:
+    """Nested documents from rows(table_id, row_idx, names, cells), which are grouped once and never opened into cells. A
+    table longer than `rows_per_document` becomes several documents with consecutive `firstRow`, so no document or task
+    holds a whole large table."""
+    chunked = rows.select(
+        "table_id", F.floor(F.col("row_idx") / F.lit(rows_per_document)).cast("long").alias("chunk"),
+        F.struct("row_idx", "names", F.transform("cells", lambda v: F.coalesce(v, F.lit(""))).alias("cells")).alias("_row"),
     )
-    chunked = row.withColumn("chunk", F.floor(F.col("row_idx") / F.lit(rows_per_document)).cast("long"))
     docs = chunked.groupBy("table_id", "chunk").agg(
-        F.min("row_idx").alias("firstRow"),
-        F.array_sort(F.collect_list(F.struct("row_idx", "_cells"))).alias("_rows"),
+        F.min("_row.row_idx").alias("firstRow"), F.sort_array(F.collect_list("_row")).alias("_rows")
     )
     if titles is not None:
         docs = docs.join(titles, "table_id", "left")
@@ -60,10 +60,8 @@ def nest_cells(cells: DataFrame, titles: DataFrame | None = None, rows_per_docum
         docs = docs.withColumn("title", F.col("table_id"))
     return docs.select(
         F.col("table_id").alias("tableId"), F.coalesce("title", F.lit("")).alias("documentTitle"), "chunk", "firstRow",
-        F.transform(F.get("_rows", F.lit(0))["_cells"], lambda c: F.struct(c["col_name"].alias("text"))).alias("columns"),
-        F.transform(
-            "_rows", lambda r: F.struct(F.transform(r["_cells"], lambda c: F.struct(c["text"].alias("text"))).alias("cells"))
-        ).alias("rows"),
+        F.transform(F.get("_rows", F.lit(0))["names"], lambda n: F.struct(n.alias("text"))).alias("columns"),
+        F.transform("_rows", lambda r: F.struct(F.transform(r["cells"], lambda v: F.struct(v.alias("text"))).alias("cells"))).alias("rows"),
     )
 
 
