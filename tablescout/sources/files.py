@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import json
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from tablescout.functions.text import strip
 from tablescout.operators.catalog import normal_id, table_name
+from tablescout.session import materialize
 
 FOOTER_READERS = 16
+FOOTER_FILE = 32 << 20
+SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"  # fixed name of the key under which Spark stores its schema
 SUPPORTED = ("csv", "parquet")
 MANY_FILES = 10_000
 
@@ -101,23 +110,50 @@ def lake_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def schema_groups(spark: SparkSession, paths: list[str]) -> list[tuple[StructType, list[str]]]:
-    """Files with the same schema, from their footers alone; footers are looked up several at a time."""
+def _footer_schema(content: bytes) -> str | None:
+    """Spark's schema of a Parquet file as JSON; None where only Spark itself can tell."""
+    try:
+        meta = pq.read_metadata(io.BytesIO(content))
+        own = (meta.metadata or {}).get(SPARK_SCHEMA)
+        if own:
+            return own.decode()
+        if any(meta.schema.column(i).physical_type == "INT96" for i in range(len(meta.schema))):
+            return None
+        return from_arrow_schema(meta.schema.to_arrow_schema(), prefer_timestamp_ntz=True).json()
+    except Exception:  # odd or broken files are looked up by Spark, which says what is wrong with them
+        return None
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_footer_schema(c.as_py()) for c in batch.column("content")]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], ["path", "schema"])
+
+
+def schema_groups(spark: SparkSession, folder: str) -> list[tuple[StructType, list[str]]]:
+    """Parquet files below a folder by schema. Footers of files up to FOOTER_FILE bytes are read in tasks of one job; of
+    larger ones, of which there are few for their bytes, and of those whose types only Spark can tell, Spark reads the
+    footer alone, several at a time."""
+    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+    told = materialize(blobs.where(F.col("length") <= FOOTER_FILE).select("path", "content").mapInArrow(_footers, "path string, schema string"), "footers")
+    name = F.xxhash64("schema")
+    known = {r["h"]: StructType.fromJson(json.loads(r["schema"])) for r in told.where("schema is not null").groupBy(name.alias("h")).agg(F.first("schema").alias("schema")).collect()}
+    paths = {r["path"]: known[r["h"]] for r in told.where("schema is not null").select("path", name.alias("h")).collect()}  # names only
+    left = [r["path"] for r in blobs.select("path").collect() if r["path"] not in paths]
     with ThreadPoolExecutor(FOOTER_READERS) as pool:
-        schemas = list(pool.map(lambda p: spark.read.parquet(p).schema, paths))
+        paths.update(zip(left, pool.map(lambda p: spark.read.parquet(p).schema, left)))
     groups: dict[str, tuple[StructType, list[str]]] = {}
-    for path, schema in zip(paths, schemas):
-        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    for path in sorted(paths):
+        plain = [(f.name, f.dataType.json()) for f in paths[path]]  # nullability does not matter for reading
+        groups.setdefault(json.dumps(plain), (paths[path], []))[1].append(path)
     return list(groups.values())
 
 
 def lake_parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The same rows of every Parquet file below a folder, whatever its size: one typed, splittable scan per
     schema. Values have the text that Spark's cast gives their type, row numbers are the file's own."""
-    files = list_files(spark, folder).where("extension = 'parquet'").select("path")
-    paths = sorted(r[0] for r in files.collect())  # names only, as every scan's file index holds them
     parts = [spark.createDataFrame([], ROW_SCHEMA)]
-    for schema, group in schema_groups(spark, paths):
+    for schema, group in schema_groups(spark, folder):
         names = F.array(*map(F.lit, schema.names)) if schema.names else F.array().cast("array<string>")
         scan = spark.read.schema(schema).parquet(*group)
         cells = F.array(*[F.col(f"`{c}`").cast("string") for c in schema.names]) if schema.names else F.array().cast("array<string>")

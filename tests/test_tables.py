@@ -293,3 +293,35 @@ def test_a_call_that_leaves_answers_out_is_repeated(spark):
         return lambda prompts: [p.upper() for p in prompts] if len(prompts) <= 10 else ["too few"]
 
     assert sorted(r["out"] for r in D.generate(df, "prompt", "out", model).collect()) == sorted(f"P{i}" for i in range(30))
+
+
+def test_schemas_of_many_small_files_come_from_one_job(spark, tmp_path, monkeypatch):
+    """Files of other writers, large files and types that only Spark can tell; the same groups as Spark's own look at each file."""
+    import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tablescout.sources import files as S
+
+    for i in range(60):
+        kind = {"k": pa.array([i, None], pa.int64()), "v": pa.array(["x", None])}
+        if i % 3 == 1:
+            kind = {"k": pa.array([1.5]), "at": pa.array([datetime.datetime(2020, 1, 2)], pa.timestamp("us")), "d": pa.array([None], pa.decimal128(9, 2))}
+        if i % 3 == 2:
+            kind = {"l": pa.array([[1, 2]], pa.list_(pa.int32())), "b": pa.array([b"x"]), "u": pa.array([datetime.datetime(2020, 1, 2)], pa.timestamp("us", "UTC"))}
+        pq.write_table(pa.table(kind), str(tmp_path / f"f{i}.parquet"))
+    pq.write_table(pa.table({"old": pa.array([datetime.datetime(2020, 1, 2)])}), str(tmp_path / "old.parquet"), use_deprecated_int96_timestamps=True)
+    pq.write_table(pa.table({"w": pa.array([1], pa.uint32())}), str(tmp_path / "unsigned.parquet"))
+    spark.range(3).selectExpr("id", "cast(id as decimal(5,1)) as d", "map('a', id) as m").write.parquet(str(tmp_path / "own.parquet"))
+
+    def groups():
+        return sorted((sorted(f.simpleString() for f in schema), len(paths)) for schema, paths in S.schema_groups(spark, str(tmp_path)))
+
+    mine = groups()
+    monkeypatch.setattr(S, "_footer_schema", lambda content: None)
+    assert mine == groups() and sum(n for _, n in mine) >= 63
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "FOOTER_FILE", 0)
+    assert mine == groups()
+    assert S.lake_parquet_rows(spark, str(tmp_path)).where("row_idx >= 0").count() == 20 * 2 + 20 + 20 + 1 + 1 + 3
