@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescout.functions import answers as A
 from tablescout.functions.text import strip, token_count
 from tablescout.operators import catalog as C
 from tablescout.operators import documents as D
@@ -60,7 +61,7 @@ class TableScout:
                 self.store.write(f"catalog/{name}", empty)
         if not self.store.has("catalog/locations"):
             self.store.write("catalog/locations", self.spark.createDataFrame([], LOCATIONS))
-        return _envelope("SUCCESS", "Database Initialized.")
+        return _envelope("SUCCESS", A.INITIALIZED)
 
     def _last_id(self) -> int:
         parts = [self.relation(n).select("id") for n in ("table_contexts", "table_summaries", "indexes")]
@@ -84,7 +85,7 @@ class TableScout:
         s3_access_key: str | None = None, s3_secret_access_key: str | None = None, accept_duplicates: bool = False,
     ) -> str:
         if source not in ("file", "s3"):
-            return _envelope("ERROR", "Invalid source. Please use 'file' or 's3'.")
+            return _envelope("ERROR", A.INVALID_SOURCE)
         if source == "s3":
             conf = self.spark._jsc.hadoopConfiguration()
             for key, value in (
@@ -93,7 +94,7 @@ class TableScout:
                 if value:
                     conf.set(f"fs.s3a.{key}", value)
         if not self.store.exists(path):
-            return _envelope("ERROR", f"Invalid path: {path}")
+            return _envelope("ERROR", A.INVALID_PATH.format(path=path))
         one = self.store.is_file(path)
         files = S.file_outcomes(S.list_files(self.spark, path))
         batch = uuid.uuid4().hex
@@ -124,18 +125,18 @@ class TableScout:
         if one:
             r = listed[0]
             if r["new"]:
-                return _envelope("SUCCESS", f"Table with ID: {r['id']} has been added to the database.", tables[0])
-            return _envelope("ERROR", r["reason"] or f"This table already exists in the database with id {r['same_as']}.")
+                return _envelope("SUCCESS", A.TABLE_ADDED.format(id=r['id']), tables[0])
+            return _envelope("ERROR", r["reason"] or A.TABLE_EXISTS.format(id=r['same_as']))
         return _envelope(
-            "SUCCESS", f"{len(listed)} files in folder {path} has been processed.",
+            "SUCCESS", A.FILES_PROCESSED.format(n=len(listed), path=path),
             {"file_count": len(listed), "tables": tables},
         )
 
     def add_metadata(self, metadata_path: str, table_id: str = "") -> str:
         if not self.store.exists(metadata_path):
-            return _envelope("ERROR", f"Invalid path: {metadata_path}")
+            return _envelope("ERROR", A.INVALID_PATH.format(path=metadata_path))
         if self.store.is_file(metadata_path) and not metadata_path.endswith((".txt", ".csv")):
-            return _envelope("ERROR", "Invalid file type. Please use 'txt' or 'csv'.")
+            return _envelope("ERROR", A.INVALID_METADATA_FILE)
         found = S.read_metadata_folder(self.spark, metadata_path, table_id)
         checked = C.check_references(found.select("table_id", "value"), self.relation("table_status"))
         staged = f"{self.store.root}/metadata/{uuid.uuid4().hex}"
@@ -150,7 +151,7 @@ class TableScout:
         if not ids and refused:
             return _envelope("ERROR", "; ".join(refused))
         return _envelope(
-            "SUCCESS", f"{len(ids)} metadata entries has been added.",
+            "SUCCESS", A.METADATA_ADDED.format(n=len(ids)),
             {"file_count": len(ids), "metadata_ids": ids, "rejected": refused},
         )
 
@@ -161,7 +162,7 @@ class TableScout:
         wanted = C.unsummarised(C.pending(status, table_id or None), status).select("id")
         table_ids = [r["id"] for r in wanted.toLocalIterator()]
         if not table_ids:
-            return _envelope("SUCCESS", "No unsummarized tables found.\n", {"table_ids": []})
+            return _envelope("SUCCESS", A.NOTHING_TO_SUMMARIZE, {"table_ids": []})
         rows = self.rows(wanted)
         columns = rows.groupBy("table_id").agg(F.first("names").alias("names")).select(
             "table_id", F.posexplode("names").alias("col_idx", "col_name")
@@ -196,10 +197,10 @@ class TableScout:
         done = self.relation("table_summaries").join(wanted.select(F.col("id").alias("table_id")), "table_id", "left_semi")
         ids = [r["id"] for r in done.select("id").sort("id").toLocalIterator()]
         if not ids:
-            return _envelope("ERROR", "Summarization failed")
+            return _envelope("ERROR", A.SUMMARIZATION_FAILED)
         self.store.write("catalog/table_status", C.mark(status, done.select(F.col("table_id").alias("id"))))
         return _envelope(
-            "SUCCESS", f"Total of {len(ids)} summaries has been added with IDs: {', '.join(map(str, ids))}.\n",
+            "SUCCESS", A.SUMMARIES_ADDED.format(n=len(ids), ids=', '.join(map(str, ids))),
             {"table_ids": table_ids, "summary_ids": ids},
         )
 
@@ -225,7 +226,7 @@ class TableScout:
         registry = self.relation("indexes")
         taken = registry.where(F.col("name") == index_name).count() > 0
         if taken and not reindex:
-            return _envelope("ERROR", f"Index named {index_name} already exists.")
+            return _envelope("ERROR", A.INDEX_EXISTS.format(name=index_name))
         if table_ids is None:
             tables = self.relation("table_status").select(F.col("id").alias("table_id"))
         else:
@@ -248,8 +249,7 @@ class TableScout:
         names = [r["table_id"] for r in tables.toLocalIterator()]
         return _envelope(
             "SUCCESS",
-            f"A hybrid index named {index_name} with id {ids[0]} (vector index) and {ids[1]} (full-text index) "
-            f"has been created with {len(names)} tables.",
+            A.INDEX_CREATED.format(name=index_name, vector_id=ids[0], text_id=ids[1], n=len(names)),
             {"table_ids": names, "vector_index_id": ids[0], "fulltext_index_id": ids[1]},
         )
 
@@ -300,7 +300,7 @@ class TableScout:
     def location(self, index_name: str) -> str:
         row = self.relation("indexes").where((F.col("name") == index_name) & ~F.col("location").endswith("/vectors")).first()
         if row is None:
-            raise KeyError(f"Index with name {index_name} does not exist.")
+            raise KeyError(A.INDEX_UNKNOWN.format(name=index_name))
         return row["location"]
 
     def search(
@@ -351,4 +351,4 @@ class TableScout:
             {"query": r["query"], "retrieved_tables": r["retrieved_tables"]}
             for r in found.sort("query_id").toLocalIterator()
         ]
-        return _envelope("SUCCESS", f"Queries successful for index {index_name}", data)
+        return _envelope("SUCCESS", A.QUERIES_ANSWERED.format(name=index_name), data)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.functions.answers import FILES_PROCESSED
 from tablescout.functions.hashing import fingerprint, row_digest
 from tablescout.functions.text import strip
 from tablescout.operators.scaling import ranked, salted_join, small_side
@@ -121,7 +122,7 @@ def batch_report(outcomes: DataFrame, by: str) -> DataFrame:
     )
     return counts.withColumn("response", envelope(
         F.lit("SUCCESS"),
-        F.concat(F.col("file_count").cast("string"), F.lit(" files in folder "), F.col(by), F.lit(" has been processed.")),
+        F.replace(F.replace(F.lit(FILES_PROCESSED), F.lit("{n}"), F.col("file_count").cast("string")), F.lit("{path}"), F.col(by)),
         F.struct("file_count"),
     ))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.functions.answers import NOTHING_TO_INDEX
 from tablescout.functions.hashing import hash_rank
 from tablescout.functions.text import token_count
 from tablescout.operators.packing import pack_blocks
@@ -199,5 +200,5 @@ def select_variant(branches: dict[tuple[str, str], DataFrame], schema: str, rows
 
 def require_documents(corpus: DataFrame) -> DataFrame:
     if corpus.isEmpty():
-        raise ValueError("No context and summary entries found for the given table ids.")
+        raise ValueError(NOTHING_TO_INDEX)
     return corpus

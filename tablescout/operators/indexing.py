@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescout.functions.answers import INDEX_UNKNOWN
 from tablescout.operators import textindex as X
 from tablescout.operators import vectors as V
 from tablescout.operators.scaling import small_side
@@ -149,7 +150,7 @@ def near_documents(spark: SparkSession, path: str, queries: DataFrame, k: int, s
 def unknown_indexes(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, message) of requested indexes nobody registered."""
     return requests.select("name").distinct().join(registry.select("name").distinct(), "name", "left_anti").withColumn(
-        "message", F.concat(F.lit("Index with name "), "name", F.lit(" does not exist."))
+        "message", F.replace(F.lit(INDEX_UNKNOWN), F.lit("{name}"), F.col("name"))
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from tablescout.functions.answers import INVALID_TABLE_FILE
 from tablescout.functions.text import strip
 from tablescout.operators.catalog import normal_id, table_name
 from tablescout.session import materialize
@@ -74,7 +75,7 @@ def file_outcomes(files: DataFrame) -> DataFrame:
     return files.select(
         "path", "extension", "length", normal_id(F.col("path")).alias("id"), table_name(F.col("path")).alias("table_name"),
         ok.alias("accepted"),
-        F.when(~ok, "Invalid file type. Please use 'csv' or 'parquet'.").alias("reason"),
+        F.when(~ok, INVALID_TABLE_FILE).alias("reason"),
     )
 
 
