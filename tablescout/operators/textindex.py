@@ -63,13 +63,14 @@ def postings(analyzed: DataFrame, doc: str = "doc_id") -> DataFrame:
     return analyzed.select(doc, F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).mapInArrow(run, f"{doc} {kind}, dl int, term string, tf long")
 
 
-def posting_stats(post: DataFrame, n_docs: int) -> DataFrame:
-    """One row: number of documents and their average length, from the postings alone."""
-    return post.agg(F.lit(n_docs).cast("long").alias("n_docs"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(n_docs)).alias("avgdl"))
+def term_totals(terms: DataFrame, n_docs: int) -> DataFrame:
+    """One row: number of documents and their average length, from the term statistics alone."""
+    return terms.agg(F.lit(n_docs).cast("long").alias("n_docs"), (F.coalesce(F.sum("ttf"), F.lit(0)) / F.lit(n_docs)).alias("avgdl"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df, ttf): documents that have the term, and how often it stands in all of them."""
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
 
 
 def bm25_weight(tf, dl, df, n_docs, avgdl, k1: float = K1, b: float = B) -> Column:
@@ -86,9 +87,9 @@ def weigh(
     A vocabulary known or counted small is broadcast. Beyond that, frequent terms
     are salted so that no task holds all postings of one term."""
     if fits(terms) if few_terms is None else few_terms:
-        joined = post.join(F.broadcast(terms), "term")
+        joined = post.join(F.broadcast(terms.select("term", "df")), "term")
     else:
-        joined = salted_join(post, terms, terms.withColumnRenamed("df", "n"), ["term"], [doc])
+        joined = salted_join(post, terms.select("term", "df"), terms.select("term", F.col("df").alias("n")), ["term"], [doc])
     n_docs = stats.select("n_docs").scalar()
     avgdl = stats.select("avgdl").scalar()
     return joined.select(doc, "term", bm25_weight("tf", "dl", "df", n_docs, avgdl).alias("weight"))

@@ -40,9 +40,9 @@ def test_scores_follow_the_formula_and_repeated_words_count(spark):
         pairs = spark.createDataFrame([(q, d) for q in (0, 1, 2) for d, _ in DOCS], "query_id long, doc_id long")
         assert {(r["query_id"], r["doc_id"]): r["score"] for r in X.pair_scores(source, terms, pairs).collect()} == want
     post = X.postings(docs)
-    weights = X.weigh(post, X.term_stats(post), X.posting_stats(post, len(DOCS)))
+    weights = X.weigh(post, X.term_stats(post), X.term_totals(X.term_stats(post), len(DOCS)))
     assert {(r["doc_id"], r["term"]): round(r["weight"], 6) for r in weights.collect()}[(1, "apple")] == bm25("apple")[1]
-    salted = X.weigh(post, X.term_stats(post), X.posting_stats(post, len(DOCS)), few_terms=False)
+    salted = X.weigh(post, X.term_stats(post), X.term_totals(X.term_stats(post), len(DOCS)), few_terms=False)
     assert sorted(map(str, salted.collect())) == sorted(map(str, weights.collect()))
 
 
