@@ -37,6 +37,7 @@ COMMON_LIMIT = 100_000
 COUNT_STEP = 2_000_000
 CELL_NODES = 1_024
 DESCRIBE_STEP = 512
+HELD_COMMON = 1_000_000
 FAN_OUT = 16
 FILTER_BITS = 1 << 23
 
@@ -84,7 +85,7 @@ def _describe(words: int):
             if held:
                 values, n = np.unique(np.concatenate(held), return_counts=True)
                 often = n >= max(3, docs // 2000)
-                common = _most(*common, values[often], n[often])
+                common = _most(*common, values[often], n[often], HELD_COMMON)
             held, size, docs = [], 0, 0
 
         for whole in batches:
@@ -104,6 +105,7 @@ def _describe(words: int):
                     names,
                 )
         count()
+        common = _most(*common, common[0][:0], common[1][:0], COMMON_LIMIT)
         yield pa.RecordBatch.from_arrays(
             [*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()),
              pa.array([common[0].view(np.int64)], pa.list_(pa.int64())), pa.array([common[1]], pa.list_(pa.int64()))],
@@ -113,12 +115,12 @@ def _describe(words: int):
     return run
 
 
-def _most(values: np.ndarray, times: np.ndarray, more: np.ndarray, more_times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both lists of shingles added up; of more than COMMON_LIMIT those that recur most stay, ties to the smaller."""
+def _most(values: np.ndarray, times: np.ndarray, more: np.ndarray, more_times: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both lists of shingles added up; of more than `limit` those that recur most stay, ties to the smaller."""
     found, at = np.unique(np.concatenate([values, more]), return_inverse=True)
     n = np.bincount(at, np.concatenate([times, more_times]), len(found)).astype(np.int64)
-    if len(found) > COMMON_LIMIT:
-        keep = np.sort(np.lexsort((found, -n))[:COMMON_LIMIT])
+    if len(found) > limit:
+        keep = np.sort(np.lexsort((found, -n))[:limit])
         found, n = found[keep], n[keep]
     return found, n
 
