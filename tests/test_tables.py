@@ -104,6 +104,27 @@ def test_conditions_are_intersected_per_distinct_set(spark):
     assert sorted(map(tuple, got.collect())) == sorted(plain_rows(sets, tables, cells) | own)
 
 
+def test_answer_lists_are_made_once_per_set(spark, monkeypatch):
+    """Lists equal the rows of every question: repeated questions, one with two source tables, one hot set cut into parts, no
+    answer at all; no row per question and answer row is collected."""
+    cells = [(f"t{t}", r, "k", "hot" if r % 3 else f"v{r}") for t in range(3) for r in range(9)] + [("t0", None, "k", "hot")]
+    asks = [(f"q{i}", "t2", "hot" if i % 4 else "v3") for i in range(20)] + [("q1", "t2", "hot"), ("two", "t0", "hot"), ("two", "t1", "hot"), ("none", "t0", "gone")]
+    questions = spark.createDataFrame([a[:2] for a in asks], "question_id string, table_id string")
+    cond = spark.createDataFrame([(q, "K ", v, 1) for q, _, v in asks], "question_id string, name string, value string, row_idx long")
+    shared = spark.createDataFrame([(q, f"t{t}") for q in sorted({a[0] for a in asks}) for t in range(3)], "question_id string, table_id string")
+    df = spark.createDataFrame(cells, "table_id string, row_idx long, col_name string, value string")
+    told = lambda rows: sorted((r["question_id"], r["table_id"], tuple(r["rows"]), r["filter_by_cell"]) for r in rows)
+    want = told(GT.answer_rows(GT.verify_cells(questions, cond, shared, df), shared).collect())
+    assert len(want) == 20 * 3 + 3 + 1 and ("two", "t0", (1, 2, 4, 5, 7, 8), 0) in want and ("none", "t0", (1,), 2) in want
+    monkeypatch.setattr(GT, "LISTED_ROWS", 7)
+    got = GT.cell_answers(questions, cond, shared, df)
+    assert told(got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "row_idx" not in plan
+    shown = GT.cell_answers(questions, cond, shared, df, show=lambda rows: F.array_join(rows.cast("array<string>"), ","))
+    assert sorted(r["rows"] for r in shown.collect()) == sorted(",".join(map(str, w[2])) for w in want)
+
+
 def test_titles_are_judged_in_batches_and_asked_again(spark):
     """Lines out of order, a line left out at first, a judge that never answers one line, the source table kept."""
     pairs = [("q", f"t{i:02d}", "Red Fox", f"the red fox {i}" if i % 3 else f"the red foxes {i}") for i in range(45)]
