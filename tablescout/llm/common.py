@@ -7,10 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.session import shared_folder
-
-
-BATCH_BYTES = 4 << 20
+from tablescout.session import shared_folder, text_batches  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -26,14 +23,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in Arrow batches of a few MB, whatever their number and length, so that neither a worker nor
-    the buffers between hold more. A session that was started with a limit of its own keeps it."""
-    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.sparkContext.getConf().contains(limit):
-        spark.conf.set(limit, str(BATCH_BYTES))
-
-
 def utf8_bytes(text: str) -> Column:
     """UTF-8 length of a text column, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -161,11 +161,9 @@ def csv_sink(spark, sf):
 @query("src_12", "select page_id, html || chr(10) as text from pages")
 def whole_files(spark, sf):
     path = scratch_path(spark, "pages")
-    table(spark, sf, "pages", "page_id", "html", by="page_id").withColumnRenamed("html", "value").write.partitionBy(
-        "page_id"
-    ).text(path)
+    S.write_whole_files(table(spark, sf, "pages", "page_id", "html"), path, "page_id", "html")
     return S.read_whole_files(spark, path, "*.txt").select(
-        F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "text"
+        F.regexp_extract("path", r"(?:page_id=|/)(\d+)(?:\.txt|/[^/]*)$", 1).cast("long").alias("page_id"), "text"
     )
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pf
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -18,7 +21,7 @@ from pyspark.sql.types import StructType
 from tablescout.functions.answers import INVALID_TABLE_FILE
 from tablescout.functions.text import strip
 from tablescout.operators.catalog import normal_id, table_name
-from tablescout.session import materialize
+from tablescout.session import materialize, text_batches
 
 FOOTER_READERS = 16
 FOOTER_FILE = 32 << 20
@@ -220,6 +223,49 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("timestampFormat", TIMESTAMP_TEXT).option("timestampNTZFormat", TIMESTAMP_TEXT).option("ignoreNullFields", False).json(path)
 
 
+def write_whole_files(df: DataFrame, path: str, name: str, text: str) -> None:
+    """One file `name`.txt per name, in one folder per task, so that neither folders nor the driver's commit grow with the
+    files; rows that share a name are lines of its file, null is an empty one. Names are numbers or plain words.
+
+    Tasks write through Arrow's file systems and give a file its name when it is whole. Stores that Arrow cannot open
+    get a folder `name`=value per file from Spark's writer."""
+    spark = df.sparkSession
+    named = df.select(F.coalesce(F.col(name).cast("string"), F.lit("null")).alias("name"), F.coalesce(text, F.lit("")).alias("value"))
+    try:
+        pf.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError):
+        df.select(name, F.col(text).alias("value")).write.partitionBy(name).text(path)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pf.FileSystem.from_uri(path)
+        task = TaskContext.get()
+        folder, written = f"{root}/part-{task.partitionId():05d}", 0
+        part = f"{folder}/_{uuid.uuid4().hex}"
+        current, out = None, None
+
+        def close():
+            out.close()
+            store.move(part, f"{folder}/{current}.txt")
+
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key != current:
+                    if out is None:
+                        store.create_dir(folder, recursive=True)
+                    else:
+                        close()
+                    current, out, written = key, store.open_output_stream(part), written + 1
+                out.write(value.as_buffer())
+                out.write(b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["files"])
+
+    text_batches(spark)
+    named.repartition("name").sortWithinPartitions("name").mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 def read_whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, text): raw file text as one document each."""
     return (

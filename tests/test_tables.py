@@ -9,6 +9,7 @@ from tablescout.operators import catalog as C
 from tablescout.operators import documents as D
 from tablescout.operators import groundtruth as GT
 from tablescout.operators import profile as PR
+from tablescout.sources import files as S
 
 CELLS = "table_id string, row_idx long, col_idx int, col_name string, value string"
 
@@ -104,6 +105,18 @@ def test_conditions_are_intersected_per_distinct_set(spark):
     assert sorted(map(tuple, got.collect())) == sorted(plain_rows(sets, tables, cells) | own)
 
 
+def test_whole_files_need_no_folder_each(spark, tmp_path):
+    """Texts with line breaks, of no letter, null, and two rows of one name; files lie in the folders of the tasks."""
+    rows = [(i, f"text {i}\nöß" * (i % 3)) for i in range(40)] + [(100, None), (7, "again")]
+    df = spark.createDataFrame(rows, "page long, text string").repartition(5)
+    S.write_whole_files(df, str(tmp_path / "files"), "page", "text")
+    got = [(int(r["path"].rsplit("/", 1)[1][:-4]), r["text"]) for r in S.read_whole_files(spark, str(tmp_path / "files"), "*.txt").collect()]
+    want = {i: f"{t or ''}\n" for i, t in rows[:-1]}
+    assert len(got) == 41 and sorted(dict(got)[7].split("\n")) == sorted(want[7].split("\n") + ["again"])
+    assert {i: t for i, t in got if i != 7} == {i: t for i, t in want.items() if i != 7}
+    assert len(list((tmp_path / "files").iterdir())) <= 8
+
+
 def test_answer_lists_are_made_once_per_set(spark, monkeypatch):
     """Lists equal the rows of every question: repeated questions, one with two source tables, one hot set cut into parts, no
     answer at all; no row per question and answer row is collected."""
