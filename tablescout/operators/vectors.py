@@ -17,9 +17,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescout.functions.hashing import hash_rank
 from tablescout.operators.topk import Best, answer_schema, as_ids, merged, millionths, question_blocks
+from tablescout.session import text_batches
 
 QUERY_BLOCK = 1_024
 VECTOR_ROWS = 4_096
+PRODUCTS = 1 << 20  # inner products that are held at once
 PIVOT_FACTOR, MAX_PIVOTS = 6, 32_768
 ASKED_SHARE = 0.27
 LISTED = 1_000
@@ -48,6 +50,7 @@ def hashed_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 def embed_column(df: DataFrame, text: str = "text", embed=None, dim: int = 64, chunk: int = 30_000) -> DataFrame:
     """Adds `vector` through a batch hook embed(list[str]) -> matrix; at most `chunk` texts per call."""
+    text_batches(df.sparkSession)
     embed = embed or hashed_embedder(dim)
     schema = T.StructType(df.schema.fields + [T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
@@ -98,16 +101,17 @@ def _topk_map(shared, k: int, query_type: pa.DataType, id_type: pa.DataType):
         asked: _Asked = shared.value
         best = Best(len(asked.ids), k)
         every = np.arange(len(asked.ids))
+        step = _rows_at_once(len(asked.ids))
         for batch in batches:
             ids, vectors = _rows_of(batch)
             if asked.lists is None:
-                spans = [(a, min(a + VECTOR_ROWS, len(ids)), every) for a in range(0, len(ids), VECTOR_ROWS)]
+                spans = [(a, min(a + step, len(ids)), every) for a in range(0, len(ids), step)]
             else:
                 lists = batch.column("list").to_numpy(zero_copy_only=False)
                 order = np.argsort(lists, kind="stable")
                 ids, vectors, lists = ids[order], vectors[order], lists[order]
                 edges = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
-                spans = [(a, b, np.flatnonzero(asked.lists[:, lists[a]])) for a, b in zip(edges, edges[1:]) if b > a]
+                spans = [(a, min(a + step, z), np.flatnonzero(asked.lists[:, lists[s]])) for s, z in zip(edges, edges[1:]) for a in range(s, z, step)]
             for a, b, rows in spans:
                 if len(rows):
                     best.add(rows, millionths(asked.matrix[rows] @ vectors[a:b].T), ids[a:b])
@@ -116,12 +120,18 @@ def _topk_map(shared, k: int, query_type: pa.DataType, id_type: pa.DataType):
     return run
 
 
+def _rows_at_once(others: int) -> int:
+    """Rows whose inner products with `others` vectors are held at once."""
+    return max(1, min(VECTOR_ROWS, PRODUCTS // max(1, others)))
+
+
 def _matrix(rows: list) -> np.ndarray:
     return np.array([r["vector"] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
 def _search(queries: DataFrame, vectors: DataFrame, k: int, lists_of: Callable | None = None) -> DataFrame:
     spark = vectors.sparkSession
+    text_batches(spark)
     types = queries.schema["query_id"].dataType, vectors.schema["doc_id"].dataType
     schema, parts = answer_schema(*types), []
     vectors = vectors.where(F.size("vector") > 0)
@@ -155,6 +165,7 @@ def pivot_lists(vectors: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFram
     """(pivots, filed): about 6 * sqrt(n) vectors drawn by hash rank, at most MAX_PIVOTS, as pivots(list, vector), and all
     rows with `list`, the number of their nearest pivot (ties to the lower number)."""
     spark = vectors.sparkSession
+    text_batches(spark)
     drawn = vectors.where(F.size("vector") > 0).orderBy(hash_rank(seed, F.col("doc_id")), "doc_id").limit(pivot_count(vectors.count()))
     rows = drawn.select("vector").collect()
     shared = spark.sparkContext.broadcast(_matrix(rows))
@@ -162,9 +173,8 @@ def pivot_lists(vectors: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFram
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, vectors = _rows_of(batch)
-            near = [
-                millionths(vectors[a : a + VECTOR_ROWS] @ shared.value.T).argmax(axis=1) for a in range(0, len(vectors), VECTOR_ROWS)
-            ]
+            step = _rows_at_once(len(shared.value))
+            near = [millionths(vectors[a : a + step] @ shared.value.T).argmax(axis=1) for a in range(0, len(vectors), step)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*near, np.zeros(0, int)]).astype(np.int32))], [*batch.schema.names, "list"])
 
     pivots = spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(rows)], "list int, vector array<double>")
@@ -184,11 +194,15 @@ def lists_topk(queries: DataFrame, filed: DataFrame, pivots: DataFrame, k: int,
         return merged([], answer_schema(*types), filed.sparkSession, k)
     matrix, sizes = _matrix(rows), np.array([r["size"] or 0 for r in rows], float)
 
-    def asked_lists(questions: np.ndarray) -> np.ndarray:
+    def lists_of(questions: np.ndarray) -> np.ndarray:
         order = np.argsort(-millionths(questions @ matrix.T), axis=1, kind="stable")
         before = np.cumsum(sizes[order], axis=1) - sizes[order]
         asked = np.zeros(order.shape, bool)
         np.put_along_axis(asked, order, before < share * sizes.sum(), 1)
         return asked
 
+    def asked_lists(questions: np.ndarray) -> np.ndarray:
+        step = _rows_at_once(len(matrix))
+        return np.concatenate([lists_of(questions[a : a + step]) for a in range(0, len(questions), step)])
+
     return _search(queries, filed, k, asked_lists)
