@@ -18,7 +18,7 @@ from tablescout.functions.stemming import stem_terms
 from tablescout.functions.text import index_terms
 from tablescout.operators.scaling import fits, salted_join, small_side
 from tablescout.operators.topk import LOW, Best, answer_schema, as_ids, merged, millionths, question_blocks
-from tablescout.session import materialize
+from tablescout.session import materialize, text_batches
 
 # Default constants of the ranking function.
 K1 = 1.5
@@ -27,6 +27,7 @@ B = 0.75
 
 def analyze(df: DataFrame, text: str = "text", stem: bool = True) -> DataFrame:
     """Adds `terms`: lower-case words without stop words, stemmed when asked."""
+    text_batches(df.sparkSession)
     terms = index_terms(F.col(text))
     return df.withColumn("terms", stem_terms(terms) if stem else terms)
 
@@ -59,6 +60,7 @@ def postings(analyzed: DataFrame, doc: str = "doc_id") -> DataFrame:
                 [doc, "dl", "term", "tf"],
             )
 
+    text_batches(analyzed.sparkSession)
     kind = analyzed.schema[doc].dataType.simpleString()
     return analyzed.select(doc, F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).mapInArrow(run, f"{doc} {kind}, dl int, term string, tf long")
 
@@ -130,6 +132,7 @@ def text_blocks(analyzed: DataFrame, asked: list[str] | None = None) -> DataFram
                 part = batch.slice(a, BLOCK_DOCS)
                 yield _block(part.column(0), part.column(1), keep)
 
+    text_batches(analyzed.sparkSession)
     rows = analyzed.select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
     return rows.mapInArrow(run, schema)
 
@@ -181,6 +184,7 @@ def lost_terms(blocks: DataFrame) -> DataFrame:
                 some = pa.array(np.flatnonzero(n))
                 yield pa.RecordBatch.from_arrays([terms.take(some), pa.array(n).take(some)], ["term", "df"])
 
+    text_batches(blocks.sparkSession)
     return blocks.select("terms", "dfs", "places", "gone").mapInArrow(run, "term string, df long")
 
 
@@ -342,6 +346,7 @@ def _pairs_of_block(asked: _Questions, block: _Block, _, query_type, id_type) ->
 
 
 def _asked_map(source: TextSource, q_rows: list, body, k: int, types: tuple, pairs: list | None = None) -> DataFrame | None:
+    text_batches(source.blocks.sparkSession)
     asked = _read_questions(source, q_rows)
     if asked is None:
         return None
