@@ -28,7 +28,7 @@ SEGMENT, TOMBSTONES = "segment", "tombstones"
 def write_fulltext(corpus: DataFrame, path: str, stem: bool = True) -> None:
     """Blocks, document frequencies and totals of one segment; texts are analysed once."""
     spark = corpus.sparkSession
-    X.text_blocks(X.analyze(corpus, stem=stem)).write.parquet(f"{path}/blocks")
+    X.text_blocks(X.analyze(corpus, stem=stem)).write.options(**X.BLOCK_FILES).parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     X.block_terms(blocks).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     X.block_totals(blocks).write.parquet(f"{path}/totals")

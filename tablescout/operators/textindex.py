@@ -111,6 +111,9 @@ def query_terms(queries: DataFrame, text: str = "query", stem: bool = True) -> D
 
 BLOCK_DOCS = 2_048
 QUESTION_TERMS = 50_000
+SCORES = 1 << 20  # scores that are held at once
+# A block is a row of a few MB, and Spark's reader and writer hold whole row groups (up to 4,096 and 100 rows): a row group a block.
+BLOCK_FILES = {"parquet.block.row.count.limit": "1"}
 BLOCKS = (
     "block string, doc_ids array<{id}>, lengths array<int>, terms array<string>, dfs array<int>, places array<int>, "
     "tfs array<int>, most array<int>, shortest array<int>"
@@ -212,7 +215,7 @@ def analyzed_source(analyzed: DataFrame, q_terms: DataFrame | None = None) -> Te
     if q_terms is not None:
         words = q_terms.select("term").distinct().limit(QUESTION_TERMS + 1).collect()
         asked = [r["term"] for r in words] if len(words) <= QUESTION_TERMS else None
-    blocks = materialize(text_blocks(analyzed, asked), "text-blocks")
+    blocks = materialize(text_blocks(analyzed, asked), "text-blocks", **BLOCK_FILES)
     return TextSource(blocks, block_terms(blocks), block_totals(blocks))
 
 
@@ -291,8 +294,14 @@ def _top_of_block(asked: _Questions, block: _Block, best: Best, *_) -> Iterator[
     bound[block.known] = asked.idf[block.known] * asked.part(block.most[block.at].astype(float), block.shortest[block.at])
     upper = np.bincount(asked.question, asked.qtf * bound[asked.term], len(asked.ids))
     open_ = np.flatnonzero((upper > 0) & (millionths(upper) + 1 >= best.least))
-    if not len(open_):
-        return
+    step = max(1, SCORES // max(1, len(block.ids)))
+    for a in range(0, len(open_), step):
+        _score_block(asked, block, best, open_[a : a + step])
+    yield from ()
+
+
+def _score_block(asked: _Questions, block: _Block, best: Best, open_: np.ndarray) -> None:
+    """Scores the block for the questions `open_`."""
     slot = np.full(len(asked.ids), -1)
     slot[open_] = np.arange(len(open_))
     scores = np.zeros((len(open_), len(block.ids)))
@@ -310,7 +319,6 @@ def _top_of_block(asked: _Questions, block: _Block, best: Best, *_) -> Iterator[
     if block.gone is not None:
         scores[:, block.gone] = 0
     best.add(open_, np.where(scores > 0, millionths(scores), LOW), block.ids)
-    yield from ()
 
 
 def _pairs_of_block(asked: _Questions, block: _Block, _, query_type, id_type) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,17 @@
-"""What goes to Python at once is bounded by bytes, not by rows."""
+"""What goes to Python at once is bounded by bytes, not by rows; so is what a task reads and writes at once."""
+
+import glob
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tablescout import session
 from tablescout.functions import stemming as ST
 from tablescout.operators import groundtruth as GT
+from tablescout.operators import indexing as IX
 from tablescout.operators import textindex as X
 from tablescout.operators import vectors as V
 
@@ -44,6 +48,43 @@ def test_blocks_hold_few_long_documents(fresh):
     assert sum(sizes) == 200 and max(sizes) <= 100
 
 
+def test_a_block_is_a_row_group(fresh, tmp_path):
+    words = F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), (i * 40 + F.col("id")).cast("string")))
+    long = fresh.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    IX.write_fulltext(long, str(tmp_path), stem=False)
+    [file] = glob.glob(f"{tmp_path}/blocks/*.parquet")
+    stored, blocks = pq.ParquetFile(file).metadata, fresh.read.parquet(file).select(F.size("doc_ids").alias("n")).collect()
+    assert len(blocks) > 5 and sum(r["n"] for r in blocks) == 40
+    assert [stored.row_group(i).num_rows for i in range(stored.num_row_groups)] == [1] * len(blocks)
+
+
+def test_a_block_is_scored_for_few_questions_at_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    terms = [[f"w{t}" for t in rng.integers(0, 9, 6)] for _ in range(50)]
+    row = X._block(pa.array(range(50)), pa.array(terms), None).append_column("gone", pa.array([[3, 4]], pa.list_(pa.int32())))
+    words = [f"w{t}" for t in range(9)]
+    term, question = np.repeat(np.arange(9), 30), np.tile(np.arange(30), 9)
+    keep = rng.random(270) < 0.4
+    asked = X._Questions(list(range(30)), words, term[keep], question[keep], np.ones(keep.sum()), np.linspace(0.5, 2, 9), 6.0)
+    cells = []
+
+    class Watched(X.Best):
+        def add(self, rows, scores, ids):
+            cells.append(scores.size)
+            super().add(rows, scores, ids)
+
+    def found():
+        best = Watched(30, 4)
+        list(X._top_of_block(asked, X._Block(row, 0, pa.array(words)), best))
+        return best.score.tolist(), best.id.tolist()
+
+    want = found()
+    assert max(cells) > 200
+    cells.clear()
+    monkeypatch.setattr(X, "SCORES", 200, raising=False)
+    assert found() == want and max(cells) <= 200
+
+
 def test_filing_holds_few_products(monkeypatch):
     assert V._rows_at_once(V.MAX_PIVOTS) * V.MAX_PIVOTS <= V.PRODUCTS and V._rows_at_once(2 * V.PRODUCTS) == 1
 
