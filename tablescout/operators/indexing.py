@@ -89,7 +89,7 @@ def delete_documents(spark: SparkSession, path: str, ids: DataFrame) -> None:
     blocks = _read(spark, _manifest(spark, path), SEGMENT, "blocks")
     places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id")).join(small_side(gone), "doc_id", "left_semi")
     places.groupBy("block").agg(F.sort_array(F.collect_list(F.col("place").cast("int"))).alias("places")).write.parquet(f"{part}/places")
-    hit = blocks.join(spark.read.parquet(f"{part}/places").withColumnRenamed("places", "gone"), "block")
+    hit = X.with_gone(blocks, spark.read.schema(FIXED["places"]).parquet(f"{part}/places"))
     X.lost_terms(hit).groupBy("term").agg((-F.sum("df")).alias("df")).write.parquet(f"{part}/terms")
     lengths = F.aggregate("gone", F.lit(0).cast("long"), lambda s, p: s + F.col("lengths")[p])
     hit.agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescout.functions.stemming import stem_terms
 from tablescout.functions.text import index_terms
-from tablescout.operators.scaling import fits, salted_join, small_side
+from tablescout.operators.scaling import fits, salted_join
 from tablescout.operators.topk import LOW, Best, answer_schema, as_ids, merged, millionths, question_blocks
 from tablescout.session import materialize, text_batches
 
@@ -112,6 +113,7 @@ def query_terms(queries: DataFrame, text: str = "query", stem: bool = True) -> D
 BLOCK_DOCS = 2_048
 QUESTION_TERMS = 50_000
 SCORES = 1 << 20  # scores that are held at once
+GONE_PLACES = 4_000_000  # places of deleted documents that go to every task at once
 # A block is a row of a few MB, and Spark's reader and writer hold whole row groups (up to 4,096 and 100 rows): a row group a block.
 BLOCK_FILES = {"parquet.block.row.count.limit": "1"}
 BLOCKS = (
@@ -173,6 +175,15 @@ def block_totals(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("len"))
 
 
+def with_gone(blocks: DataFrame, dead: DataFrame, how: str = "inner") -> DataFrame:
+    """Blocks with `gone`, the places of their deleted documents in dead(block, places). Places go to the blocks, which never
+    move; beyond GONE_PLACES the blocks are read in parts, each with the places of its own."""
+    parts = max(1, -(-(dead.agg(F.sum(F.size("places"))).first()[0] or 0) // GONE_PLACES))
+    marks = dead.select("block", F.col("places").alias("gone"))
+    part = lambda df, i: df if parts == 1 else df.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == i)
+    return reduce(DataFrame.unionByName, [part(blocks, i).join(F.broadcast(part(marks, i)), "block", how) for i in range(parts)])
+
+
 def lost_terms(blocks: DataFrame) -> DataFrame:
     """(term, df) of the documents at the places `gone` of each block."""
 
@@ -202,10 +213,9 @@ class TextSource:
     dead: DataFrame | None = None
 
     def rows(self) -> DataFrame:
-        gone = F.lit(None).cast("array<int>")
         if self.dead is None:
-            return self.blocks.withColumn("gone", gone)
-        return self.blocks.join(small_side(self.dead.select("block", F.col("places").alias("gone"))), "block", "left")
+            return self.blocks.withColumn("gone", F.lit(None).cast("array<int>"))
+        return with_gone(self.blocks, self.dead, "left")
 
 
 def analyzed_source(analyzed: DataFrame, q_terms: DataFrame | None = None) -> TextSource:

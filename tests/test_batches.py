@@ -85,6 +85,32 @@ def test_a_block_is_scored_for_few_questions_at_once(monkeypatch):
     assert found() == want and max(cells) <= 200
 
 
+def test_blocks_stay_where_they_are_when_documents_are_deleted(spark, tmp_path, monkeypatch):
+    """Even if Spark broadcasts nothing by itself, and with the blocks read in parts."""
+    at, limit = str(tmp_path / "index"), "spark.sql.autoBroadcastJoinThreshold"
+    text = F.concat(F.lit("common word"), (F.col("id") % 11).cast("string"))
+    corpus = spark.range(0, 60, 1, 6).select(F.col("id").alias("doc_id"), F.lit("t").alias("table_id"), F.lit("content").alias("kind"), text.alias("text"))
+    IX.build_index(corpus, at, stem=False)
+    plans, lost, before = [], X.lost_terms, spark.conf.get(limit)
+    monkeypatch.setattr(X, "lost_terms", lambda hit: plans.append(hit._jdf.queryExecution().executedPlan().toString()) or lost(hit))
+    monkeypatch.setattr(X, "GONE_PLACES", 5, raising=False)
+    spark.conf.set(limit, "-1")
+    try:
+        IX.delete_documents(spark, at, corpus.select("doc_id").where("doc_id % 3 = 0"))
+        source = IX.text_source(spark, at)
+        plans.append(source.rows()._jdf.queryExecution().executedPlan().toString())
+        assert not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans) and len(plans) == 2
+        rows = source.rows().select("doc_ids", "gone").collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted(d for r in rows for d in r["doc_ids"]) == list(range(60))
+    assert sorted(r["doc_ids"][p] for r in rows for p in r["gone"] or []) == list(range(0, 60, 3))
+    asked = X.query_terms(spark.createDataFrame([(1, "common")], "query_id long, query string"), stem=False)
+    left = X.text_topk(source, asked, 60).collect()
+    assert sorted(r["doc_id"] for r in left) == [i for i in range(60) if i % 3]
+    assert {r["df"] for r in source.terms.where("term = 'common'").groupBy("term").agg(F.sum("df").alias("df")).collect()} == {40}
+
+
 def test_filing_holds_few_products(monkeypatch):
     assert V._rows_at_once(V.MAX_PIVOTS) * V.MAX_PIVOTS <= V.PRODUCTS and V._rows_at_once(2 * V.PRODUCTS) == 1
 
